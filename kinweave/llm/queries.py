@@ -5,6 +5,8 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, topk_search
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,5 +30,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op4_bpe, op6_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import top5
+
+    return top5(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import digests
+
+    return digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_language_id, op3_topk_search, op4_bpe, op6_token_counts, op8_decontaminate)}
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk_search.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
