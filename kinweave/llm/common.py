@@ -9,12 +9,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Rows in an Arrow batch sent to Python. Texts may be long, so batches are kept short; nothing is cut.
 BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short, so that a worker's memory doesn't depend on Spark's 10,000-row default."""
+    """Keep Arrow batches short, so that a worker's memory doesn't depend on Spark's 10,000-row default; ship the package."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

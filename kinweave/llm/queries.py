@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, topk_search
+from . import decontaminate, topk_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import digests
+
+    return digests(_table(spark, sf_dir, "pages"), least=0)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -42,11 +48,17 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top5(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"), shards=24)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import digests
 
     return digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_language_id, op3_topk_search, op4_bpe, op6_token_counts, op8_decontaminate)}
-ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk_search.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_language_id, op3_topk_search, op4_bpe, op5_warc, op6_token_counts, op7_sharding, op8_decontaminate)}
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk_search.ORACLE, "op5_warc": warc.ORACLE, "op8_decontaminate": decontaminate.ORACLE}

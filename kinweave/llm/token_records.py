@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Memory, groups
-from .common import arrow_rows, as_bytes, durable, scratch
+from .common import arrow_rows, as_bytes, scratch, small_batches
 
 #: Fixed values of the masked checksum, as in common record formats.
 MASK_ROTATE, MASK_ADD = 15, 0xA282EAD8
@@ -124,7 +124,7 @@ def write(df: DataFrame, out: str, path: str, end_id: int, text: str = "text", k
 def index(spark: SparkSession, out: str) -> DataFrame:
     """Read and verify all shards; write and return the offset index (shard, key, offset, n_tokens, ids_crc32)."""
     wide = spark.read.schema("wide boolean").json(f"{out}-format").head()[0]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(spark)
 
     def run(batches):
         for batch in batches:
@@ -150,6 +150,7 @@ def read_some(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
 
     For a shuffled read, give wanted = index.withColumn("place", F.rand(seed)) or a sample of it, and sort by place.
     """
+    small_batches(spark)
     wide = spark.read.schema("wide boolean").json(f"{out}-format").head()[0]
     if "place" not in wanted.columns:
         wanted = wanted.withColumn("place", F.lit(0.0))
