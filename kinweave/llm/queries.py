@@ -66,5 +66,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_language_id, op3_topk_search, op4_bpe, op5_warc, op6_token_counts, op7_sharding, op8_decontaminate, op9_simhash)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_language_id, op3_topk_search, op4_bpe, op5_warc, op6_token_counts, op7_sharding, op8_decontaminate, op9_simhash, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk_search.ORACLE, "op5_warc": warc.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
