@@ -79,7 +79,7 @@ class PieceCounter:
     def closed(self, data: bytes) -> int:
         """Tokens of text that ends in cuts on both sides."""
         found = segments(data)
-        self.memory.learn(found)
+        self.memory.learn([found])
         return sum(map(self.memory.__getitem__, found))
 
     def compose(self, a: Map, b: Map) -> Map:
@@ -87,7 +87,7 @@ class PieceCounter:
         joint = (a[0] if a[1] is None else a[2]) + b[0]
         found = segments(joint)
         if a[1] is None and b[1] is None:
-            self.memory.learn(found[1:-1])
+            self.memory.learn([found[1:-1]])
             return self.chunk_map(found)
         if a[1] is None:  # the first of the joint text stays open on the left
             return (found[0], self.closed(joint[len(found[0]) :]) + b[1], b[2]) if found else b
@@ -101,14 +101,14 @@ class PieceCounter:
         for text in texts:
             data = b" " + text.replace(MARK.encode(), b" ") if text else b""
             chunks.append([segments(data[i : i + chunk]) for i in range(0, len(data), chunk)])
-        self.memory.learn(s for found in chunks for one in found for s in one[1:-1])
+        self.memory.learn([one[1:-1] for found in chunks for one in found])
         ends = []
         for found in chunks:
             maps = [self.chunk_map(one) for one in found]
             while len(maps) > 1:
                 maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
             ends.append(maps[0] if maps else (b"", 0, b""))
-        self.memory.learn(s for left, _, right in ends for part in (left, right) for s in segments(part))
+        self.memory.learn([segments(part) for left, _, right in ends for part in (left, right)])
         return [self.closed(left) + (inner or 0) + self.closed(right) for left, inner, right in ends]
 
     def count(self, text: bytes, chunk: int = CHUNK) -> int:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Memory, groups
+from .bpe import Memory, groups, load
 from .common import arrow_rows, as_bytes, scratch, small_batches
 
 #: Fixed values of the masked checksum, as in common record formats.
@@ -72,18 +73,30 @@ def ids_of(payload: memoryview, wide: bool) -> tuple[int, np.ndarray]:
 
 @lru_cache(maxsize=2)
 def _memory(path: str) -> Memory:
-    """Ids of white-space-free pieces as bytes, by the tokenizers library."""
+    """Ids of words as bytes, by the tokenizers library."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    kind = "<u4" if model.get_vocab_size() > 65_536 else "<u2"
-
-    def make(pieces):
-        found = model.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, kind).tobytes() for e in found]
+    kind = "I" if model.get_vocab_size() > 65_536 else "H"
+
+    final = np.zeros(model.get_vocab_size(), bool)
+    for token, i in model.get_vocab().items():
+        final[i] = token.endswith("</w>")
+
+    def make(keys):
+        # A word is text in the form that the tokenizer gives it before merging, which it leaves alone. Many go through at
+        # once, and the ids that end words part them again. Ids of special tokens are keys, too.
+        words = [k for k in keys if type(k) is str]
+        coded = {k: array(kind, (k,)).tobytes() for k in keys if type(k) is int}
+        for lo in range(0, len(words), 500):
+            some = words[lo : lo + 500]
+            ids = np.array(model.encode(" ".join(some), add_special_tokens=False).ids, kind)
+            data, ends = ids.tobytes(), ((np.flatnonzero(final[ids]) + 1) * ids.itemsize).tolist()
+            coded |= zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
+        return [coded[k] for k in keys]
 
     return Memory(make)
 
@@ -97,7 +110,7 @@ def is_wide(path: str) -> bool:
 def write(df: DataFrame, out: str, path: str, end_id: int, text: str = "text", key: str = "doc_id") -> None:
     """Write the records of all rows to `out`, shards and rows in ascending key order.
 
-    path: a tokenizer whose pieces never cross ASCII white space, as word_bpe_49k.json.
+    path: a tokenizer file of the kind that bpe.WordBPE reads, as word_bpe_49k.json.
     """
     spark = df.sparkSession
     wide = is_wide(path)
@@ -106,11 +119,11 @@ def write(df: DataFrame, out: str, path: str, end_id: int, text: str = "text", k
     end = np.array([end_id], "<u4" if wide else "<u2").tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memory, rows = _memory(path), []
+        splitter, memory, rows = load(path), _memory(path), []
         for some in groups(as_bytes(batch.column(1))):
-            split = [t.split() for t in some]
-            memory.learn(p for ps in split for p in ps)
-            rows += [b"".join([*map(memory.__getitem__, ps), end]) for ps in split]
+            split = [splitter.words(t.decode("utf-8", "replace")) for t in some]
+            memory.learn(split)
+            rows += [b"".join([*map(memory.__getitem__, ws), end]) for ws in split]
         each = 4 if wide else 2
         keys = [NULL_KEY if k is None else k for k in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array([frame(struct.pack("<qI", k, len(r) // each) + r) for k, r in zip(keys, rows, strict=True)], pa.binary())], names=["record"])
