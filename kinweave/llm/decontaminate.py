@@ -48,24 +48,24 @@ def item_windows(benchmark: DataFrame, width: int, key: str = "item_id", text: s
     return w.select("item", "width", hashed.alias("hash"), F.array_join("w", " ").alias("window")).distinct()
 
 
-def _places(k: int) -> Column:
+def _places(w: Column, k: int) -> Column:
     """Where a window of k words can begin."""
-    return F.when(F.size("_w") >= k, F.sequence(F.lit(0), F.size("_w") - k)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
 
 
-def _spelled(i: Column, k: int) -> Column:
-    return F.array_join(F.slice("_w", i + 1, F.lit(k)), " ").alias("window")
+def _spelled(w: Column, i: Column, k: int) -> Column:
+    return F.array_join(F.slice(w, i + 1, F.lit(k)), " ").alias("window")
 
 
-def _near(k: int, found: list[int]) -> Column:
+def _near(w: Column, h: Column, k: int, found: list[int]) -> Column:
     """Windows of k words whose hash is known, spelled out."""
-    hit = F.filter(_places(k), lambda i: window_hash(F.col("_h"), i, k).isin(found))
-    return F.transform(hit, lambda i: F.struct(F.lit(k).alias("width"), i.alias("at"), _spelled(i, k)))
+    hit = F.filter(_places(w, k), lambda i: window_hash(h, i, k).isin(found))
+    return F.transform(hit, lambda i: F.struct(F.lit(k).alias("width"), i.alias("at"), _spelled(w, i, k)))
 
 
-def _spans(k: int) -> Column:
+def _spans(w: Column, h: Column, k: int) -> Column:
     """All windows of k words, with hash and words."""
-    return F.transform(_places(k), lambda i: F.struct(F.lit(k).alias("width"), i.alias("at"), window_hash(F.col("_h"), i, k).alias("hash"), _spelled(i, k)))
+    return F.transform(_places(w, k), lambda i: F.struct(F.lit(k).alias("width"), i.alias("at"), window_hash(h, i, k).alias("hash"), _spelled(w, i, k)))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",), text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
@@ -78,7 +78,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str
         sets: dict[int, list[int]] = {}
         for r in known:
             sets.setdefault(r["width"], []).append(r["hash"])
-        parts = [_near(k, found) for k, found in sorted(sets.items())]
+        parts = [_near(F.col("_w"), F.col("_h"), k, found) for k, found in sorted(sets.items())]
         kind = "array<struct<width:int,at:int,window:string>>"
         near = F.concat(*parts) if parts else F.array().cast(kind)
         rows = scanned.select(*keep, "_row", F.size("_w").cast("long").alias("n_words"), near.cast(kind).alias("_near"))
@@ -88,7 +88,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str
         hits = hits.join(F.broadcast(windows.drop("hash")), ["width", "window"], "left")
     else:
         lengths = [r["width"] for r in windows.select("width").distinct().collect()]  # at most `width` values
-        spans = F.concat(*(_spans(k) for k in lengths))
+        spans = F.concat(*(_spans(F.col("_w"), F.col("_h"), k) for k in lengths))
         hits = scanned.select("_row", *keep, F.size("_w").cast("long").alias("n_words"), F.explode_outer(spans).alias("_x"))
         hits = hits.select("_row", *keep, "n_words", "_x.*").join(windows, ["width", "hash", "window"], "left")
     hit = F.when(F.col("item").isNotNull(), F.struct("item", "width", "at"))
@@ -104,11 +104,33 @@ def digests(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """Rows without any hit, with all their columns. A contaminated document goes whole: its rest belongs to a leaked item."""
-    names = docs.columns
-    kept = scan(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc"), F.col("text").alias("_text")), benchmark, width, ("_doc",), "_text")
-    return kept.where(F.size("hits") == 0).select("_doc.*")
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
+    """Rows without any hit, with all their columns. A contaminated document goes whole: its rest belongs to a leaked item.
+
+    With the windows themselves as a second constant set, this needs no exchange.
+    """
+    windows = item_windows(benchmark, width).select("width", "hash", "window").distinct()
+    known = windows.limit(set_limit + 1).collect()
+    if len(known) > set_limit:
+        rows = scan(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{text}`").alias("_text")), benchmark, width, ("_doc",), "_text", set_limit)
+        return rows.where(F.size("hits") == 0).select("_doc.*")
+    sets: dict[int, list] = {}
+    for r in known:
+        sets.setdefault(r["width"], []).append(r)
+
+    def leaks(x: Column) -> Column:
+        hit = F.lit(False)
+        for k, some in sorted(sets.items()):
+            hit = hit | _holds(_near(x["w"], x["h"], k, [r["hash"] for r in some]), [r["window"] for r in some])
+        return hit
+
+    # bound by a lambda, the words are made once a row, wherever the optimizer puts the filter
+    bound = F.transform(F.array(words(F.col(f"`{text}`"))), lambda w: F.struct(w.alias("w"), F.transform(w, lambda x: F.xxhash64(x)).alias("h")))
+    return docs.where(~F.exists(bound, leaks))
+
+
+def _holds(near: Column, windows: list[str]) -> Column:
+    return F.exists(near, lambda x: x["window"].isin(windows))
 
 
 #: The same in DuckDB.
