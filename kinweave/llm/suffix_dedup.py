@@ -27,6 +27,7 @@ or repeated key is fine; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ LENGTH, GRAM = 200, 24
 #: Bits of a place within a text; a text may have 256 MB.
 PLACE = 28
 #: Bytes of one suffix array, and distinct regions of one anchor before it is divided.
-ARRAY_BYTES = 4_000_000
-HOT, NARROW = 256, 16
+ARRAY_BYTES = 1_000_000
+HOT, NARROW = 2048, 16
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -125,23 +126,25 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "h long, rhash long, occ long, size int")
 
 
-def _cut(row: int, text: bytes, at: list) -> list[tuple]:
-    return [(x["h"], x["rhash"], x["n"], x["hot"], text[(p := x["occ"] & ((1 << PLACE) - 1)) : p + x["size"]]) for x in at]
-
-
 REGION = "h long, rhash long, n long, hot boolean, bytes binary"
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of each distinct region, from the text of its first occurrence."""
-    places = wanted.groupBy(F.shiftright("rep", PLACE).alias("row")).agg(F.collect_list(F.struct("h", "rhash", "n", "hot", F.col("rep").alias("occ"), "size")).alias("at"))
+    place = F.col("rep").bitwiseAND(F.lit((1 << PLACE) - 1))
+    at = F.collect_list(F.struct("h", "rhash", "n", "hot", place.alias("place"), "size"))
+    places = wanted.groupBy(F.shiftright("rep", PLACE).alias("row")).agg(at.alias("at"))
+    columns = ["h", "rhash", "n", "hot", "place", "size"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [x for row, text, at in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True) for x in _cut(row, text, at)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "rhash", "n", "hot", "bytes"])
+        counts = batch.column(1).value_lengths().to_pylist()
+        h, rhash, n, hot, place, size = (batch.column(i).flatten() for i in range(1, 7))
+        spans, out = zip(place.to_pylist(), size.to_pylist(), strict=True), []
+        for text, k in zip(as_bytes(batch.column(0)), counts, strict=True):
+            out += [text[p : p + s] for p, s in islice(spans, k)]
+        return pa.RecordBatch.from_arrays([h, rhash, n, hot, pa.array(out, pa.binary())], names=["h", "rhash", "n", "hot", "bytes"])
 
-    return arrow_rows(rows.join(places, "row").select("row", "text", "at"), run, REGION)
+    return arrow_rows(rows.join(places, "row").select("text", *(F.col(f"at.{c}").alias(c) for c in columns)), run, REGION)
 
 
 def repeated(regions: list[bytes], weights: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -149,15 +152,16 @@ def repeated(regions: list[bytes], weights: np.ndarray, length: int = LENGTH) ->
     sizes = np.fromiter(map(len, regions), np.int64, len(regions))
     text = np.frombuffer(b"".join(regions), np.uint8)
     start = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(regions)), sizes)
-    place = np.arange(len(text)) - start[owner]
-    window = place <= sizes[owner] - length
+    owner = np.repeat(np.arange(len(regions), dtype=np.int32), sizes)
+    place = np.arange(len(text), dtype=np.int32) - np.repeat(start.astype(np.int32), sizes)
+    window = place <= np.repeat((sizes - length).astype(np.int32), sizes)
     sa = suffix_array(text)
     same = common_prefixes(text, sa)[sa] >= length
     of = np.cumsum(~same)
-    total = np.bincount(of, np.where(window[sa], weights[owner[sa]], 0))
+    real = window[sa]
+    total = np.bincount(of, np.where(real, weights[owner[sa]], 0))
     found = np.zeros(len(text), bool)
-    found[sa] = window[sa] & (total[of] > 1)
+    found[sa] = real & (total[of] > 1)
     edge = np.diff(np.concatenate([[False], found, [False]]).astype(np.int8))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
     # windows at a region's end are never beside the next region's first, as the last length - 1 places hold none
@@ -232,7 +236,7 @@ def _spans(regions: DataFrame, parts: int, length: int) -> DataFrame:
     """h, rhash, spans of all regions (h, rhash, n, hot, bytes)."""
     out = _sorted_shards(regions.where(~F.col("hot")).withColumnRenamed("h", "g"), parts, length).withColumnRenamed("g", "h")
     hot = regions.where("hot")
-    if hot.head() is None:
+    if not hot.count():
         return out
     for step in (NARROW, 1):
         cut = durable(_divided(hot, step, length))
@@ -276,31 +280,33 @@ def _numbered(df: DataFrame, text: str, key: str) -> tuple[DataFrame, bool]:
 
 
 def covers(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """row, spans array<struct<from, to>> of the texts (row, text) with repeated bytes; spans may overlap."""
+    """row, starts and ends (arrays of the same length) of the texts (row, text) with repeated bytes; the spans between them may overlap."""
     spark = rows.sparkSession
     anchors = durable(_anchors(rows, length))
-    distinct = anchors.groupBy("h", "rhash").agg(F.count("*").alias("n"), F.min("occ").alias("rep"), F.max("size").alias("size"))
-    distinct = durable(distinct)
+    distinct = durable(anchors.groupBy("h", "rhash").agg(F.count("*").alias("n"), F.min("occ").alias("rep"), F.max("size").alias("size")))
     shared = distinct.groupBy("h").agg(F.sum("n").alias("t"), F.count("*").alias("d")).where(F.col("t") > 1).select("h", (F.col("d") > HOT).alias("hot"))
-    wanted = durable(distinct.join(shared, "h"))
-    size = wanted.select(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * ARRAY_BYTES)))
-    spans = durable(_spans(durable(_fetch(rows, wanted)), parts, length))
+    regions = durable(_fetch(rows, distinct.join(shared, "h")))
+    size = regions.count() * 300  # bytes, about
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), size // 16_000_000)
+    spans = _spans(regions, parts, length)
     place = F.col("occ").bitwiseAND(F.lit((1 << PLACE) - 1))
     pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct((place + F.get("spans", i * 2)).alias("from"), (place + F.get("spans", i * 2 + 1) + length).alias("to")))
     found = anchors.select("h", "rhash", "occ").join(spans, ["h", "rhash"]).select(F.shiftright("occ", PLACE).alias("row"), F.explode(pairs).alias("s"))
-    return found.groupBy("row").agg(F.collect_list("s").alias("spans"))
+    return found.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("s")).select("row", F.col("s.from").alias("starts"), F.col("s.to").alias("ends"))
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal removed runs, in order."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["from"], s["to"]) for s in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+def merged(starts: list[int] | None, ends: list[int] | None) -> list[tuple[int, int]]:
+    """Maximal removed runs, in order, of spans sorted by their starts."""
+    out: list[tuple[int, int]] = []
+    from_, to = -1, -1
+    for a, b in zip(starts or (), ends or (), strict=True):
+        if a <= to:
+            to = max(to, b)
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            if to >= 0:
+                out.append((from_, to))
+            from_, to = a, b
+    return [*out, (from_, to)] if to >= 0 else out
 
 
 def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -318,14 +324,14 @@ def digests(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for data, spans in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            spans = merged(spans)
+        for data, starts, ends in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            spans = merged(starts, ends)
             left = kept(data, spans)
             out.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return arrow_rows(joined.select(key, "text", "spans"), run, f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_rows(joined.select(key, "text", "starts", "ends"), run, f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", chars: str | None = "n_chars") -> DataFrame:
@@ -337,9 +343,9 @@ def clean(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "d
     joined = named.join(covers(named.select("row", "text"), length), "row", "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [None if t is None else kept(t, merged(s)).decode("utf-8", "ignore") for t, s in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        texts = [None if t is None else kept(t, merged(a, b)).decode("utf-8", "ignore") for t, a, b in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_doc", "_text"])
 
-    out = arrow_rows(joined.select("_doc", "text", "spans"), run, f"_doc {dict(named.dtypes)['_doc']}, _text string")
+    out = arrow_rows(joined.select("_doc", "text", "starts", "ends"), run, f"_doc {dict(named.dtypes)['_doc']}, _text string")
     columns = [F.col("_text").alias(c) if c == text else F.char_length("_text").cast(dict(df.dtypes)[c]).alias(c) if c == chars else F.col(f"_doc.`{c}`").alias(c) for c in df.columns]
     return out.select(*columns)

@@ -21,12 +21,12 @@ import numpy as np
 def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the one to its right (S type); t ends in a unique smallest symbol."""
     n = len(t)
-    step = np.sign(np.diff(t.astype(np.int64)))  # of places 0 .. n - 2
+    step = np.diff(t)  # of places 0 .. n - 2
     # within a run of equal symbols the type is that of the run's last place
-    nxt = np.where(step != 0, np.arange(n - 1), n)
+    nxt = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n - 2))
     nxt = np.minimum.accumulate(nxt[::-1])[::-1]
     out = np.ones(n, bool)
-    out[:-1] = step[np.minimum(nxt, n - 2)] > 0
+    out[:-1] = step[nxt] > 0
     return out
 
 
@@ -34,7 +34,7 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, counts: np.ndarr
     """All suffixes in order, induced from LMS places given in order (grouped by first symbol)."""
     n, symbols = len(t), np.flatnonzero(counts)
     heads = np.concatenate([[0], np.cumsum(counts)])
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     sa[0] = n - 1  # the end, which nothing induces
     first = t[lms]
     bounds = np.searchsorted(first, np.arange(len(counts) + 1))
@@ -45,8 +45,11 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, counts: np.ndarr
     def spread(places: np.ndarray, own: int, want: bool, at: np.ndarray, forward: bool) -> np.ndarray:
         """Put the left neighbours of `places` that have the wanted type into their buckets; return those of bucket `own`."""
         left = places - 1
-        left = left[left >= 0]
-        left = left[s_type[left] == want]
+        if forward:  # the first place of all has no left neighbour; it is met as -1 at most once
+            left = left[left >= 0]
+            left = left[~s_type[left]]
+        else:
+            left = left[s_type[left] & (left >= 0)]
         if not len(left):
             return left
         c = t[left]
@@ -55,12 +58,14 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, counts: np.ndarr
         left, c = left[order], c[order]
         starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(c)]]))
-        nth = np.arange(len(c)) - np.repeat(starts, sizes)
+        # runs of one symbol lie side by side on both sides, but for where their bucket stands
         if forward:
-            sa[at[c] + nth] = left
+            first = at[c[starts]]
+            sa[np.arange(len(c)) + np.repeat(first - starts, sizes)] = left
             at[c[starts]] += sizes
         else:
-            sa[at[c] - nth] = left
+            first = at[c[starts]]
+            sa[np.repeat(first + starts, sizes) - np.arange(len(c))] = left
             at[c[starts]] -= sizes
         return mine
 
@@ -87,7 +92,7 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, counts: np.ndarr
 def _rank_names(names: np.ndarray) -> np.ndarray:
     """Order of all suffixes of a string of names, by doubling over ranks; names that no other shares are settled."""
     rank, step, n = names.astype(np.int64), 1, len(names)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     sorted_ = rank[order]
     # rank: place of the first of its group
     start = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
@@ -102,10 +107,10 @@ def _rank_names(names: np.ndarray) -> np.ndarray:
         who = order[tied]
         after = who + step
         second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        sub = np.lexsort((second, first[tied]))
-        order[tied] = who[sub]
-        second, group = second[sub], first[tied]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
+        key = first[tied] * (n + 1) + second + 1
+        sub = np.argsort(key)
+        order[tied], key = who[sub], key[sub]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         start[tied] = new
         first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
         rank[order[tied]] = first[tied]
@@ -120,7 +125,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     t = np.concatenate([text.astype(np.int16) + 1, [0]]).astype(np.int16)
     counts = np.bincount(t, minlength=257)
     s_type = _types(t)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    lms = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(np.int32)
     # LMS substrings in order: induce from LMS places sorted by first symbol alone
     sa = _induce(t, s_type, lms[np.argsort(t[lms], kind="stable")], counts)
     is_lms = np.zeros(n + 1, bool)
@@ -128,7 +133,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     by_substring = sa[is_lms[sa]]
     # equal neighbours get one name: compare the substrings up to and with the next LMS place
     end = np.append(lms[1:], n)
-    at = np.searchsorted(lms, by_substring)
+    nth = np.empty(n + 1, np.int32)
+    nth[lms] = np.arange(len(lms), dtype=np.int32)
+    at = nth[by_substring]
     length = end[at] - by_substring + 1
     same = np.zeros(len(at), bool)
     a, b = by_substring[:-1], by_substring[1:]
@@ -150,9 +157,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """plcp: for each place of the text, the common prefix of its suffix and that suffix's predecessor in the array."""
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     irreducible = np.ones(n, bool)
     p, q = place[1:], before[1:]
     fine = q > 0
@@ -175,7 +182,5 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
         live, a, b = live[more], a[more] + 8, b[more] + 8
         ends = (a < n) & (b < n)
         live, a, b = live[ends], a[ends], b[ends]
-    head = np.maximum.accumulate(np.where(irreducible, place, 0))
-    of = np.zeros(n, np.int64)
-    of[heads] = length
-    return of[head] - (place - head)
+    # the value falls by one from each irreducible place to the next
+    return np.repeat(length + heads, np.diff(np.append(heads, n))) - place
