@@ -1,0 +1,4 @@
+"""Which source's coordinates go first."""
+
+# Sources in order of preference.
+PLACE_ORDER = ("http://sws.geonames.org/", "http://dbpedia.org/")

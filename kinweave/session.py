@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +29,41 @@ def ship(spark: SparkSession) -> None:
                     z.write(file, os.path.join("kinweave", os.path.relpath(file, here)))
     context.addPyFile(path)
     context._kinweave_shipped = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder for intermediate tables: the cluster's spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if made.isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-"))
+            made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = made.get()
+    return f"{root.rstrip('/')}/kinweave/{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost executor costs nothing before it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
+    """fn over rows as dictionaries, in Arrow batches; gives tuples of the schema's columns."""
+    ship(df.sparkSession)
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                out += fn(row)
+                if len(out) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+
+    return df.mapInArrow(run, schema)
