@@ -1,15 +1,15 @@
-"""Shared plumbing of the text operators: Arrow maps, durable stages, column names that can't clash."""
+"""Shared plumbing of the text operators: Arrow maps in short batches, and what the session gives."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import durable, scratch, ship
+
+__all__ = ["arrow_rows", "as_bytes", "durable", "scratch", "small_batches"]
 
 #: Rows in an Arrow batch sent to Python. Texts may be long, so batches are kept short; nothing is cut.
 BATCH_ROWS = 1000
@@ -22,26 +22,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the cluster's spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-"))
-            made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = made.get()
-    return f"{root.rstrip('/')}/kinweave/{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost executor costs nothing before it."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow over single batches; fn may return None for no rows."""
     small_batches(df.sparkSession)

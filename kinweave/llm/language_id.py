@@ -93,14 +93,17 @@ PHRASE = np.uint16(1 << 15)
 def transducer(sample: bytes, classes: np.ndarray) -> np.ndarray:
     """Flat table: at state * CLASSES + class, the next state, plus PHRASE where a phrase ends before this byte."""
     step, _ = automaton(classes[np.frombuffer(sample, np.uint8)])
-    table = np.full((len(step), CLASSES), PHRASE, np.uint16)
+    # one state more for "behind an unknown byte", which is a phrase of its own
+    after = len(step)
+    table = np.full((after + 1, CLASSES), after | int(PHRASE), np.uint16)
     for c, to in step[0].items():
         table[:, c] = to | int(PHRASE)
     for s, moves in enumerate(step):
         for c, to in moves.items():
             table[s, c] = to
-    table[0, UNKNOWN] = PHRASE
-    table[:, PAD] = np.arange(len(step))
+    # at the root nothing has been read yet, so no phrase ends; what the sample lacks is there like an unknown byte
+    table[0] &= ~PHRASE
+    table[:, PAD] = np.arange(after + 1)
     return table.ravel()
 
 

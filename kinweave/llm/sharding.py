@@ -110,7 +110,7 @@ def shard(df: DataFrame, shards: int, text: str = "text", key: str = "doc_id") -
     targets = [-(-bytes_ * i // (shards * runs)) for i in range(1, shards * runs)]
     exact = {i for i in range(len(targets)) if (i + 1) % runs == 0}
     found = splitters(rows, targets, exact, (bytes_, n), (lo, hi)) if n else []
-    starts = [(i + 1 if i + 1 in exact or (i + 1) % runs == 0 else None, b, c) for i, (b, c) in enumerate(found)]
+    starts = [(i + 1 if i in exact else None, b, c) for i, (b, c) in enumerate(found)]
     shard_of, first, below = [0], [0], 0
     order = sorted(starts, key=lambda x: (x[1], x[0] is None))
     for nth, _, c in order:

@@ -10,7 +10,7 @@ broadcast: what they hold grows with the corpus, so a shard's tree and its searc
 
 A shard of more than `shard_limit` distinct fingerprints is divided again by bands of the bits that its key doesn't fix yet,
 which is exact for the same reason, until shards are small or hold what few bits tell apart. Of a shard's links, a spanning
-star of each of its components leaves the task; components of all shards are merged by alternating stars (components.py).
+star of each of its components leaves the task; components of all shards are merged by alternating stars (operators/components.py).
 
 Defined cases: null, empty and white-space texts have fingerprint zero and are linked like any other; texts with fewer
 words than a shingle are one shingle; equal texts share a fingerprint, which is searched once; a null key takes part and
@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import stars as components
 from .bpe import groups
 from .common import arrow_rows, as_bytes, durable, small_batches
-from .components import components
 
 #: Distinct fingerprints of one shard's tree.
 SHARD_LIMIT = 1024

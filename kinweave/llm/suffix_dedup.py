@@ -285,7 +285,7 @@ def covers(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     anchors = durable(_anchors(rows, length))
     distinct = durable(anchors.groupBy("h", "rhash").agg(F.count("*").alias("n"), F.min("occ").alias("rep"), F.max("size").alias("size")))
     shared = distinct.groupBy("h").agg(F.sum("n").alias("t"), F.count("*").alias("d")).where(F.col("t") > 1).select("h", (F.col("d") > HOT).alias("hot"))
-    regions = durable(_fetch(rows, distinct.join(shared, "h")))
+    regions = durable(_fetch(rows, durable(distinct.join(shared, "h"))))
     size = regions.count() * 300  # bytes, about
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), size // 16_000_000)
     spans = _spans(regions, parts, length)
