@@ -156,9 +156,6 @@ def type_mapping(spark, sf_dir):
 # --- similarities
 
 
-_GEO_PAIRS = f"(SELECT s, t FROM {GEO_SQL} s JOIN {GEO_SQL} t ON s.nation = t.nation AND s.id < t.id)"
-
-
 def _place_pairs(spark, sf_dir):
     return blocking.pairs(adapters.places(spark, sf_dir), "nation")
 
@@ -216,9 +213,6 @@ def jaro_winkler_pairs(spark, sf_dir):
     return blocking.pairs(rows, "k").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.round(similarity.jaro_winkler(F.col("src"), F.col("dst")), 6).alias("sim"))
 
 
-_LABEL_TABLE = "(SELECT DISTINCT s_name AS label FROM supplier)"
-
-
 @query(f"""SELECT s.id AS src, t.id AS dst, round(coalesce(0.25 * ({_type_sim('s.types[1]', 't.types[1]')}), 0) + 0.3 * ({sql.place_sim()}), 6) AS weighted,
   {sql.mean([f"({_type_sim('s.types[1]', 't.types[1]')})", f"({sql.place_sim()})"], 6)} AS mean FROM {GEO_SQL} s JOIN {GEO_SQL} t ON s.nation = t.nation AND s.id < t.id""")
 def aggregated_similarities(spark, sf_dir):
@@ -251,9 +245,6 @@ def new_source_pairs(spark, sf_dir):
     return blocking.pairs(_blocked(spark, sf_dir).select("id", "sources_int", "block"), "block", blocking.with_new_source(16)).select("src", "dst")
 
 
-_GEO_BLOCKED = f"(SELECT *, nation % 5 + id % 40 * 5 AS block, {_TYPE_BIT} AS types_int FROM {GEO_SQL})"
-
-
 def _geo_blocked(spark, sf_dir):
     rows = adapters.places(spark, sf_dir)
     return rows.select("id", "sources_int", types.mask(F.col("types")).cast("long").alias("types_int"), (F.col("id") % 40).alias("block"))
@@ -325,7 +316,7 @@ def idf_block_pairs(spark, sf_dir):
     return blocking.word_pairs(blocking.top_words(words, blocking.inverse_frequencies(words)), 2)
 
 
-@query(f"""WITH c AS (SELECT list(word) AS c FROM (SELECT word FROM {_BENCH_WORDS.replace("unnest", "unnest")} b JOIN (SELECT word, df, log10(sum(df) OVER () // df) AS idf FROM (SELECT word, count(*) AS df FROM {_BENCH_WORDS} GROUP BY word)) i USING (word) GROUP BY word, idf ORDER BY idf, word LIMIT 20)),
+@query(f"""WITH c AS (SELECT list(word) AS c FROM (SELECT word FROM {_BENCH_WORDS} b JOIN (SELECT word, df, log10(sum(df) OVER () // df) AS idf FROM (SELECT word, count(*) AS df FROM {_BENCH_WORDS} GROUP BY word)) i USING (word) GROUP BY word, idf ORDER BY idf, word LIMIT 20)),
 r AS (SELECT item_id AS id, lower(text) AS low, array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda w: NOT list_contains(c, w)), ' ') AS l FROM benchmark, c)
 SELECT id, CASE WHEN length(l) >= 6 THEN l ELSE low END AS label FROM r""")
 def stopword_trim(spark, sf_dir):
@@ -601,11 +592,6 @@ def incremental_vertex(spark, sf_dir):
     return _flat(workflows.add_rows(rows.where("data_source = '1'"), rows.where("data_source = '3'"), _music_config())).select("id", "clustered", "sources_int")
 
 
-_SOURCE_PAIRS = f"""(SELECT s.id AS src, t.id AS dst, l.sim FROM {PART_SQL} s JOIN {PART_SQL} t ON s.label = t.label AND s.artist = t.artist
-  JOIN {sql.similar_labels("(SELECT DISTINCT p_brand || ' - ' || p_name || ' - ' || p_type AS label FROM part)")} l ON l.a = s.artist || ' - ' || s.label || ' - ' || s.album AND l.b = t.artist || ' - ' || t.label || ' - ' || t.album
-  WHERE s.sources_int <> 16 AND t.sources_int = 16 AND l.sim >= 0.9)"""
-
-
 @query()
 def incremental_source(spark, sf_dir):
     rows = _named_parts(spark, sf_dir)
