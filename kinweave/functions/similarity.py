@@ -22,11 +22,14 @@ def gram_counts(x: Column) -> Column:
 
 def cosine_trigram(a: Column, b: Column) -> Column:
     """Cosine of the trigram counts of two strings between ## and ##; 0 if one is empty and the other isn't, 1 if both are."""
-    # pairs of equal grams, one of either side
-    dot = lambda x, y: F.aggregate(x, F.lit(0), lambda n, g: n + F.size(F.filter(y, lambda z: z == g))).cast("double")
+    # pairs of equal grams, one of either side; where no gram repeats, that is the size of the intersection
+    once = lambda x: F.size(F.array_distinct(x)) == F.size(x)
+    counted = lambda x, y: F.aggregate(x, F.lit(0), lambda n, g: n + F.size(F.filter(y, lambda z: z == g)))
+    dot = lambda x, y: F.when(once(x) & once(y), F.size(F.array_intersect(x, y))).otherwise(counted(x, y)).cast("double")
+    norm = lambda x: F.when(once(x), F.size(x)).otherwise(counted(x, x)).cast("double")
     # bound by a lambda, the grams are made once a row
-    both = F.transform(F.array(F.struct(padded_trigrams(a).alias("x"), padded_trigrams(b).alias("y"))), lambda p: F.when((F.size(p["x"]) == 0) & (F.size(p["y"]) == 0), F.lit(1.0)).when((F.size(p["x"]) == 0) | (F.size(p["y"]) == 0), F.lit(0.0)).otherwise(dot(p["x"], p["y"]) / F.sqrt(dot(p["x"], p["x"]) * dot(p["y"], p["y"]))))
-    return F.when(a.isNotNull() & b.isNotNull(), F.get(both, 0))
+    both = F.transform(F.array(F.struct(padded_trigrams(a).alias("x"), padded_trigrams(b).alias("y"))), lambda p: F.when((F.size(p["x"]) == 0) & (F.size(p["y"]) == 0), F.lit(1.0)).when((F.size(p["x"]) == 0) | (F.size(p["y"]) == 0), F.lit(0.0)).otherwise(dot(p["x"], p["y"]) / F.sqrt(norm(p["x"]) * norm(p["y"]))))
+    return F.when(a == b, 1.0).when(a.isNotNull() & b.isNotNull(), F.get(both, 0))
 
 
 def _jaro_winkler(a: str | None, b: str | None) -> float | None:

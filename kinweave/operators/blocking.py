@@ -229,3 +229,21 @@ def bloom_bits(x: Column, size: int = 1024, hashes: int = 4) -> Column:
     """Sorted bit positions of a value in a Bloom filter, by double hashing of MD5 and SHA-1."""
     a, b = text.digest_int(x, "md5").cast("long"), text.digest_int(x, "sha1").cast("long")
     return F.array_sort(F.array_distinct(F.array(*(F.pmod(a + b * i, F.lit(size)).cast("int") for i in range(hashes)))))
+
+
+def bloom_union(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_union(a, b))
+
+
+def bloom_intersection(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_intersect(a, b))
+
+
+def bloom_difference(a: Column, b: Column) -> Column:
+    """Bits of exactly one of the two."""
+    return F.array_sort(F.array_union(F.array_except(a, b), F.array_except(b, a)))
+
+
+def may_hold(bits_: Column, x: Column, size: int = 1024, hashes: int = 4) -> Column:
+    """Whether a value may be in a filter; never false for one that is."""
+    return F.size(F.array_except(bloom_bits(x, size, hashes), bits_)) == 0

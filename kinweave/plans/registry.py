@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, geo, similarity, text, types
-from ..operators import blocking, corruption, evaluation, groups, links, merging, representatives
+from ..operators import blocking, corruption, evaluation, filters, groups, links, merging, representatives
 from ..operators.components import with_components
 from ..session import durable, scratch
 from ..sources import adapters, graphs
@@ -521,8 +521,11 @@ def representative_geo(spark, sf_dir):
 
 
 def _merge_parts(spark, sf_dir, domain):
-    # the brand's number goes into the names, so that blocks stay small
-    rows = adapters.parts(spark, sf_dir).withColumn("label", F.concat(F.substring("artist", 7, 2), F.lit(" "), F.col("label")))
+    # the brand's number and the start of the type go into the names, so that blocks stay small
+    label = F.concat(F.substring("artist", 7, 2), F.lit(" " if domain == "music" else ""), F.col("label"))
+    rows = adapters.parts(spark, sf_dir).withColumn("label", label)
+    if domain == "nc":
+        rows = rows.withColumn("artist", F.concat(F.substring("album", 1, 3), F.col("artist")))
     return merging.merge_clusters(rows, domain, 0.9, 5, 40 if domain == "music" else 8)
 
 
@@ -605,6 +608,45 @@ def holistic_places(spark, sf_dir):
     return _flat(workflows.holistic(adapters.places(spark, sf_dir), adapters.place_edges(spark, sf_dir), config)).select("id", "clustered", "sources_int")
 
 
+@query()
+def main_source_places(spark, sf_dir):
+    config = workflows.Config(domain="geo", block_length=16, sources=tuple(bits.GEO_SOURCES.items()), merge_least=0.7)
+    rows = adapters.places(spark, sf_dir).withColumn("data_sources", F.array("data_source"))
+    return _flat(workflows.add_main_sources(rows, config)).select("id", "clustered", "sources_int")
+
+
+# --- filters
+
+
+@query(f"""SELECT id FROM {PART_SQL} WHERE data_source IN ('1', '4')""")
+def source_filter(spark, sf_dir):
+    return filters.of_sources(adapters.parts(spark, sf_dir), ["1", "4"]).select("id")
+
+
+@query(f"SELECT label, array_to_string(list_sort(list(id)), ',') AS clustered FROM {PART_SQL} GROUP BY label, artist HAVING count(*) = 2 AND bit_count(bit_or(sources_int)) < 2")
+def cluster_filters(spark, sf_dir):
+    rows = adapters.parts(spark, sf_dir).groupBy("label", "artist").agg(F.array_sort(F.collect_list("id")).alias("clustered"), F.bit_or("sources_int").alias("sources_int"))
+    return _flat(filters.with_room(filters.of_size(rows, 2), 2)).select("label", "clustered")
+
+
+@query(f"""WITH p AS (SELECT s.id AS a, t.id AS b, s.sources_int AS m, t.sources_int AS n FROM {_BLOCKED} s JOIN {_BLOCKED} t ON s.block = t.block AND s.id < t.id WHERE s.sources_int & t.sources_int = 0)
+SELECT CASE WHEN m = 16 THEN b ELSE a END AS src, CASE WHEN m = 16 THEN a ELSE b END AS dst FROM p WHERE m = 16 OR n = 16""")
+def new_source_last(spark, sf_dir):
+    found = blocking.pairs(_blocked(spark, sf_dir).select("id", "sources_int", "block"), "block", blocking.with_new_source(16))
+    return filters.new_source_last(filters.smaller_first(found), 16).select("src", "dst")
+
+
+@query(f"""WITH p AS (SELECT s.id AS src, t.id AS dst FROM {_BLOCKED} s JOIN {_BLOCKED} t ON s.block = t.block AND s.id < t.id WHERE s.sources_int & t.sources_int = 0)
+SELECT src AS id, src AS "to" FROM p UNION ALL SELECT dst, src FROM p""")
+def merge_transitions(spark, sf_dir):
+    return filters.transitions(blocking.pairs(_blocked(spark, sf_dir).select("id", "sources_int", "block"), "block", blocking.disjoint(5)))
+
+
+@query(f"SELECT id FROM {PART_SQL} WHERE id NOT IN (SELECT src FROM {PART_EDGES_SQL})")
+def unmatched_rows(spark, sf_dir):
+    return filters.without(adapters.parts(spark, sf_dir).select("id"), adapters.part_edges(spark, sf_dir).select(F.col("src").alias("id")), "id")
+
+
 # --- damage, quality, counts
 
 

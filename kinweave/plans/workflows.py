@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits, similarity, text, types
-from ..operators import blocking, groups, links, merging, representatives
+from ..operators import blocking, filters, groups, links, merging, representatives
 from ..operators.components import with_components
 from ..session import durable
 
@@ -122,12 +122,24 @@ def add_source(clusters: DataFrame, new: DataFrame, config: Config, bit: int) ->
     return merged.unionByName(rest.select(*merged.columns))
 
 
+def add_single_source(clusters: DataFrame, new: DataFrame, config: Config, bit: int) -> DataFrame:
+    """Rows of one source of places added by a one-to-one assignment of highest total similarity."""
+    return add_source(clusters, new, replace(config, domain="geo", match="hungarian"), bit)
+
+
+def add_main_sources(rows: DataFrame, config: Config) -> DataFrame:
+    """Places of the two large sources (GeoNames and DBpedia) matched with each other, the rest left out."""
+    first, second = "http://sws.geonames.org/", "http://dbpedia.org/"
+    sides = [filters.of_source(rows, s) for s in (first, second)]
+    return add_single_source(sides[0], sides[1], config, dict(config.sources)[second])
+
+
 #: Which function a step runs.
-STEPS = {"initial": initial, "vertex_addition": add_rows, "source_addition": add_source}
+STEPS = {"initial": initial, "vertex_addition": add_rows, "source_addition": add_source, "single_source": add_single_source}
 
 
 def run_step(step: str, config: Config, *args) -> DataFrame:
     """A step by its name; cluster addition has no defined result."""
     if step not in STEPS:
         raise ValueError(f"no step {step}")
-    return STEPS[step](*args[:-1], config, args[-1]) if step == "source_addition" else STEPS[step](*args, config)
+    return STEPS[step](*args[:-1], config, args[-1]) if step in ("source_addition", "single_source") else STEPS[step](*args, config)

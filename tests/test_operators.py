@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import blocking, components, corruption, evaluation, groups, links, merging, representatives
+from kinweave.operators import blocking, components, corruption, evaluation, filters, groups, links, merging, representatives
 
 
 def vertices(spark, *more, schema="id long, data_source string, sources_int long"):
@@ -210,3 +210,26 @@ def test_rejoin(spark, rows):
     schema = "id long, label string, lat double, lon double, types array<string>, hash_cc long, old_hash_cc long"
     data = [(395207, "Chad", 15.0, 19.0, ["Country"], 1, 100), (513732, "Chad", 15.1, 19.0, ["Country"], 2, 100), (7, "Peru", -9.0, -75.0, ["Country"], 3, 100), (8, "Chad", 15.0, 19.0, ["Country"], 4, None)]
     assert rows(merging.rejoin(spark.createDataFrame(data, schema)), "id", "hash_cc") == [(395207, 1), (513732, 1), (7, 3), (8, 4)]
+
+
+def test_filters(spark, rows):
+    df = spark.createDataFrame([(1, "a", None, [1], 1), (2, None, ["a", "b"], [2, 3], 3), (4, None, ["c"], [4], 4), (5, None, None, [5], 0)], "id long, data_source string, data_sources array<string>, clustered array<long>, sources_int long")
+    assert rows(filters.of_source(df, "a"), "id") == [(1,), (2,)]
+    assert rows(filters.of_sources(df, ["b", "c"]), "id") == [(2,), (4,)]
+    assert rows(filters.of_size(df, 2), "id") == [(2,)]
+    assert rows(filters.with_room(df, 2), "id") == [(1,), (4,), (5,)]
+    assert rows(filters.sources(df.where("data_sources IS NOT NULL"))) == [("a",), ("b",), ("c",)]
+    assert rows(filters.of_ids(df, spark.createDataFrame([(4,)], "id long")), "id") == [(4,)]
+    p = blocking.pairs(df.select("id", "sources_int").withColumn("k", F.lit(1)), "k")
+    assert rows(filters.new_source_last(p.where("src = 1 AND dst = 4"), 1), "src", "dst") == [(4, 1)]
+    assert rows(filters.smaller_first(filters.new_source_last(p.where("src = 1 AND dst = 4"), 1)), "src", "dst") == [(1, 4)]
+    assert rows(filters.ends(p.where("src = 1")), "id") == [(1,), (2,), (4,), (5,)]
+    assert rows(filters.transitions(p.where("src = 1 AND dst = 4"))) == [(1, 1), (4, 1)]
+    sims = spark.createDataFrame([(1, 0.5), (2, 0.7)], "id long, sim double")
+    assert rows(filters.at_least(sims, 0.7), "id") == [(2,)]
+
+
+def test_bloom_filters(spark):
+    df = spark.createDataFrame([("a", "b")], "a string, b string").select("a", "b", blocking.bloom_bits(F.col("a")).alias("x"), blocking.bloom_bits(F.col("b")).alias("y"))
+    r = df.select(blocking.bloom_union(F.col("x"), F.col("y")).alias("u"), blocking.bloom_intersection(F.col("x"), F.col("y")).alias("i"), blocking.bloom_difference(F.col("x"), F.col("y")).alias("d"), "x", "y", blocking.may_hold(blocking.bloom_union(F.col("x"), F.col("y")), F.col("a")).alias("h")).head()
+    assert set(r["u"]) == {*r["x"], *r["y"]} and set(r["i"]) == {*r["x"]} & {*r["y"]} and set(r["d"]) == {*r["x"]} ^ {*r["y"]} and r["h"]
