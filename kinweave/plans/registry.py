@@ -324,15 +324,19 @@ def stopword_trim(spark, sf_dir):
     return blocking.without_common(rows, blocking.common_words(blocking.inverse_frequencies(blocking.document_words(rows))))
 
 
-@query()
+_TRIGRAMS = "(SELECT DISTINCT p_name, unnest(list_transform(range(1, length(p_name) - 1), lambda i: substr(lower(p_name), CAST(i AS BIGINT), 3))) AS g FROM part WHERE length(p_name) > 2)"
+_POSITIONS = blocking.sampled_positions(families=15, hashes=6, span=64)
+
+
+@query(f"""WITH b AS (SELECT g, row_number() OVER (ORDER BY n DESC, g) - 1 AS bit FROM (SELECT g, count(*) AS n FROM {_TRIGRAMS} GROUP BY g) ORDER BY bit LIMIT 3200),
+s AS (SELECT p_name, list(bit) AS bits FROM {_TRIGRAMS} JOIN b USING (g) GROUP BY p_name), f(family, places) AS (VALUES {", ".join(f"({i}, {sorted(ps)})" for i, ps in enumerate(_POSITIONS))}),
+k AS (SELECT i.id, family, list_filter(places, lambda x: list_contains(bits, x)) AS key FROM s JOIN (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name) i USING (p_name), f)
+SELECT DISTINCT x.id AS src, y.id AS dst FROM k x JOIN k y ON x.family = y.family AND x.key = y.key AND x.id < y.id WHERE len(x.key) > 0""")
 def lsh_candidate_pairs(spark, sf_dir):
     rows = adapters.parts(spark, sf_dir).groupBy("label").agg(F.min("id").alias("id"))
     sets, _ = blocking.trigram_ids(rows)
     # names have few trigrams, so positions are sampled among the frequent ones
-    return blocking.lsh_pairs(durable(sets), blocking.sampled_positions(families=15, hashes=6, span=64))
-
-
-_TRIGRAMS = "(SELECT DISTINCT p_name, unnest(list_transform(range(1, length(p_name) - 1), lambda i: substr(lower(p_name), CAST(i AS BIGINT), 3))) AS g FROM part WHERE length(p_name) > 2)"
+    return blocking.lsh_pairs(durable(sets), _POSITIONS)
 
 
 @query(f"SELECT CAST(bit AS INTEGER) AS bit, n, place FROM (SELECT row_number() OVER (ORDER BY n DESC, g) - 1 AS bit, n FROM (SELECT g, count(*) AS n FROM {_TRIGRAMS} GROUP BY g)) JOIN (SELECT bit AS b2, row_number() OVER (ORDER BY n, bit) AS place FROM (SELECT row_number() OVER (ORDER BY n DESC, g) - 1 AS bit, n FROM (SELECT g, count(*) AS n FROM {_TRIGRAMS} GROUP BY g))) ON b2 = bit WHERE place > 10 AND place <= (SELECT count(DISTINCT g) FROM {_TRIGRAMS}) - 10")
@@ -478,7 +482,13 @@ def edge_similarities(spark, sf_dir):
     return out.withColumn("agg_sim", similarity.mean(*(F.col(k) for k in sims))).where("agg_sim >= 0.5")
 
 
-@query()
+_LABEL_SIM = f"round({sql.dot('x', 'y')} / sqrt(({sql.dot('x', 'x')} * {sql.dot('y', 'y')})::DOUBLE), 6)"
+
+
+@query(f"""SELECT * FROM (SELECT src, dst, sim_label, sim_distance, sim_type, {sql.mean(["sim_label", "sim_distance", "sim_type"])} AS agg_sim FROM (
+  SELECT src, dst, {_LABEL_SIM} AS sim_label, sim_distance, sim_type FROM (SELECT e.src, e.dst, {sql.grams(sql.simple("s.label"))} AS x, {sql.grams(sql.simple("t.label"))} AS y, {sql.place_sim()} AS sim_distance,
+    CASE WHEN s.types[1] <> 'no_type' AND t.types[1] <> 'no_type' THEN {_type_sim('s.types[1]', 't.types[1]')} END AS sim_type FROM {_GEO_ENDS})))
+WHERE agg_sim > 0.6 AND ((agg_sim > 0.5 AND 2 + CASE WHEN sim_type IS NULL THEN 0 ELSE 1 END >= 2) OR (sim_label > 0.8 AND sim_distance > 0.7 AND coalesce(sim_type, 1) > 0.7))""")
 def scored_links(spark, sf_dir):
     """Links with all similarities of places, above the usual threshold."""
     return links.with_similarity(adapters.place_edges(spark, sf_dir), adapters.places(spark, sf_dir), "geo", least=0.6).where(links.acceptable(0.5))
@@ -595,7 +605,12 @@ def incremental_vertex(spark, sf_dir):
     return _flat(workflows.add_rows(rows.where("data_source = '1'"), rows.where("data_source = '3'"), _music_config())).select("id", "clustered", "sources_int")
 
 
-@query()
+@query(f"""WITH r AS (SELECT id, sources_int, label || ' ' || artist AS block, {sql.simple("artist || ' - ' || label || ' - ' || album")} AS x FROM {PART_SQL}),
+g AS (SELECT *, {sql.grams("x")} AS g FROM r),
+p AS (SELECT s.id AS src, t.id AS dst, s.sources_int AS m, t.sources_int AS n, round({sql.dot("s.g", "t.g")} / sqrt(({sql.dot("s.g", "s.g")} * {sql.dot("t.g", "t.g")})::DOUBLE), 6) AS sim FROM g s JOIN g t ON s.block = t.block WHERE s.sources_int <> 16 AND t.sources_int = 16),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS a, row_number() OVER (PARTITION BY dst ORDER BY sim DESC, src) AS b FROM p WHERE sim >= 0.9) WHERE a = 1 AND b = 1)
+SELECT least(src, dst) AS id, least(src, dst) || ',' || greatest(src, dst) AS clustered, m | n AS sources_int FROM c
+UNION ALL SELECT id, CAST(id AS VARCHAR), sources_int FROM r WHERE id NOT IN (SELECT src FROM c) AND id NOT IN (SELECT dst FROM c)""")
 def incremental_source(spark, sf_dir):
     rows = _named_parts(spark, sf_dir)
     out = workflows.add_source(rows.where("sources_int <> 16"), rows.where("sources_int = 16"), _music_config(merge_least=0.9), 16)
