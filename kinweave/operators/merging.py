@@ -104,16 +104,75 @@ def greedy_merge(domain: str, records: Iterable[dict], pairs: Iterable[tuple[int
     return list(clusters.values())
 
 
+#: Candidate pairs of a component that one task merges; larger components are merged step by step with joins.
+TASK_PAIRS = 50_000
+
+
+def _disjoint(tied: DataFrame, first_only: bool) -> DataFrame:
+    """Of pairs (cc_id, src, dst), in the order of ids, those that share no end with one before; or the first of each cc_id."""
+    if first_only:
+        return durable(tied.groupBy("cc_id").agg(F.min(F.struct("src", "dst")).alias("p")).select("cc_id", "p.src", "p.dst"))
+    left, out = tied, None
+    while left.head() is not None:
+        # a pair that is the first at both its ends is taken whatever happens elsewhere
+        at = left.select(F.explode(F.array("src", "dst")).alias("id"), F.struct("src", "dst").alias("p")).groupBy("id").agg(F.min("p").alias("p"))
+        twice = at.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.src", "p.dst")
+        now = durable(left.join(twice, ["src", "dst"]).select("cc_id", "src", "dst"))
+        out = now if out is None else out.unionByName(now)
+        used = now.select(F.explode(F.array("src", "dst")).alias("u"))
+        left = durable(left.join(used, F.col("src") == F.col("u"), "left_anti").join(used, F.col("dst") == F.col("u"), "left_anti"))
+    return out
+
+
+def merge_by_steps(rows: DataFrame, pairs: DataFrame, domain: str, least: float, most: int, reference_compat: bool = False) -> DataFrame:
+    """greedy_merge() of all components at once, a step at a time, without collecting a component.
+
+    rows: (cc_id, attributes of a cluster); pairs: (cc_id, src, dst, sim).
+    """
+    names = _columns(domain)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*names).dtypes)
+    record = F.struct(*names)
+    clusters, pairs = durable(rows.select("cc_id", *names)), durable(pairs.select("cc_id", "src", "dst", "sim"))
+
+    def both(some: DataFrame) -> DataFrame:
+        ends = clusters.select("id", record.alias("r"))
+        return some.join(ends.select(F.col("id").alias("src"), F.col("r").alias("s")), "src").join(ends.select(F.col("id").alias("dst"), F.col("r").alias("t")), "dst")
+
+    def merge(row: dict) -> list[tuple]:
+        new = merged_records(domain, row["s"], row["t"], reference_compat)
+        return [(row["cc_id"], *(new[n] for n in names))]
+
+    def score(row: dict) -> list[tuple]:
+        sim = scalar.merge_sim(domain, row["s"], row["t"])
+        return [(row["cc_id"], row["src"], row["dst"], sim)] if sim >= least else []
+
+    while pairs.head() is not None:
+        top = pairs.groupBy("cc_id").agg(F.max("sim").alias("top"))
+        chosen = durable(_disjoint(durable(pairs.join(top, "cc_id").where("sim = top").select("cc_id", "src", "dst")), domain == "geo"))
+        to = durable(chosen.select(F.explode(F.array("src", "dst")).alias("u"), F.least("src", "dst").alias("n")))
+        made = map_rows(both(chosen).select("cc_id", "s", "t"), merge, f"cc_id long, {schema}")
+        clusters = durable(clusters.join(to, F.col("id") == F.col("u"), "left_anti").unionByName(made))
+        led = pairs.join(to.select(F.col("u").alias("src"), F.col("n").alias("a")), "src", "left").join(to.select(F.col("u").alias("dst"), F.col("n").alias("b")), "dst", "left")
+        x, y = F.coalesce("a", "src"), F.coalesce("b", "dst")
+        moved = led.where("a IS NOT NULL OR b IS NOT NULL").select("cc_id", F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")).where("src <> dst").distinct()
+        accept = blocking.disjoint(most)
+        if domain == "geo":
+            accept = accept & bits.overlap(F.col("s.types_int"), F.col("t.types_int"))
+        again = map_rows(both(moved).where(accept).select("cc_id", "src", "dst", "s", "t"), score, "cc_id long, src long, dst long, sim double")
+        pairs = durable(led.where("a IS NULL AND b IS NULL").select("cc_id", "src", "dst", "sim").unionByName(again))
+    return clusters.select(*names)
+
+
 def _columns(domain: str) -> list[str]:
     return ["id", "clustered", "sources_int", *ATTRIBUTES[domain], *(["types_int"] if domain == "geo" else []), "block"]
 
 
-def merge_clusters(clusters: DataFrame, domain: str, least: float, most: int, length: int = 4, reference_compat: bool = False) -> DataFrame:
+def merge_clusters(clusters: DataFrame, domain: str, least: float, most: int, length: int = 4, reference_compat: bool = False, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """Clusters (id, clustered, sources_int, attributes) after merging all that may be one, block by block.
 
     Blocks by the domain's key (geo: length 0 makes one block, as the published rule has it). Pairs that share no cluster
-    never affect each other, so each component of the candidate pairs is merged in a task of its own; components are as
-    small as what blocking and the threshold leave linked.
+    never affect each other, so each component of the candidate pairs is merged in a task of its own, but for those of more
+    than `task_pairs` pairs, which are merged step by step with the same result.
     """
     key = text.block_key(domain, length)
     rows = durable(clusters.withColumn("block", key).select(*_columns(domain)))
@@ -127,8 +186,14 @@ def merge_clusters(clusters: DataFrame, domain: str, least: float, most: int, le
     scored = durable(parts.select("src", "dst", similarity.mean(*(F.col(k) for k in sims)).alias("sim")).where(F.col("sim") >= least))
     known = with_components(rows, scored)
     linked = durable(known.join(scored.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_semi"))
+    alone = rows.join(linked.select("id"), "id", "left_anti")
     of_pairs = scored.join(known.select(F.col("id").alias("src"), "cc_id"), "src")
     names = _columns(domain)
+    large = durable(of_pairs.groupBy("cc_id").agg(F.count("*").alias("n")).where(F.col("n") > task_pairs).select("cc_id"))
+    stepped = None
+    if large.head() is not None:
+        stepped = merge_by_steps(linked.join(large, "cc_id", "left_semi"), of_pairs.join(large, "cc_id", "left_semi"), domain, least, most, reference_compat)
+        linked, of_pairs = linked.join(large, "cc_id", "left_anti"), of_pairs.join(large, "cc_id", "left_anti")
     members = linked.groupBy("cc_id").agg(F.collect_list(F.struct(*names)).alias("members"))
     candidates = of_pairs.groupBy("cc_id").agg(F.collect_list(F.struct("src", "dst", "sim")).alias("pairs"))
 
@@ -138,7 +203,8 @@ def merge_clusters(clusters: DataFrame, domain: str, least: float, most: int, le
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*names).dtypes)
     merged = map_rows(members.join(candidates, "cc_id"), merge, schema)
-    alone = rows.join(linked.select("id"), "id", "left_anti")
+    if stepped is not None:
+        merged = merged.unionByName(stepped)
     return merged.unionByName(alone.select(*names)).withColumnRenamed("block", "blocking_label")
 
 

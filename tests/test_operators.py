@@ -168,6 +168,17 @@ def test_greedy_merge_respects_sources(spark, rows):
     assert rows(got, "id", "clustered", "sources_int") == [(1, [1, 2, 4], 7), (3, [3], 1), (5, [5], 8)]
 
 
+@pytest.mark.parametrize("domain", ["music", "geo"])
+def test_merge_by_steps_is_the_greedy_one(spark, rows, domain):
+    rng = random.Random(9)
+    data = [(i, [i], 1 << rng.randrange(5), rng.choice(["abc def", "abc deg", "abd def", "xbc def"]), rng.choice(["1", "2"]), rng.randrange(3), rng.randrange(3), 1.0 + rng.randrange(3) / 10, 2.0, rng.randrange(3)) for i in range(14)]
+    df = spark.createDataFrame(data, "id long, clustered array<long>, sources_int long, label string, number string, year int, length int, lat double, lon double, types_int long").withColumn("artist", F.lit("")).withColumn("album", F.lit(""))
+    columns = ["id", "clustered", "sources_int", "label"]
+    want = rows(merging.merge_clusters(df, domain, 0.6, 4, 0 if domain == "geo" else 1), *columns)
+    assert rows(merging.merge_clusters(df, domain, 0.6, 4, 0 if domain == "geo" else 1, task_pairs=2), *columns) == want
+    assert len(want) < 14
+
+
 def test_words(spark, rows):
     df = spark.createDataFrame([(1, "The cat sat cat"), (2, "cat dog"), (3, "x1 bird dog"), (4, None)], "id long, label string")
     words = blocking.document_words(df)
