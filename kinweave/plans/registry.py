@@ -121,7 +121,7 @@ def music_numbers(spark, sf_dir):
     rows = adapters.table(spark, sf_dir, "part")
     size, key = F.col("p_size").cast("string"), F.col("p_partkey")
     return rows.select(
-        key.alias("id"), text.year(F.concat(F.lit("'"), size)).alias("short_year"), text.year(F.concat(F.lit("Live in Leipzig "), (F.col("p_size") + 1950).cast("string"))).alias("long_year"),
+        key.alias("id"), text.year(F.concat(F.lit("'"), size)).alias("short_year"), text.year(F.concat(F.lit("Live in Dresden "), (F.col("p_size") + 1950).cast("string"))).alias("long_year"),
         text.song_length(F.concat(size, F.lit(":"), F.lpad((key % 60).cast("string"), 2, "0"))).alias("clock"), text.song_length(F.concat(size, F.lit("."), (key % 10).cast("string"))).alias("minutes"),
         text.song_length(F.concat(size, F.lit("m 07sec"))).alias("lettered"), text.song_length(F.concat(size, F.lit("000"))).alias("millis"),
     )

@@ -140,25 +140,25 @@ def read_jdbc(spark: SparkSession, url: str, query: str, key: str | None = None,
     return reader.option("query", query).load()
 
 
-def read_gradoop(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Graph heads, vertices, edges of a graph in Gradoop's JSON: string ids, data, meta.label (and source, target)."""
+def read_graph_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Graph heads, vertices, edges of a graph in three JSON files: string ids, data, meta.label (and source, target)."""
     path = path.rstrip("/")
     common = "id STRING, data MAP<STRING, STRING>, meta STRUCT<label: STRING, graphs: ARRAY<STRING>>"
     heads, vertices = (spark.read.schema(common).json(f"{path}/{n}.json") for n in ("graphHeads", "vertices"))
     return heads, vertices, spark.read.schema(common + ", source STRING, target STRING").json(f"{path}/edges.json")
 
 
-#: Names of properties in Gradoop files, by domain: those of entities here, and the ones there.
-GRADOOP = {
+#: Names of properties in graph files, by domain: those of entities here, and the ones there.
+FILE_NAMES = {
     "music": {"label": "title", "artist": "artist", "album": "album", "number": "number", "language": "language", "year": "year", "length": "length", "data_source": "srcId", "key": "id", "cc_id": "cid"},
     "nc": {"label": "name", "artist": "surname", "album": "suburb", "number": "postcod", "data_source": "type", "key": "recId"},
     "geo": {"label": "label", "lat": "lat", "lon": "lon", "data_source": "ontology", "key": "id"},
 }
 
 
-def from_gradoop(vertices: DataFrame, edges: DataFrame, domain: str) -> tuple[DataFrame, DataFrame]:
+def from_graph_files(vertices: DataFrame, edges: DataFrame, domain: str) -> tuple[DataFrame, DataFrame]:
     """Entities and links with long ids, from properties renamed by domain; links whose ends are missing go."""
-    names = GRADOOP[domain]
+    names = FILE_NAMES[domain]
     key = F.col("data")[names["key"]]
     number = text.nc_id(key) if domain == "nc" else key.try_cast("long")
     rows = vertices.select(F.col("id").alias("_graph_id"), F.coalesce(number, F.xxhash64("id")).alias("id"), *(F.col("data")[v].alias(k) for k, v in names.items() if k != "key"))

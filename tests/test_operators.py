@@ -123,11 +123,11 @@ def test_majority(spark, rows):
 
 def test_place_representative_prefers_sources(spark):
     df = spark.createDataFrame(
-        [(5, 1, "Leipzig", 1.0, 2.0, "http://dbpedia.org/", 2, ["Settlement"], [5]), (3, 1, "leipzig", 3.0, 4.0, "http://sws.geonames.org/", 16, ["Country"], [3]), (9, 1, "L", 95.0, 0.0, "http://data.nytimes.com/", 1, ["Settlement"], [9])],
+        [(5, 1, "Dresden", 1.0, 2.0, "http://dbpedia.org/", 2, ["Settlement"], [5]), (3, 1, "dresden", 3.0, 4.0, "http://sws.geonames.org/", 16, ["Country"], [3]), (9, 1, "L", 95.0, 0.0, "http://data.nytimes.com/", 1, ["Settlement"], [9])],
         "id long, hash_cc long, label string, lat double, lon double, data_source string, sources_int long, types array<string>, clustered array<long>",
     )
     r = representatives.places(df).head()
-    assert (r["id"], r["label"], r["lat"], r["clustered"], r["sources_int"], r["types"]) == (3, "leipzig", 3.0, [3, 5, 9], 19, ["Country", "Settlement"])
+    assert (r["id"], r["label"], r["lat"], r["clustered"], r["sources_int"], r["types"]) == (3, "dresden", 3.0, [3, 5, 9], 19, ["Country", "Settlement"])
 
 
 def test_max_both(spark, rows):

@@ -61,11 +61,11 @@ def test_other_files(spark, tmp_path, rows):
     assert spark.read.json(str(tmp_path / "t")).head().asDict() == {"t0": "1", "t1": "a"}
 
 
-def test_gradoop(spark, tmp_path, rows):
+def test_graph_files(spark, tmp_path, rows):
     for name, lines in {"graphHeads": [{"id": "g", "data": {}, "meta": {"label": "G"}}], "vertices": [{"id": "aa", "data": {"id": "4", "title": "T", "srcId": "1"}, "meta": {}}, {"id": "bb", "data": {"id": "5", "title": "U", "srcId": "2"}, "meta": {}}], "edges": [{"id": "e", "source": "aa", "target": "bb", "data": {}, "meta": {}}, {"id": "f", "source": "aa", "target": "zz", "data": {}, "meta": {}}]}.items():
         (tmp_path / f"{name}.json").write_text("\n".join(map(json.dumps, lines)))
-    _, v, e = graphs.read_gradoop(spark, str(tmp_path))
-    rows_, links_ = graphs.from_gradoop(v, e, "music")
+    _, v, e = graphs.read_graph_files(spark, str(tmp_path))
+    rows_, links_ = graphs.from_graph_files(v, e, "music")
     assert rows(rows_, "id", "label", "data_source") == [(4, "T", "1"), (5, "U", "2")] and rows(links_) == [(4, 5)]
 
 
