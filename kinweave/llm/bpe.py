@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from array import array
@@ -55,6 +56,7 @@ class WordBPE:
         if [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"] != [PATTERN]:
             raise ValueError(f"{path} splits words by another pattern")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
+        self.special_start = os.path.commonprefix(list(self.special))  # a plain search for this comes first
         self.may_be_special = re.compile("|".join(map(re.escape, self.special))).search
         letters = byte_alphabet()
         self.byte_of = {c: b for b, c in enumerate(letters)}
@@ -71,12 +73,14 @@ class WordBPE:
 
     def words(self, text: str) -> list[str | int]:
         """Words of a text, and ids of special tokens in it."""
-        if self.may_be_special(text):
+        if self.special_start in text and self.may_be_special(text):
             return [w for part in self.specials(text) for w in ((self.special[part],) if part in self.special else self.words(part))]
+        if text.isascii():
+            return latin_words(text.lower())
         if beyond(text):
             return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.cut(self.normalise(text))]
         # case goes one character at a time, as no sigma is here; composed forms may lie beyond Latin
-        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        text = unicodedata.normalize("NFC", text)
         return latin_words(text.lower()) if not beyond(text) else [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.cut(self.normalise(text))]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
