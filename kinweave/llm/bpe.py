@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import arrow_rows, as_bytes
+from .common import arrow_rows, as_bytes, spread
 from .merging import PairMerger
 
 #: Entries of a generation of a worker's memory of words.
@@ -185,7 +185,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
             out.append(pa.array([model.decode(r) for r in out[-1].to_pylist()], pa.string()))
         return pa.RecordBatch.from_arrays(out, names=[*keep, "ids", *["decoded"] * decoded])
 
-    return arrow_rows(df.select(*keep, text), run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "ids array<int>", *["decoded string"] * decoded]))
+    return arrow_rows(spread(df.select(*keep, text)), run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "ids array<int>", *["decoded string"] * decoded]))
 
 
 def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -204,4 +204,4 @@ def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -
                 of_text.append(hashlib.sha256(" ".join(text).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(n_tokens, np.int64)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_rows(df.select(key, text), run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_rows(spread(df.select(key, text)), run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable, scratch, ship
 
-__all__ = ["arrow_rows", "as_bytes", "durable", "scratch", "small_batches"]
+__all__ = ["arrow_rows", "as_bytes", "durable", "scratch", "small_batches", "spread"]
 
 #: Rows in an Arrow batch sent to Python. Texts may be long, so batches are kept short; nothing is cut.
 BATCH_ROWS = 1000
@@ -22,6 +22,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is read from fewer pieces than there are cores: one small file would keep one busy.
+
+    Large inputs come in more pieces and are left as they are, and so is what comes out of an exchange.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.toString() or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow over single batches; fn may return None for no rows."""
     small_batches(df.sparkSession)

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Fixed value: a word, after A-Z became a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows in the constant hash set at most: about 8 MB.
@@ -72,7 +74,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str
     """`keep`, n_words, hits array<struct<item, width, at>> of each text: the windows of items that occur in it."""
     windows = item_windows(benchmark, width)
     known = windows.select("width", "hash").distinct().limit(set_limit + 1).collect()
-    scanned = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_w"))
+    scanned = spread(docs.select(*keep, text)).select(*keep, F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_w"))
     scanned = scanned.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
     if len(known) <= set_limit:
         sets: dict[int, list[int]] = {}

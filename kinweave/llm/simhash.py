@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import stars as components
 from .bpe import groups
-from .common import arrow_rows, as_bytes, durable, small_batches
+from .common import arrow_rows, as_bytes, durable, small_batches, spread
 
 #: Distinct fingerprints of one shard's tree.
 SHARD_LIMIT = 1024
@@ -63,7 +63,7 @@ def fingerprints(df: DataFrame, words: int, text: str = "text", key: str = "doc_
         fp = np.array([fingerprint(t, words) for some in groups(as_bytes(batch.column(1))) for t in some], np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["key", "fp"])
 
-    return arrow_rows(df.select(F.col(key).cast("long").alias("key"), text), run, "key long, fp long")
+    return arrow_rows(spread(df.select(F.col(key).cast("long").alias("key"), text)), run, "key long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

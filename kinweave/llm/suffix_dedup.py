@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
-from .common import arrow_rows, as_bytes, durable, small_batches
+from .common import arrow_rows, as_bytes, durable, small_batches, spread
 from .suffix_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 24
@@ -123,7 +123,7 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
                 done += len(some)
 
     small_batches(rows.sparkSession)
-    return rows.select("row", "text").mapInArrow(run, "h long, rhash long, occ long, size int")
+    return spread(rows.select("row", "text")).mapInArrow(run, "h long, rhash long, occ long, size int")
 
 
 REGION = "h long, rhash long, n long, hot boolean, bytes binary"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Memory, groups
-from .common import arrow_rows, as_bytes
+from .common import arrow_rows, as_bytes, spread
 from .merging import PairMerger
 
 #: Bytes of a chunk of a long text.
@@ -131,4 +131,4 @@ def count_tokens(df: DataFrame, path: str, limit: int, text: str = "text", key:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(n), pa.array(n > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
-    return arrow_rows(df.select(key, text), run, f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_rows(spread(df.select(key, text)), run, f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, n_tokens long, over_limit boolean")
