@@ -36,26 +36,31 @@ SHARD_LIMIT = 1024
 FRONTIER = 1_000_000
 
 
-def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
-    """SimHash of one text."""
+def shingles(text: bytes, words: int) -> list[bytes]:
+    """Word shingles of one text, repeats included."""
     parts = text.lower().split()
-    if not parts:
-        return 0
+    joined = b" ".join(parts)
     if len(parts) <= words:
-        shingles = [b" ".join(parts)]
-    else:
-        joined = b" ".join(parts)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        starts = [0, *(ends[:-1] + 1).tolist()]
-        shingles = [joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist(), strict=False)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles], np.uint64)
+        return [joined] if parts else []
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    return [joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist(), strict=False)]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     bits = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 4096):
         bits += np.unpackbits(hashes[lo : lo + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
+    """SimHash of one text."""
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(s, seed) for s in shingles(text, words)], np.uint64))
+
+
 def fingerprints(df: DataFrame, words: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, fp (the fingerprint as a signed long) of every row."""
 

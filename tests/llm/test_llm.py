@@ -505,3 +505,43 @@ def test_pipeline(spark, tmp_path):
     final = {r["doc_id"]: r["ids"] for r in kept[5].collect()}
     assert final == {r["doc_id"]: library.encode(r["text"], add_special_tokens=False).ids for r in kept[4].collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[5]
+
+
+def jaccard_components(texts, words=5, least=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * len(a | sets[j]) - 1e-9:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("limit", [1024, 3])
+def test_near_copies_by_jaccard(spark, limit):
+    """Copies at similarities about 0.8, with a hot passage in many texts, against brute force; SimHash radius 4 misses most."""
+    from kinweave.llm import near_copies
+
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(400))
+    hot, texts = " ".join(word() for _ in range(30)), []
+    for n in (8, 9, 14, 40, 120, 300):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base) + " " + hot * rng.randrange(2))
+            for changes in (1, max(1, n // 45), max(1, n // 40), n // 10):
+                copy = list(base)
+                for i in rng.sample(range(n), min(changes, n)):
+                    copy[i] = word()
+                texts.append(" ".join(copy) + " " + hot * rng.randrange(2))
+            texts.append(" ".join(base[: -max(1, n // 6)]))
+    texts += [texts[0], None, "", " "]
+    want = jaccard_components(texts)
+    assert 40 < len(set(want)) < len(texts) - 30
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in near_copies.keep_one(df, limit=limit).collect())
+    assert kept == sorted(set(want))
+    assert near_copies.keep_one(df.limit(0)).count() == 0
