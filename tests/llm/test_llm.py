@@ -545,3 +545,16 @@ def test_near_copies_by_jaccard(spark, limit):
     kept = sorted(r["doc_id"] for r in near_copies.keep_one(df, limit=limit).collect())
     assert kept == sorted(set(want))
     assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_of_copies(spark):
+    """Repeated and null doc_ids: exactly one row of each group stays, whatever its id, and none of another group goes."""
+    from kinweave.llm import near_copies
+
+    a, b, c, d = random_texts(400, 12)[-4:]
+    a, b, c, d = (f"{name} one two three four five six {t}" for name, t in zip("abcd", (a, b, c, d), strict=True))
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (7, c), (8, c), (8, d), (None, d + " "), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(1)).withColumn("component", F.lit(2)).repartition(3)
+    kept = near_copies.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, a), (None, b), (7, c), (8, d)], key=repr)
