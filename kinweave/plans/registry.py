@@ -596,13 +596,13 @@ def default_preprocessing(spark, sf_dir):
 
 @query()
 def incremental_initial(spark, sf_dir):
-    return _flat(workflows.initial(_named_parts(spark, sf_dir).where("data_source IN ('1', '2')"), _music_config())).select("id", "clustered", "sources_int")
+    return _flat(workflows.initial(_named_parts(spark, sf_dir), _music_config())).select("id", "clustered", "sources_int")
 
 
 @query()
 def incremental_vertex(spark, sf_dir):
     rows = _named_parts(spark, sf_dir)
-    return _flat(workflows.add_rows(rows.where("data_source = '1'"), rows.where("data_source = '3'"), _music_config())).select("id", "clustered", "sources_int")
+    return _flat(workflows.add_rows(rows.where("sources_int <> 16"), rows.where("sources_int = 16"), _music_config())).select("id", "clustered", "sources_int")
 
 
 @query(f"""WITH r AS (SELECT id, sources_int, label || ' ' || artist AS block, {sql.simple("artist || ' - ' || label || ' - ' || album")} AS x FROM {PART_SQL}),

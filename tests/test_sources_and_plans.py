@@ -143,3 +143,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["incremental_initial", "incremental_vertex"])
+def test_clusters_hold_all_sources(spark, name):
+    members = [int(x) for r in registry.QUERIES[name](spark, SF).collect() for x in r["clustered"].split(",")]
+    assert sorted(members) == sorted(r["id"] for r in adapters.parts(spark, SF).select("id").collect())
