@@ -531,12 +531,7 @@ def representative_geo(spark, sf_dir):
 
 
 def _merge_parts(spark, sf_dir, domain):
-    # the brand's number and the start of the type go into the names, so that blocks stay small
-    label = F.concat(F.substring("artist", 7, 2), F.lit(" " if domain == "music" else ""), F.col("label"))
-    rows = adapters.parts(spark, sf_dir).withColumn("label", label)
-    if domain == "nc":
-        rows = rows.withColumn("artist", F.concat(F.substring("album", 1, 3), F.col("artist")))
-    return merging.merge_clusters(rows, domain, 0.9, 5, 40 if domain == "music" else 8)
+    return merging.merge_clusters(adapters.parts(spark, sf_dir), domain, 0.9, 5)
 
 
 @query()

@@ -149,3 +149,13 @@ def test_entry(spark):
 def test_clusters_hold_all_sources(spark, name):
     members = [int(x) for r in registry.QUERIES[name](spark, SF).collect() for x in r["clustered"].split(",")]
     assert sorted(members) == sorted(r["id"] for r in adapters.parts(spark, SF).select("id").collect())
+
+
+@pytest.mark.parametrize("domain", ["music", "nc"])
+def test_merges_block_untouched_labels(spark, monkeypatch, domain):
+    calls = []
+    monkeypatch.setattr(registry.merging, "merge_clusters", lambda rows, *args: calls.append((rows, args)) or rows)
+    registry._merge_parts(spark, SF, domain)
+    (rows, args), parts = calls[0], adapters.parts(spark, SF)
+    assert args == (domain, 0.9, 5)  # the key's default length
+    assert rows.select("id", "label", "artist").exceptAll(parts.select("id", "label", "artist")).count() == 0
