@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import Tables
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -26,16 +26,20 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def stars(edges: DataFrame, most: int = 100) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (u, v) but the smallest of each component."""
-    edges = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(most):
-        edges = durable(_small(_large(edges)))
-        now = edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    """node, component (its smallest node) for every node of edges (u, v) but the smallest of each component; raises if `most` rounds don't settle them."""
+    with Tables(edges.sparkSession) as tables:
+        edges = tables.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        before = None
+        for _ in range(most):
+            old = tables.last()
+            edges = tables.keep(_small(_large(edges)))
+            tables.drop(old)
+            now = edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+            if now == before:
+                tables.paths.clear()  # the result stays
+                return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            before = now
+    raise RuntimeError(f"components have not settled in {most} rounds")
 
 
 def with_components(vertices: DataFrame, edges: DataFrame, out: str = "cc_id") -> DataFrame:

@@ -31,23 +31,89 @@ def ship(spark: SparkSession) -> None:
     context._kinweave_shipped = True
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, below the cluster's spark.checkpoint.dir; it goes when the application ends.
+
+    Where that is unset, a local master gets a temporary folder (tests); any other raises, as executors share no local folder.
+    """
+    context = spark.sparkContext
+    if (known := getattr(context, "_kinweave_folder", None)) is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            made = context._jsc.sc().getCheckpointDir()
+            if made.isEmpty():
+                if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+                context.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-"))
+                made = context._jsc.sc().getCheckpointDir()
+            root = made.get()
+        known = context._kinweave_folder = f"{root.rstrip('/')}/kinweave/{context.applicationId}"
+        place, files = _place(spark, known)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return known
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop has them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder for intermediate tables: the cluster's spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-"))
-            made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = made.get()
-    return f"{root.rstrip('/')}/kinweave/{uuid.uuid4().hex}"
+    """A new path in the shared folder for an intermediate table."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write df as Parquet to this path and read it again. The shuffle files that the writing made go with it."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost executor costs nothing before it."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, scratch(df.sparkSession))
+
+
+class Tables:
+    """Intermediate tables of one computation: written like durable(), and removed when the block ends.
+
+    What the block gives on must be durable itself, or be read to its end inside.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.paths)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.append(scratch(self.spark))
+        return written(df, self.paths[-1])
+
+    def last(self) -> str:
+        """The path of the table written last, for drop()."""
+        return self.paths[-1]
+
+    def drop(self, *paths: str) -> None:
+        """Remove these tables now."""
+        for path in paths:
+            place, files = _place(self.spark, path)
+            files.delete(place, True)
+        self.paths = [p for p in self.paths if p not in paths]
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
