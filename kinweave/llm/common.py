@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import durable, scratch, ship
+from ..session import Tables, durable, scratch, ship
 
-__all__ = ["arrow_rows", "as_bytes", "durable", "scratch", "small_batches", "spread"]
+__all__ = ["Tables", "arrow_rows", "as_bytes", "durable", "scratch", "small_batches", "spread"]
 
 #: Rows in an Arrow batch sent to Python. Texts may be long, so batches are kept short; nothing is cut.
 BATCH_ROWS = 1000

@@ -13,15 +13,18 @@ the text that its windows cover, some 290 bytes. All windows with equal content
 4. the repeated places of a region are joined back to all its occurrences, and texts lose the bytes that they cover.
 
 An anchor with more than HOT distinct regions is divided further: its windows are grouped by the anchor's place in them,
-in steps of NARROW, and by the content that all windows of such a group share, and regions are cut to these groups; where
-that still leaves more than HOT, the group is one window. Each division keeps equal windows together, so results are exact,
-and no group grows with the corpus.
+in steps of 64, and by the content that all windows of such a group share, and regions are cut to these groups. Parts that
+are alone in their group go, equal ones become one with a weight, and groups that still hold more than HOT distinct parts are
+cut again, in steps of 16, 4 and 1; in the last a group is one window. Only what is in an over-full group is cut again, so a
+region gives some parts a step where it would give 177 windows. Each division keeps equal windows together, so results are
+exact, and no group grows with the corpus.
 
 Hashes only bring candidates together, but for "equal regions", which trusts 64 bits of anchor and 64 of region.
 
 Defined cases: a null text counts as empty; texts under 200 bytes lose nothing; matches never cross texts; a string that
 overlaps itself counts; equal texts of 200 bytes or more lose all bytes; repeated rows are documents of their own; a null
-or repeated key is fine; an empty table gives an empty result; other columns are kept by clean() and never read.
+or repeated key is fine; a very long text is hashed as one buffer (about 40 bytes of memory a byte) and its runs go to the
+shards like any other's; an empty table gives an empty result; other columns are kept by clean() and never read.
 """
 
 from __future__ import annotations
@@ -32,19 +35,17 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import groups
-from .common import arrow_rows, as_bytes, durable, small_batches, spread
+from .common import Tables, arrow_rows, as_bytes, durable, small_batches, spread
 from .suffix_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 24
-#: Bits of a place within a text; a text may have 256 MB.
-PLACE = 28
 #: Bytes of one suffix array, and distinct regions of one anchor before it is divided.
 ARRAY_BYTES = 1_000_000
-HOT, NARROW = 2048, 16
+HOT, STEPS = 2048, (64, 16, 4, 1)
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -103,8 +104,8 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int =
     return text[first], place[first], count + length - 1, h[anchor[first]]
 
 
-def _anchors(rows: DataFrame, length: int) -> DataFrame:
-    """h, rhash, occ (row and place), size of every run of rows (row, text)."""
+def _anchors(rows: DataFrame, length: int, bits: int) -> DataFrame:
+    """h, rhash, occ (row, and in its last `bits` bits the place), size of every run of rows (row, text)."""
 
     def run(batches):
         for batch in batches:
@@ -118,7 +119,7 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
                 if len(text):
                     digest, at = xxhash.xxh3_64_intdigest, (starts[text] + place).tolist()
                     rhash = np.fromiter((digest(joined[a : a + s]) for a, s in zip(at, size.tolist(), strict=True)), np.uint64, len(at))
-                    occ = (ids[done + text] << PLACE) | place
+                    occ = (ids[done + text] << bits) | place
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rhash.view(np.int64)), pa.array(occ), pa.array(size.astype(np.int32))], names=["h", "rhash", "occ", "size"])
                 done += len(some)
 
@@ -126,23 +127,23 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
     return spread(rows.select("row", "text")).mapInArrow(run, "h long, rhash long, occ long, size int")
 
 
-REGION = "h long, rhash long, n long, hot boolean, bytes binary"
+REGION = "g long, rhash long, n long, hot boolean, bytes binary"
 
 
-def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _fetch(rows: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     """The bytes of each distinct region, from the text of its first occurrence."""
-    place = F.col("rep").bitwiseAND(F.lit((1 << PLACE) - 1))
-    at = F.collect_list(F.struct("h", "rhash", "n", "hot", place.alias("place"), "size"))
-    places = wanted.groupBy(F.shiftright("rep", PLACE).alias("row")).agg(at.alias("at"))
-    columns = ["h", "rhash", "n", "hot", "place", "size"]
+    place = F.col("rep").bitwiseAND(F.lit((1 << bits) - 1))
+    at = F.collect_list(F.struct("g", "rhash", "n", "hot", place.alias("place"), "size"))
+    places = wanted.groupBy(F.shiftright("rep", bits).alias("row")).agg(at.alias("at"))
+    columns = ["g", "rhash", "n", "hot", "place", "size"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = batch.column(1).value_lengths().to_pylist()
-        h, rhash, n, hot, place, size = (batch.column(i).flatten() for i in range(1, 7))
+        g, rhash, n, hot, place, size = (batch.column(i).flatten() for i in range(1, 7))
         spans, out = zip(place.to_pylist(), size.to_pylist(), strict=True), []
         for text, k in zip(as_bytes(batch.column(0)), counts, strict=True):
             out += [text[p : p + s] for p, s in islice(spans, k)]
-        return pa.RecordBatch.from_arrays([h, rhash, n, hot, pa.array(out, pa.binary())], names=["h", "rhash", "n", "hot", "bytes"])
+        return pa.RecordBatch.from_arrays([g, rhash, n, hot, pa.array(out, pa.binary())], names=["g", "rhash", "n", "hot", "bytes"])
 
     return arrow_rows(rows.join(places, "row").select("text", *(F.col(f"at.{c}").alias(c) for c in columns)), run, REGION)
 
@@ -218,81 +219,73 @@ def narrow(region: bytes, step: int, length: int = LENGTH, gram: int = GRAM) ->
 
 
 def _divided(regions: DataFrame, step: int, length: int) -> DataFrame:
-    """Regions (h, rhash, n, bytes) cut by narrow(): g, phash, n, bytes, with h, rhash, first to lead back."""
+    """Members of over-full groups (g, rhash, n, bytes) cut by narrow(): g, rhash, n, bytes of the parts, with of_g, of_rhash, first to lead back."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for h, r, n, data in zip(*(batch.column(c).to_pylist() for c in ("h", "rhash", "n", "bytes")), strict=True):
+        for of_g, of_rhash, n, data in zip(*(batch.column(c).to_pylist() for c in ("g", "rhash", "n", "bytes")), strict=True):
             for g, first, part in narrow(data, step, length):
                 p = xxhash.xxh3_64_intdigest(part)
-                out.append((g, p - (1 << 64) if p >> 63 else p, n, part, h, r, first))
+                out.append((g, p - (1 << 64) if p >> 63 else p, n, part, of_g, of_rhash, first))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["g", "phash", "n", "bytes", "h", "rhash", "first"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["g", "rhash", "n", "bytes", "of_g", "of_rhash", "first"])
 
-    return arrow_rows(regions.select("h", "rhash", "n", "bytes"), run, "g long, phash long, n long, bytes binary, h long, rhash long, first int")
+    return arrow_rows(regions.select("g", "rhash", "n", "bytes"), run, "g long, rhash long, n long, bytes binary, of_g long, of_rhash long, first int")
 
 
-def _spans(regions: DataFrame, parts: int, length: int) -> DataFrame:
-    """h, rhash, spans of all regions (h, rhash, n, hot, bytes)."""
-    out = _sorted_shards(regions.where(~F.col("hot")).withColumnRenamed("h", "g"), parts, length).withColumnRenamed("g", "h")
-    hot = regions.where("hot")
-    if not hot.count():
-        return out
-    for step in (NARROW, 1):
-        cut = durable(_divided(hot, step, length))
-        # equal parts become one, before any of them meet
-        one = cut.groupBy("g", "phash").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
-        if step > 1:
-            many = one.groupBy("g").agg(F.count("*").alias("d")).where(F.col("d") > HOT).select("g")
-            many = durable(many)
-            again = cut.join(many, "g", "left_semi").select("h", "rhash").distinct()
-            rest = hot.join(again, ["h", "rhash"], "left_semi")
-            if many.head() is not None:
-                rest = durable(rest)
-                one = one.join(many, "g", "left_anti")
-            else:
-                rest = None
-        else:
-            rest = None
-        found = _sorted_shards(one.withColumnRenamed("phash", "rhash"), parts, length).withColumnRenamed("rhash", "phash")
-        back = cut.select("g", "phash", "h", "rhash", "first").join(found, ["g", "phash"])
-        out = out.unionByName(back.select("h", "rhash", F.transform("spans", lambda x: x + F.col("first")).alias("spans")))
-        if rest is None:
-            break
-        hot = rest
-    return out
+def _shared(distinct: DataFrame, may_be_hot: bool) -> DataFrame:
+    """g, hot of the groups of distinct (g, rhash, n) that hold more than one occurrence; hot where over HOT are distinct."""
+    sums = distinct.groupBy("g").agg(F.sum("n").alias("t"), F.count("*").alias("d")).where(F.col("t") > 1)
+    return sums.select("g", (F.lit(may_be_hot) & (F.col("d") > HOT)).alias("hot"))
 
 
-def _numbered(df: DataFrame, text: str, key: str) -> tuple[DataFrame, bool]:
-    """df with a column row: the key, where that is unique and fits; else a written number."""
-    n, some, least, most = df.select(F.count("*"), F.count_distinct(key), F.min(key), F.max(key)).head()
-    if n == some and (n == 0 or (least >= 0 and most < 1 << (62 - PLACE))):
-        return df.withColumn("row", F.col(key).cast("long")), True
-    written = durable(df.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
-    sizes = written.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # a row a partition
-    before, total = [], 0
-    for r in sizes:
-        before.append((r["_part"], total))
-        total += r["n"]
-    starts = df.sparkSession.createDataFrame(before, "_part int, _before long") if before else df.sparkSession.createDataFrame([], "_part int, _before long")
-    out = written.join(F.broadcast(starts), "_part").withColumn("row", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    return out.drop("_part", "_id", "_before"), False
-
-
-def covers(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+def _spans(regions: DataFrame, steps: tuple[int, ...], parts: int, length: int, tables: Tables) -> DataFrame:
+    """g, rhash, spans of all regions (g, rhash, n, hot, bytes); a region may have several rows."""
+    out = _sorted_shards(regions.where(~F.col("hot")), parts, length)
+    hot = regions.where("hot")
+    if not steps or hot.head() is None:
+        return out
+    cut = tables.keep(_divided(hot, steps[0], length))
+    # equal parts become one, and lone ones go, before any of them meet
+    shared = _shared(cut.groupBy("g", "rhash").agg(F.sum("n").alias("n")), len(steps) > 1)
+    one = cut.join(shared, "g").groupBy("g", "rhash", "hot").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
+    found = _spans(tables.keep(one), steps[1:], parts, length, tables)
+    back = cut.select("g", "rhash", "of_g", "of_rhash", "first").join(found, ["g", "rhash"])
+    return out.unionByName(back.select(F.col("of_g").alias("g"), F.col("of_rhash").alias("rhash"), F.transform("spans", lambda x: x + F.col("first")).alias("spans")))
+
+
+def _numbered(df: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
+    """df with a column row (the key, where that is unique and fits; else a written number), and the bits that any place in a text needs."""
+    n, some, least, most, longest = df.select(F.count("*"), F.count_distinct(key), F.min(key), F.max(key), F.max(F.octet_length(text))).head()
+    bits = (longest or 0).bit_length()
+    if n >= 1 << (62 - bits):
+        raise ValueError(f"{n} texts of up to {longest} bytes need more than 62 bits for a place")
+    if n == some and (n == 0 or (least >= 0 and most < 1 << (62 - bits))):
+        return df.withColumn("row", F.col(key).cast("long")), bits
+    numbered = durable(df.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("n"))  # a row a partition
+    starts = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    out = numbered.join(starts, "_part").withColumn("row", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.drop("_part", "_id", "_before"), bits
+
+
+def covers(rows: DataFrame, bits: int, length: int = LENGTH) -> DataFrame:
     """row, starts and ends (arrays of the same length) of the texts (row, text) with repeated bytes; the spans between them may overlap."""
     spark = rows.sparkSession
-    anchors = durable(_anchors(rows, length))
-    distinct = anchors.groupBy("h", "rhash").agg(F.count("*").alias("n"), F.min("occ").alias("rep"), F.max("size").alias("size"))
-    shared = distinct.groupBy("h").agg(F.sum("n").alias("t"), F.count("*").alias("d")).where(F.col("t") > 1).select("h", (F.col("d") > HOT).alias("hot"))
-    regions = durable(_fetch(rows, durable(distinct.join(shared, "h"))))
-    size = regions.count() * 300  # bytes, about
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), size // 16_000_000)
-    spans = _spans(regions, parts, length)
-    place = F.col("occ").bitwiseAND(F.lit((1 << PLACE) - 1))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct((place + F.get("spans", i * 2)).alias("from"), (place + F.get("spans", i * 2 + 1) + length).alias("to")))
-    found = anchors.select("h", "rhash", "occ").join(spans, ["h", "rhash"]).select(F.shiftright("occ", PLACE).alias("row"), F.explode(pairs).alias("s"))
-    return found.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("s")).select("row", F.col("s.from").alias("starts"), F.col("s.to").alias("ends"))
+    with Tables(spark) as tables:
+        anchors = tables.keep(_anchors(rows, length, bits))
+        distinct = anchors.groupBy(F.col("h").alias("g"), "rhash").agg(F.count("*").alias("n"), F.min("occ").alias("rep"), F.max("size").alias("size"))
+        wanted = tables.keep(distinct.join(_shared(distinct, True), "g"))
+        regions = tables.keep(_fetch(rows, wanted, bits))
+        tables.drop(tables.paths[-2])
+        size = regions.count() * 300  # bytes, about
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), size // 16_000_000)
+        spans = _spans(regions, STEPS, parts, length, tables)
+        place = F.col("occ").bitwiseAND(F.lit((1 << bits) - 1))
+        pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct((place + F.get("spans", i * 2)).alias("from"), (place + F.get("spans", i * 2 + 1) + length).alias("to")))
+        found = anchors.select(F.col("h").alias("g"), "rhash", "occ").join(spans, ["g", "rhash"]).select(F.shiftright("occ", bits).alias("row"), F.explode(pairs).alias("s"))
+        ordered = found.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("s"))
+        return durable(ordered.select("row", F.col("s.from").alias("starts"), F.col("s.to").alias("ends")))
 
 
 def merged(starts: list[int] | None, ends: list[int] | None) -> list[tuple[int, int]]:
@@ -319,8 +312,8 @@ def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def digests(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per text: key, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, _ = _numbered(df.select(key, F.col(text).alias("text")), "text", key)
-    joined = rows.join(covers(rows, length), "row", "left")
+    rows, bits = _numbered(df.select(key, F.col(text).alias("text")), "text", key)
+    joined = rows.join(covers(rows, bits, length), "row", "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -339,8 +332,8 @@ def clean(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "d
 
     A character that loses some of its bytes goes whole. A null text stays null.
     """
-    named, _ = _numbered(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_doc"), F.col(text).alias("text"), F.col(key).alias("_key")), "text", "_key")
-    joined = named.join(covers(named.select("row", "text"), length), "row", "left")
+    named, bits = _numbered(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_doc"), F.col(text).alias("text"), F.col(key).alias("_key")), "text", "_key")
+    joined = named.join(covers(named.select("row", "text"), bits, length), "row", "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [None if t is None else kept(t, merged(a, b)).decode("utf-8", "ignore") for t, a, b in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
