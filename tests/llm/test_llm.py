@@ -90,6 +90,33 @@ def test_token_counts_are_the_librarys(chunk):
         assert counter.count(text.encode(), chunk) == len(library.encode(text)), text
 
 
+def test_token_counts_with_little_memory():
+    """Tables and memories that turn over all the time, several chunks a text, no space over a production chunk."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [t or "" for t in ODD] + random_texts(60, 9) + ["漢字かな" * 40, "a▁b" * 99]
+    want = [len(library.encode(t)) for t in texts]
+    for states, remembered in ((5, 3), (40, 50), (1000, 300)):
+        small = token_counts.PieceCounter(PIECES, states, remembered)
+        for chunk in (7, 50, 65_536):
+            assert small.count_all([t.encode() for t in texts], chunk) == want
+        assert len(small.transducer.states) <= states
+    long = "字漢x" * 40_000
+    assert token_counts.load(PIECES).count(long.encode()) == len(library.encode(long))
+
+
+def test_transitions_are_compiled():
+    """Every prefix's count is the sum of the transitions' annotations."""
+    counter, library = token_counts.PieceCounter(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    text = "▁the▁unbelievable▁thheses\n漢😀▁x"
+    state = token_counts.INITIAL
+    total = 0
+    for i, c in enumerate(text):
+        added, state = counter.transducer.read(c, state)
+        total += added
+        assert total == len(library.encode(text[1 : i + 1].replace("▁", " "))) or i == 0
+    assert sum(map(len, counter.transducer.table)) >= len(set(text))
+
+
 def test_token_counts_query(spark, docs):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for r in token_counts.count_tokens(docs, PIECES, limit=100).join(docs, "doc_id").collect():
