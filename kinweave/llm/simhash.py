@@ -34,6 +34,8 @@ from .common import arrow_rows, as_bytes, durable, small_batches, spread
 SHARD_LIMIT = 1024
 #: Pairs (search, node) that stand at one time.
 FRONTIER = 1_000_000
+#: More than any distance.
+REACH = 256
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -72,7 +74,9 @@ def fingerprints(df: DataFrame, words: int, text: str = "text", key: str = "doc_
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    """Bits that differ, of fingerprints of 64 bits or rows of several times 64."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.sum(1, dtype=np.int64) if bits.ndim > 1 else bits.astype(np.int64)
 
 
 class Forest:
@@ -83,10 +87,10 @@ class Forest:
         _, self.root, back = np.unique(shard, return_index=True, return_inverse=True)
         self.root_of = self.root[back]
         parent = self.root_of.copy()
-        edge = np.full(n, -1, np.int64)  # parent * 128 + distance, of each node but the roots
+        edge = np.full(n, -1, np.int64)  # parent * REACH + distance, of each node but the roots
         left = np.setdiff1d(np.arange(n), self.root, assume_unique=True)
         while len(left):
-            slot = parent[left] * 128 + distance(fp[left], fp[parent[left]])
+            slot = parent[left] * REACH + distance(fp[left], fp[parent[left]])
             _, first, back = np.unique(slot, return_index=True, return_inverse=True)
             edge[left[first]] = slot[first]
             child = left[first][back]
@@ -111,8 +115,8 @@ class Forest:
             hit = (d <= radius) & (who != node)
             if hit.any():
                 yield who[hit], node[hit]
-            lo = np.searchsorted(self.edge, node * 128 + np.maximum(d - radius, 0), "left")
-            n = np.searchsorted(self.edge, node * 128 + np.minimum(d + radius, 64), "right") - lo
+            lo = np.searchsorted(self.edge, node * REACH + np.maximum(d - radius, 0), "left")
+            n = np.searchsorted(self.edge, node * REACH + np.minimum(d + radius, REACH - 1), "right") - lo
             if n.any():
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 stack.append((np.repeat(who, n), self.child[at]))
