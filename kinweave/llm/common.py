@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from ..session import Tables, durable, scratch, ship
+from ..session import Tables, durable, scratch, ship, written
 
-__all__ = ["Tables", "arrow_rows", "as_bytes", "durable", "scratch", "small_batches", "spread"]
+__all__ = ["Tables", "arrow_rows", "as_bytes", "durable", "scratch", "small_batches", "spread", "written"]
 
 #: Rows in an Arrow batch sent to Python. Texts may be long, so batches are kept short; nothing is cut.
 BATCH_ROWS = 1000
@@ -34,7 +35,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow over single batches; fn may return None for no rows."""
     small_batches(df.sparkSession)
 

@@ -5,13 +5,15 @@ one array of their hashes; every window of it is looked up by a hash of its word
 out and compared word by word with the items' windows. Items with fewer words are one window of their own length, so the
 lookup is done for each length that occurs.
 
-The hash set is a constant of the plan up to SET_LIMIT windows. A larger benchmark takes a shuffled (or, where Spark finds
-it small, broadcast) join over the exploded windows in its place; the result is the same.
+The hash set is a constant of the plan up to SET_LIMIT distinct windows. A larger benchmark takes a shuffled (or, where Spark
+finds it small, broadcast) join over the exploded windows in its place; the result is the same. Windows with their items, of
+which equal items make many, are broadcast up to SET_LIMIT rows and joined as Spark chooses beyond.
 
 Defined cases: a null or empty text has no words and no hit; an item without words has no window; windows that repeat in
 an item or among items count for every item that holds them; an empty benchmark hits nothing; equal texts give equal rows;
-repeated keys are kept apart by a row number made in the scan; an empty table gives an empty result; other columns are not
-read by scan().
+repeated and null keys are kept apart by a row number made in the scan; a very long text is an array of its words and one of
+their hashes, some 80 bytes a word; an empty table gives an empty result; other columns are not read by scan(), whatever
+their names, and kept by clean().
 """
 
 from __future__ import annotations
@@ -87,7 +89,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str
         hits = rows.select("_row", *keep, "n_words", F.explode_outer("_near").alias("_x"))
         hits = hits.select("_row", *keep, "n_words", F.col("_x.width").alias("width"), F.col("_x.at").alias("at"), F.col("_x.window").alias("window"))
         # compare the words themselves; the windows are as few as the hash set
-        hits = hits.join(F.broadcast(windows.drop("hash")), ["width", "window"], "left")
+        few = windows.limit(set_limit + 1).count() <= set_limit
+        hits = hits.join(F.broadcast(windows.drop("hash")) if few else windows.drop("hash"), ["width", "window"], "left")
     else:
         lengths = [r["width"] for r in windows.select("width").distinct().collect()]  # at most `width` values
         spans = F.concat(*(_spans(F.col("_w"), F.col("_h"), k) for k in lengths))

@@ -7,15 +7,20 @@ the fewest wins. Since only the longest match from a place matters, the automato
 successor where a match ends (and that transition marked as a phrase) is a deterministic transducer in one flat table,
 and many texts step through it at once in numpy.
 
-Texts are parsed whole, in blocks of BLOCK bytes: a phrase ends at a block's end. Letters are lower-cased; ASCII
-characters that are not letters count as one separator.
-
-Learning takes at most SAMPLE_ROWS rows a language (those with the smallest hash of the key) and SAMPLE_BYTES bytes a
-language, spread evenly over these rows. Both are parameters. Everything else covers all data.
-
-Defined cases: a text that is null, empty or without a letter is `und` with score 0; ties go to the language that sorts
-first; without any labelled row everything is `und`; with one learned language the score is 1; equal texts give equal
-rows; an empty table gives an empty result; other columns are not read.
+Texts are parsed whole. Blocks of BLOCK bytes are stepped through side by side, each from the root; then blocks whose
+predecessor ended in another state than they began with are parsed again from that state, until none is left, so the phrases
+are those of one parse from the first byte to the last. Letters are lower-cased; ASCII characters that are not letters count
+as one separator.
+
+Learning takes at most SAMPLE_ROWS rows a language (those with the smallest hash of key and text) and SAMPLE_BYTES bytes a
+language: each row gives an equal share from its middle, and what short rows leave goes to the longer ones. Both are
+parameters. Everything else covers all data.
+
+Defined cases: a text that is null, empty or without a letter is `und` with score 0, and nothing is learned from it; ties go
+to the language that sorts first; without any labelled row everything is `und`; with one learned language the score is 1;
+equal texts give equal rows; rows that repeat key, label and text count once in learning, rows that repeat the key alone are
+rows of their own; bytes that no sample holds end a phrase; a very long text is parsed like any other, as blocks; an empty
+table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +30,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import groups
 from .common import arrow_rows, as_bytes
 
 SAMPLE_ROWS, SAMPLE_BYTES = 64, 16_000
-BLOCK, CLASSES = 1024, 64
+BLOCK = 1024
 UND = "und"
 #: Classes of bytes: padding changes nothing, an unknown byte ends a phrase.
 PAD, UNKNOWN, SEPARATOR = 0, 1, 2
@@ -47,13 +53,13 @@ SEPARATORS = bytes(32 if b < 128 and not 97 <= b <= 122 else b for b in range(25
 
 
 def byte_classes(samples: list[bytes]) -> np.ndarray:
-    """Class of each byte: the most frequent bytes of the samples have one each, the rest are unknown."""
-    counts = np.bincount(np.frombuffer(b"".join(samples), np.uint8), minlength=256)
-    counts[32] = 0
+    """Class of each byte: each that the samples hold has its own, the rest are unknown to all of them."""
+    held = np.zeros(256, bool)
+    held[np.frombuffer(b"".join(samples), np.uint8)] = True
+    held[32] = False
     out = np.full(256, UNKNOWN, np.uint8)
     out[32] = SEPARATOR
-    common = [b for b in np.argsort(-counts, kind="stable") if counts[b]][: CLASSES - 3]
-    out[common] = np.arange(3, 3 + len(common))
+    out[held] = np.arange(SEPARATOR + 1, SEPARATOR + 1 + held.sum())
     return out
 
 
@@ -87,47 +93,60 @@ def automaton(sample: np.ndarray) -> tuple[list[dict[int, int]], list[int]]:
     return step, link
 
 
-PHRASE = np.uint16(1 << 15)
-
-
 def transducer(sample: bytes, classes: np.ndarray) -> np.ndarray:
-    """Flat table: at state * CLASSES + class, the next state, plus PHRASE where a phrase ends before this byte."""
+    """Flat table: at state * width + class, twice the next state, plus one where a phrase ends before this byte."""
+    width = int(classes.max()) + 1
     step, _ = automaton(classes[np.frombuffer(sample, np.uint8)])
     # one state more for "behind an unknown byte", which is a phrase of its own
     after = len(step)
-    table = np.full((after + 1, CLASSES), after | int(PHRASE), np.uint16)
+    table = np.full((after + 1, width), after * 2 + 1, np.uint16 if after < 2**15 else np.uint32)
     for c, to in step[0].items():
-        table[:, c] = to | int(PHRASE)
+        table[:, c] = to * 2 + 1
     for s, moves in enumerate(step):
         for c, to in moves.items():
-            table[s, c] = to
+            table[s, c] = to * 2
     # at the root nothing has been read yet, so no phrase ends; what the sample lacks is there like an unknown byte
-    table[0] &= ~PHRASE
-    table[:, PAD] = np.arange(after + 1)
+    table[0] &= ~table.dtype.type(1)
+    table[:, PAD] = np.arange(after + 1) * 2
     return table.ravel()
 
 
 def phrases(texts: list[bytes], tables: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
     """Phrases of each prepared text in each language; shape (texts, languages)."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    sizes, width = np.fromiter(map(len, texts), np.int64, len(texts)), int(classes.max()) + 1
     data = classes[np.frombuffer(b"".join(texts), np.uint8)]
     blocks = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(texts)), blocks)
-    first = np.cumsum(sizes) - sizes
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    start, size = first[owner] + nth * BLOCK, np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
-    order = np.argsort(-size, kind="stable")
-    start, size, owner = start[order], size[order], owner[order]
-    active = len(size) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), "right")
-    states = [np.zeros(len(size), np.int64) for _ in tables]
-    counts = [np.zeros(len(size), np.int64) for _ in tables]
-    for t, n in enumerate(active):
-        c = data[start[:n] + t]
-        for table, state, count in zip(tables, states, counts, strict=True):
-            got = table.take((state[:n] * CLASSES) + c)
-            count[:n] += got >> 15
-            state[:n] = got & 0x7FFF
-    return np.stack([np.bincount(owner, count + 1, len(texts)) for count in counts], 1) if tables else np.zeros((len(texts), 0))
+    start, size = (np.cumsum(sizes) - sizes)[owner] + nth * BLOCK, np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
+
+    def parse(table: np.ndarray, some: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and phrases ended of these blocks from these entry states."""
+        order = np.argsort(-size[some], kind="stable")
+        at, long_, state, count = start[some][order], size[some][order], entry[order], np.zeros(len(some), np.int64)
+        active = len(at) - np.searchsorted(long_[::-1], np.arange(long_[0] if len(at) else 0), "right")
+        for t, n in enumerate(active):
+            got = table.take(state[:n] * width + data[at[:n] + t])
+            count[:n] += got & 1
+            state[:n] = got >> 1
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return state[back], count[back]
+
+    out = np.zeros((len(texts), len(tables)), np.int64)
+    for k, table in enumerate(tables):
+        entry = np.zeros(len(owner), np.int64)
+        leave, count = parse(table, np.arange(len(owner)), entry)
+        while True:
+            before = np.where(nth > 0, np.concatenate([[0], leave[:-1]]) if len(leave) else leave, 0)
+            again = np.flatnonzero(before != entry)
+            if not len(again):
+                break
+            entry[again] = before[again]
+            leave[again], count[again] = parse(table, again, entry[again])
+        # the phrase that is open at a text's end counts
+        out[:, k] = np.bincount(owner, count, len(texts)) + (sizes > 0)
+    return out
 
 
 class Model:
@@ -161,29 +180,38 @@ def _model(samples: tuple[tuple[str, bytes], ...]) -> Model:
     return _models[samples]
 
 
+def shared(sizes: list[int], most: int) -> list[int]:
+    """How much of each to take, so that all get the same, as far as they have it, and the sum is at most `most`."""
+    out, left = [0] * len(sizes), most
+    for n, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        out[i] = min(sizes[i], left // (len(sizes) - n))
+        left -= out[i]
+    return out
+
+
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[tuple[str, bytes], ...]:
     """Samples of each language from rows with a label and a letter: at most `rows` rows and `size` bytes each.
 
-    Only keys and labels are sorted; the texts of the chosen rows alone come to the driver, `size` bytes a language.
+    Only hashes and labels are sorted; of the chosen rows, at most `size` characters come to the driver.
     """
-    size = min(size, 16_000)  # states of the automaton, at most twice that, fit 15 bits
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("k"), F.col(lang).alias("l"))
-    by = Window.partitionBy("l").orderBy(F.xxhash64(F.col("k").cast("string")), "k")
-    chosen = labelled.withColumn("n", F.row_number().over(by)).where(F.col("n") <= rows)
-    share = size // rows
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    labelled = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
+    by = Window.partitionBy("l").orderBy("h")
+    # rows that repeat key and text are one; of each task's rest only `rows` rows a language are sorted
+    chosen = labelled.select("l", "h").distinct().withColumn("n", F.row_number().over(by)).where(F.col("n") <= rows).select("l", "h")
+    part = F.expr(f"substring(t, greatest(1, cast(length(t) / 2 as int) - {size // 2}), {size})")
     # at most `rows` rows a language are broadcast; a middle part of each chosen row, as labelled text for learning only
-    part = F.encode(F.expr(f"substring(`{text}`, greatest(1, cast(length(`{text}`) / 2 as int) - {share // 2}), {share})"), "UTF-8")
-    texts = df.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), text)
-    got = texts.join(F.broadcast(chosen), ["k", "l"]).select("l", "n", part.alias("part")).collect()
+    got = labelled.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.min(part).alias("part")).collect()
     out: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r["l"], r["n"], r["part"])):
-        out.setdefault(r["l"], []).append(prepare(bytes(r["part"])))
-    return tuple((k, b" ".join(v)[:size]) for k, v in sorted(out.items()))
+    for r in sorted(got, key=lambda r: (r["l"], r["h"])):
+        out.setdefault(r["l"], []).append(prepare(r["part"].encode()))
+    taken = {k: [p[(len(p) - n) // 2 :][:n] for p, n in zip(v, shared(list(map(len, v)), size - len(v)), strict=True)] for k, v in out.items()}
+    return tuple((k, b" ".join(v)) for k, v in sorted(taken.items()))
 
 
 def predict(df: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, lang_pred, score of every row."""
-    types = dict(df.dtypes)
+    schema = StructType([*(df.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = _model(samples)
@@ -194,7 +222,7 @@ def predict(df: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str = "
             scores += s
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return arrow_rows(df.select(*keep, text), run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string, score double"]))
+    return arrow_rows(df.select(*keep, text), run, schema)
 
 
 def held_out(key: str = "doc_id"):

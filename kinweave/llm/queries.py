@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, topk_search, warc
+from . import decontaminate, sharding, topk_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,7 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shard
-
-    return shard(_table(spark, sf_dir, "documents"), shards=24)
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=24)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +71,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_records, op2_language_id, op3_topk_search, op4_bpe, op5_warc, op6_token_counts, op7_sharding, op8_decontaminate, op9_simhash, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk_search.ORACLE, "op5_warc": warc.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": topk_search.ORACLE, "op5_warc": warc.ORACLE, "op7_sharding": sharding.ORACLE, "op8_decontaminate": decontaminate.ORACLE}

@@ -1,17 +1,19 @@
-"""Operator 7, sharding by histogram sort, law `bytes`: shards of nearly equal size.
+"""Operator 7, sharding by histogram sort, law `bytes`: shards of nearly equal size, groups of equal texts kept together.
 
-Rows are ordered by (hash of the text, key), so equal texts lie side by side. A row goes to shard floor(n * before / total),
-where before is the size of all rows that precede it: a shard is off its share by one row at most. The n - 1 splitters
-are found without sorting: of a few candidate boundaries for each, every partition counts the exact bytes and rows below;
-the sums come to the driver (some hundred numbers), the interval that holds the splitter is cut again, and so on until one
-row is left between its ends. Then rows move once, to their shard. Inside a large shard, further boundaries cut runs of a
-bounded size; the exact counts below them give each run its first slot, so no task ever numbers a whole shard.
+Rows are ordered by (hash of the text, key), so equal texts lie side by side. Splitter i stands before the first row that has
+i / shards of all bytes before it; where that is inside a group of equal texts of at most 1 / TOLERANCE of a shard's share, it
+moves to the group's nearer edge (the lower one on ties). Only a larger group is parted. So a shard is off its share by one
+row or such a group at each end at most.
 
-Equal texts stay in one shard, but where a splitter must cut through a group of copies (the order inside is the key's).
+The splitters are found without sorting: of a few candidate boundaries for each, every partition counts the exact bytes and
+rows below; the sums come to the driver (some hundred numbers), the interval that holds the splitter is cut again, and so on
+until one row is left between its ends. Then rows move once, to their shard. Inside a large shard, further boundaries cut runs
+of about RUN_ROWS rows: places at even distances, counted exactly, and cut again where a run is still too large. The counts
+below them give each run its first slot, so no task ever numbers a whole shard, and the driver holds a number for each run.
 
 Defined cases: a null text counts as empty, of size 8; a null key sorts first; rows equal in text and key are never split
-and are numbered in any order; fewer rows than shards leave shards empty; an empty table gives an empty result; clashing
-column names of the input are kept out by selecting key and text alone.
+and are numbered in any order; fewer rows than shards leave shards empty; a very long text is a row like any other, of its
+size; an empty table gives an empty result; clashing column names of the input are kept out by selecting key and text alone.
 """
 
 from __future__ import annotations
@@ -25,9 +27,12 @@ from .common import arrow_rows, durable
 
 #: Candidate boundaries for a splitter in a round.
 PROBES = 31
-#: Rows and bytes of a run that one task numbers, about.
-RUN_ROWS, RUN_BYTES = 1_000_000, 64_000_000
+#: Rows of a run that one task numbers, about.
+RUN_ROWS = 1_000_000
+#: Groups of equal texts of up to this part of a shard's share aren't parted.
+TOLERANCE = 100
 OVERHEAD = 8
+LEAST = -(2**63)
 
 
 def _places(h: np.ndarray, d: np.ndarray, ph: np.ndarray, pd: np.ndarray) -> np.ndarray:
@@ -74,50 +79,86 @@ def _counted(rows: DataFrame, bounds: list[tuple[int, int]]) -> tuple[np.ndarray
     return np.cumsum(size)[:-1], np.cumsum(n)[:-1]
 
 
-def splitters(rows: DataFrame, targets: list[int], exact: set[int], total: tuple[int, int], span: tuple[int, int]) -> list[tuple[tuple[int, int], int]]:
-    """For each target the smallest boundary with at least so many bytes below it, and the rows below it.
-
-    Targets that aren't in `exact` take any boundary found within two rounds. span: smallest and largest d.
-    """
+def splitters(rows: DataFrame, targets: list[int], total: tuple[int, int], span: tuple[int, int]) -> list[tuple[tuple[int, int], int, int]]:
+    """For each target the smallest boundary with at least so many bytes below it, and the bytes and rows below. span: smallest and largest d."""
     base, width = span[0], span[1] - span[0] + 1
     pair = lambda k: (k // width, base + k % width)
-    top = (1 << 60) * width
     # of each target: the interval of boundaries, and bytes and rows below its ends
-    state = [[0, top, 0, total[0], 0, total[1]] for _ in targets]
-    for turn in range(200):
-        open_ = [i for i, s in enumerate(state) if s[1] - s[0] > 1 and s[5] - s[4] > 1 and (i in exact or turn < 2)]
-        if not open_:
-            break
+    state = [[0, (1 << 60) * width, 0, total[0], 0, total[1]] for _ in targets]
+    while open_ := [i for i, s in enumerate(state) if s[1] - s[0] > 1 and s[5] - s[4] > 1]:
         probes = sorted({s[0] + (s[1] - s[0]) * j // (PROBES + 1) for i in open_ for s in [state[i]] for j in range(1, PROBES + 1)})
         size, n = _counted(rows, [pair(p) for p in probes])
-        for i in open_:
+        for i, at in zip(open_, np.searchsorted(size, [targets[i] for i in open_]).tolist(), strict=True):
             s = state[i]
-            for p, b, c in zip(probes, size.tolist(), n.tolist(), strict=True):
-                if s[0] < p < s[1]:
-                    if b < targets[i]:
-                        s[0], s[2], s[4] = p, b, c
-                    else:
-                        s[1], s[3], s[5] = p, b, c
-                        break
-    return [(pair(s[1]), s[5]) for s in state]
+            if at < len(probes) and probes[at] < s[1]:
+                s[1], s[3], s[5] = probes[at], int(size[at]), int(n[at])
+            if at and probes[at - 1] > s[0]:
+                s[0], s[2], s[4] = probes[at - 1], int(size[at - 1]), int(n[at - 1])
+    return [(pair(s[1]), s[3], s[5]) for s in state]
+
+
+def _at_edges(rows: DataFrame, found: list[tuple[tuple[int, int], int, int]], targets: list[int], most: int) -> list[tuple[tuple[int, int], int]]:
+    """Boundaries and the rows below them, moved to the nearer edge of groups of equal texts of at most `most` bytes."""
+    # a boundary lies behind the last row below it, whose hash is that of the boundary or, where none of that is below, a smaller one
+    edges = sorted({(h + k, LEAST) for (h, _), _, _ in found for k in (0, 1)})
+    size, n = _counted(rows, edges)
+    below = {e[0]: (int(a), int(b)) for e, a, b in zip(edges, size, n, strict=True)}
+    out = []
+    for ((h, d), size_, n_), target in zip(found, targets, strict=True):
+        (low, low_n), (high, high_n) = below[h], below[h + 1]
+        if low < size_ < high and high - low <= most:
+            out.append(((h, LEAST), low_n) if target - low <= high - target else ((h + 1, LEAST), high_n))
+        else:
+            out.append(((h, d), n_))
+    return out
+
+
+def _runs(rows: DataFrame, cuts: list[tuple[tuple[int, int], int]], total: int, span: tuple[int, int]) -> list[tuple[tuple[int, int], int]]:
+    """Further boundaries, with the rows below them, that leave about RUN_ROWS rows between two neighbours or what can't be parted."""
+    base, width = span[0], span[1] - span[0] + 1
+    line = lambda b: b[0] * width + max(0, b[1] - base)
+    known = {0: 0, (1 << 60) * width: total} | {line(b): n for b, n in cuts}
+    fixed = set(known)
+    while True:
+        ends, probes = sorted(known), set()
+        for a, b in zip(ends, ends[1:], strict=False):
+            if known[b] - known[a] > RUN_ROWS:
+                # twice as many places as runs, and many where all rows may lie in a small part of the interval
+                pieces = min(b - a, max(PROBES + 1, 2 * (known[b] - known[a]) // RUN_ROWS))
+                probes |= {a + (b - a) * j // pieces for j in range(1, pieces)}
+        if not probes:
+            break
+        probes = sorted(probes)
+        _, n = _counted(rows, [(p // width, base + p % width) for p in probes])
+        known |= zip(probes, n.tolist(), strict=True)
+    # of all places, only those that keep runs small
+    out, begin, ends = [], 0, sorted(known)
+    for at, after in zip(ends[1:], ends[2:], strict=False):
+        if at in fixed:
+            begin = known[at]
+        elif known[after] - begin > RUN_ROWS:
+            out.append(((at // width, base + at % width), known[at]))
+            begin = known[at]
+    return out
 
 
 def shard(df: DataFrame, shards: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard of each row."""
     rows = durable(sized(df, text, key))
     bytes_, n, lo, hi = rows.select(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.min("d"), F.max("d")).head()
-    runs = max(1, -(-n // (shards * RUN_ROWS)), -(-bytes_ // (shards * RUN_BYTES)))
-    targets = [-(-bytes_ * i // (shards * runs)) for i in range(1, shards * runs)]
-    exact = {i for i in range(len(targets)) if (i + 1) % runs == 0}
-    found = splitters(rows, targets, exact, (bytes_, n), (lo, hi)) if n else []
-    starts = [(i + 1 if i in exact else None, b, c) for i, (b, c) in enumerate(found)]
-    shard_of, first, below = [0], [0], 0
-    order = sorted(starts, key=lambda x: (x[1], x[0] is None))
-    for nth, _, c in order:
-        below = c if nth is not None else below
-        shard_of.append(nth // runs if nth is not None else shard_of[-1])
-        first.append(c - below)
-    ph, pd = (np.array([b[i] for _, b, _ in order], np.int64) for i in (0, 1))
+    targets = [-(-bytes_ * i // shards) for i in range(1, shards)]
+    cuts = _at_edges(rows, splitters(rows, targets, (bytes_, n), (lo, hi)), targets, bytes_ // (shards * TOLERANCE)) if n and targets else []
+    bounds = [(b, below, i + 1) for i, (b, below) in enumerate(cuts)]
+    bounds += [(b, below, None) for b, below in (_runs(rows, cuts, n, (lo, hi)) if n else [])]
+    shard_of, first, begin = [0], [0], 0
+    # boundaries in order; splitters that meet leave the shards between them empty
+    bounds.sort(key=lambda x: (x[0], x[2] is None, x[2] or 0))
+    for _, below, nth in bounds:
+        if nth is not None:
+            begin = below
+        shard_of.append(shard_of[-1] if nth is None else nth)
+        first.append(below - begin)
+    ph, pd = (np.array([b[i] for b, _, _ in bounds], np.int64) for i in (0, 1))
     shard_of, first = np.array(shard_of, np.int32), np.array(first, np.int64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,10 +170,19 @@ def shard(df: DataFrame, shards: int, text: str = "text", key: str = "doc_id") -
     return placed.select(F.col("key").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-#: The same in DuckDB, for 24 shards.
+#: The same in DuckDB, for 24 shards. CRC-32 goes byte by byte through the table that its polynomial gives.
 ORACLE = """
-WITH s AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
-c AS (SELECT *, CAST(sum(size) OVER (ORDER BY h, doc_id) AS BIGINT) - size AS before, CAST(sum(size) OVER () AS BIGINT) AS total FROM s),
-p AS (SELECT *, CAST(24 * before // total AS INTEGER) AS shard FROM c)
-SELECT doc_id, CAST(size AS BIGINT) AS size, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+WITH s AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 8 AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+c AS (SELECT *, CAST(sum(size) OVER (ORDER BY h, doc_id) AS BIGINT) - size AS before FROM s),
+t AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total FROM s),
+g AS (SELECT min(before) AS low, max(before + size) AS high FROM c GROUP BY h),
+x AS (SELECT i, total, (total * i + 23) // 24 AS target FROM t, range(1, 24) r(i)),
+y AS (SELECT i, total, target, coalesce((SELECT min(before) FROM c WHERE before >= target), total) AS raw FROM x),
+z AS (SELECT CASE WHEN low IS NULL OR high - low > total // 2400 THEN raw WHEN target - low <= high - target THEN low ELSE high END AS b FROM y LEFT JOIN g ON low < raw AND raw < high),
+p AS (SELECT c.*, (SELECT count(*) FROM z WHERE b <= before) AS shard FROM c),
+k AS (SELECT list(v ORDER BY n) AS table_ FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda a, j: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v FROM range(256) r(n))),
+u AS (SELECT t, list_reduce(list_prepend(4294967295, list_transform(x, lambda b: CAST('0x' || b AS BIGINT))), lambda a, b: xor(a // 256, table_[xor(a % 256, b) + 1])) AS crc
+  FROM (SELECT t, regexp_extract_all(hex(encode(t)), '..') AS x FROM (SELECT DISTINCT t FROM s)), k)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(crc, 4294967295) AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p JOIN u ON u.t = p.t
 """

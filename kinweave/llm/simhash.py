@@ -9,13 +9,18 @@ only the edges d - r to d + r. All trees of a task are built and searched level
 broadcast: what they hold grows with the corpus, so a shard's tree and its searches meet by key in place of that.
 
 A shard of more than `shard_limit` distinct fingerprints is divided again by bands of the bits that its key doesn't fix yet,
-which is exact for the same reason, until shards are small or hold what few bits tell apart. Of a shard's links, a spanning
-star of each of its components leaves the task; components of all shards are merged by alternating stars (operators/components.py).
+which is exact for the same reason, until shards are small or hold what few bits tell apart. At radius 4 the first division
+leaves a 7,000th of evenly spread fingerprints in a shard and the second an 8,000,000th, at 5 and 25 copies of each, so with
+8,192 to a shard one level serves 6 * 10^7 distinct fingerprints and two serve 6 * 10^10. Of a shard's links, a spanning star
+of each of its components leaves the task; components of all shards are merged by alternating stars (operators/components.py).
+
+Fingerprints are their own numbers here; keys come in after components are known.
 
 Defined cases: null, empty and white-space texts have fingerprint zero and are linked like any other; texts with fewer
-words than a shingle are one shingle; equal texts share a fingerprint, which is searched once; a null key takes part and
-never represents a component that has another key; repeated keys are rows of their own; an empty table gives an empty
-result; other columns are not read.
+words than a shingle are one shingle; equal texts share a fingerprint, which is searched once; a null key takes part, links
+others and never represents a component that has another key (one of null keys alone has a null component_id); repeated keys
+are rows of their own; a very long text is hashed whole, about 100 bytes of memory a word; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +33,16 @@ from pyspark.sql import functions as F
 
 from ..operators.components import stars as components
 from .bpe import groups
-from .common import arrow_rows, as_bytes, durable, small_batches, spread
+from .common import Tables, arrow_rows, as_bytes, durable, small_batches, spread
 
 #: Distinct fingerprints of one shard's tree.
-SHARD_LIMIT = 1024
-#: Pairs (search, node) that stand at one time.
-FRONTIER = 1_000_000
+SHARD_LIMIT = 8192
+#: Rows of shards that a task holds at a time, about.
+HELD = 200_000
+#: Pairs (search, node) that are looked at together; their children, some ten a pair, stand at one time.
+FRONTIER = 100_000
+#: Number of a row, while copies are sought.
+ROW = "_kinweave_row"
 #: More than any distance.
 REACH = 256
 
@@ -108,9 +117,8 @@ class Forest:
         while stack:
             who, node = stack.pop()
             if len(who) > FRONTIER:
-                half = len(who) // 2
-                stack += [(who[:half], node[:half]), (who[half:], node[half:])]
-                continue
+                stack.append((who[FRONTIER:], node[FRONTIER:]))
+                who, node = who[:FRONTIER], node[:FRONTIER]
             d = distance(self.fp[who], self.fp[node])
             hit = (d <= radius) & (who != node)
             if hit.any():
@@ -137,6 +145,25 @@ class Forest:
         return label
 
 
+def whole_groups(batches, most: int):
+    """Columns of batches that are sorted by the first, in runs of about `most` rows that part no group of equal values there."""
+    held, count = [], 0
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held and count >= most and len(columns[0]):
+            end = np.searchsorted(columns[0], held[-1][0][-1], "right")
+            held.append([c[:end] for c in columns])
+            columns = [c[end:] for c in columns]
+            if len(columns[0]):  # the group that was open has ended
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, count = [], 0
+        if len(columns[0]):
+            held.append(columns)
+            count += len(columns[0])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def bands(width: int, parts: int) -> list[tuple[int, int]]:
     """Cut `width` bits into nearly equal bands: (first bit, number of bits)."""
     ends = [width * i // parts for i in range(parts + 1)]
@@ -144,7 +171,7 @@ def bands(width: int, parts: int) -> list[tuple[int, int]]:
 
 
 def _keyed(rows: DataFrame, free: str, radius: int) -> DataFrame:
-    """Rows (node, fp, path, free) once for each band of the free bits; path grows by the band's bits.
+    """Rows (fp, path, free) once for each band of the free bits; path grows by the band's bits.
 
     `free` is the list of bit numbers that path doesn't fix, as text; all rows here share it.
     """
@@ -156,59 +183,39 @@ def _keyed(rows: DataFrame, free: str, radius: int) -> DataFrame:
         signed = mask - (1 << 64) if mask >> 63 else mask
         rest = ",".join(map(str, places[:first] + places[first + n :]))
         keys.append(F.struct(F.xxhash64(F.col("path"), F.lit(first), F.col("fp").bitwiseAND(F.lit(signed))).alias("path"), F.lit(rest).alias("free")))
-    return rows.select("node", "fp", F.explode(F.array(*keys)).alias("k")).select("node", "fp", "k.*")
+    return rows.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.*")
 
 
-def links(nodes: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """(u, v): edges that connect what Hamming distances of at most `radius` connect; nodes: (node, fp), fp distinct."""
-    small_batches(nodes.sparkSession)
+def links(fps: DataFrame, radius: int, tables: Tables, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """(u, v): fingerprints that connect what Hamming distances of at most `radius` connect; fps: distinct fp."""
+    small_batches(fps.sparkSession)
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        shard, fp, node = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in batches]) for i in range(3))
-        size = np.unique(shard, return_counts=True)
-        more = np.isin(shard, size[0][size[1] > 1])
-        shard, fp, node = shard[more], fp[more].view(np.uint64), node[more]
-        order = np.lexsort((node, shard))
-        ends = np.flatnonzero(np.diff(shard[order])) + 1
-        # whole shards in runs of bounded size
-        cuts, at = [0], 0
-        for e in [*ends.tolist(), len(order)]:
-            if e - at >= 200_000 or e == len(order):
-                cuts.append(e)
-                at = e
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            some = order[lo:hi]
-            if not len(some):
-                continue
-            label = Forest(shard[some], fp[some]).labels(radius)
-            u, v = node[some], node[some][label]
-            real = u != v
-            yield pa.RecordBatch.from_arrays([pa.array(u[real]), pa.array(v[real])], names=["u", "v"])
-
-    todo = {",".join(map(str, range(64))): nodes.select("node", "fp", F.lit(0).cast("long").alias("path"))}
+        for shard, fp in whole_groups(batches, HELD):
+            label = Forest(shard, fp.view(np.uint64)).labels(radius)
+            real = label != np.arange(len(fp))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[real]), pa.array(fp[label[real]])], names=["u", "v"])
+
+    todo = {",".join(map(str, range(64))): fps.select("fp", F.lit(0).cast("long").alias("path"))}
     out = None
     while todo:
         keyed = None
         for free, rows in todo.items():
             more = _keyed(rows, free, radius)
             keyed = more if keyed is None else keyed.unionByName(more)
-        keyed = durable(keyed)
-        sizes = keyed.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > shard_limit)
-        hot = durable(sizes.select("path"))
-        small, todo = keyed, {}
-        if hot.head() is not None:
-            # a key in `hot` stands for over shard_limit rows, so this is a small part of them
-            small = keyed.join(hot, "path", "left_anti")
-            large = keyed.join(hot, "path", "left_semi")
-            for r in large.select("free").distinct().collect():  # one for each way to choose bands
-                if len(r["free"].split(",")) > 12:
-                    todo[r["free"]] = large.where(F.col("free") == r["free"]).drop("free")
-                else:
-                    small = small.unionByName(large.where(F.col("free") == r["free"]))  # at most 2^12 fingerprints
-        found = small.select("path", "fp", "node").repartition("path").mapInArrow(run, "u long, v long").distinct()
+        keyed = tables.keep(keyed)
+        sizes = keyed.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        sizes = tables.keep(sizes.select("path", (F.col("n") > shard_limit).alias("hot")))
+        met, todo = keyed.join(sizes, "path"), {}
+        small = met.where(~F.col("hot")).drop("hot")
+        # a key that is hot stands for over shard_limit rows, so these are a small part of all
+        large = met.where("hot").drop("hot")
+        for r in large.select("free").distinct().collect():  # one for each way to choose bands
+            if len(r["free"].split(",")) > 12:
+                todo[r["free"]] = large.where(F.col("free") == r["free"]).drop("free")
+            else:
+                small = small.unionByName(large.where(F.col("free") == r["free"]))  # at most 2^12 fingerprints
+        found = tables.keep(small.select("path", "fp").repartition("path").sortWithinPartitions("path").mapInArrow(run, "u long, v long").distinct())
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -216,9 +223,12 @@ def links(nodes: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT) -> Data
 def cluster(df: DataFrame, words: int = 4, radius: int = 4, text: str = "text", key: str = "doc_id", shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """key, fp (signed long), component_id (the smallest key reachable) of every row."""
     rows = durable(fingerprints(df, words, text, key))
-    nodes = durable(rows.groupBy("fp").agg(F.min("key").alias("node")))
-    merged = components(links(nodes.where(F.col("node").isNotNull()), radius, shard_limit))
-    of = nodes.join(merged, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    with Tables(df.sparkSession) as tables:
+        fps = tables.keep(rows.groupBy("fp").agg(F.min("key").alias("key")))
+        merged = components(links(fps.select("fp"), radius, tables, shard_limit))
+        of = fps.join(merged.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "key", F.coalesce("component", "fp").alias("component"))
+        least = of.groupBy("component").agg(F.min("key").alias("component_id"))
+        of = durable(of.join(least, "component").select("fp", "component_id"))
     return rows.join(of, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
@@ -227,8 +237,23 @@ def digests(df: DataFrame) -> DataFrame:
     return cluster(df).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """One row of each component: that with the smallest key. Rows with a null key stay."""
-    found = cluster(df, words, radius)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with a number for each row: the key, where that is unique; else a number that is written down so that it stays."""
+    n, keys = df.select(F.count("*"), F.count_distinct(key)).head()
+    if n == keys and dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
+        return df.withColumn(ROW, F.col(key).cast("long"))
+    return durable(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def one_of_each(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Of numbered rows one of each component (ROW, component): that with the smallest key, of several such the first; one with a null key only where all have."""
+    ordered = rows.select(ROW, F.struct(F.col(key).isNull(), key, ROW).alias("_order")).join(found, ROW)
+    kept = ordered.groupBy("component").agg(F.min("_order")[ROW].alias("_kept"))
+    gone = durable(ordered.join(kept, "component").where(F.col(ROW) != F.col("_kept")).select(ROW))
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
+
+
+def keep_one(df: DataFrame, words: int = 5, radius: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each component of fingerprints within the radius, as one_of_each() chooses it."""
+    rows = numbered(df, key)
+    return one_of_each(rows, cluster(rows, words, radius, text, ROW).select(ROW, F.col("component_id").alias("component")), key)

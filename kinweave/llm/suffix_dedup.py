@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .bpe import groups
 from .common import Tables, arrow_rows, as_bytes, durable, small_batches, spread
@@ -339,6 +340,6 @@ def clean(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "d
         texts = [None if t is None else kept(t, merged(a, b)).decode("utf-8", "ignore") for t, a, b in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_doc", "_text"])
 
-    out = arrow_rows(joined.select("_doc", "text", "starts", "ends"), run, f"_doc {dict(named.dtypes)['_doc']}, _text string")
+    out = arrow_rows(joined.select("_doc", "text", "starts", "ends"), run, StructType([named.schema["_doc"], StructField("_text", StringType())]))
     columns = [F.col("_text").alias(c) if c == text else F.char_length("_text").cast(dict(df.dtypes)[c]).alias(c) if c == chars else F.col(f"_doc.`{c}`").alias(c) for c in df.columns]
     return out.select(*columns)

@@ -5,19 +5,26 @@ A shard is a file of records in ascending key order, and a record is
     u64 length of the payload | u32 masked crc of these 8 bytes | payload | u32 masked crc of the payload | line feed
 
 with little-endian numbers and, as payload, i64 key, u32 number of ids, and the ids as u16 (vocabularies up to 65,536)
-or u32. The mask (rotate by 15, add a constant) keeps a checksum of data that itself holds checksums sound. Shards are
-written by Spark's own writer, one task a shard, so its commit protocol covers lost executors and any store that Spark
-can write. The offset index is a Parquet table (shard, key, offset, n_tokens, ids_crc32), made while the written shards
-are read and verified; read_some() fetches records through it in any order.
+or u32. The mask (rotate by 15, add a constant) keeps a checksum of data that itself holds checksums sound.
+
+Rows go to tasks by ranges of (key, place in the scan), so that equal and null keys are spread too. A task makes bundles of
+about SHARD_BYTES bytes of records, and Spark's own writer gives each bundle a file of its own, so a shard is bounded by its
+bytes whatever the texts' sizes, and the writer's commit protocol covers lost executors and any store that Spark can write.
+Shards are ordered by task and by the number of the file in its task, both read from the file's name as numbers. The offset
+index is a Parquet table (part, shard, key, offset, n_tokens, before, ids_crc32; before: ids of the records before it in its
+shard), made while the written shards are read and verified; read_some() fetches records through it in any order. Ids before
+a shard are sums over windows of shards, in two levels, without a list of shards on the driver.
 
 Defined cases: a null text counts as empty and gives a record that holds only the end id; rows with equal keys stay
-apart, in the order of their texts; a null key is written as the smallest long and comes back as null; an empty table
-gives no shards and an empty result; other columns are not read.
+apart, in the order of the scan; a null key is written as the smallest long, comes first and comes back as null (the smallest
+long itself is read as null); a text beyond SHARD_BYTES is a shard of its own; an empty table gives no shards and an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -25,18 +32,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Memory, groups, load
-from .common import arrow_rows, as_bytes, scratch, small_batches
+from .common import as_bytes, scratch, small_batches, written
 
 #: Fixed values of the masked checksum, as in common record formats.
 MASK_ROTATE, MASK_ADD = 15, 0xA282EAD8
 HEAD, TAIL = 12, 5
 NULL_KEY = -(2**63)
-#: Text bytes of a shard, about. A shard is read back as one row, so this bounds the memory of a reading task.
-SHARD_BYTES = 16_000_000
+#: Bytes of records in a shard, beyond which it ends. A shard is read back as one row, so this bounds the memory of a reading task.
+SHARD_BYTES = 8_000_000
+#: Text bytes of a task, about.
+TASK_BYTES = 16_000_000
+#: Shards whose sums one window adds up.
+SUMMED = 10_000
+#: Fixed by Spark's writers: number of the task and of the file in it.
+file_name = re.compile(r"part-(\d+)-.*?-c(\d+)").search
 
 
 def masked(crc: int) -> int:
@@ -115,47 +128,63 @@ def write(df: DataFrame, out: str, path: str, end_id: int, text: str = "text", k
     spark = df.sparkSession
     wide = is_wide(path)
     size = df.select(F.sum(F.octet_length(text) + 64)).head()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
+    tasks = max(1, -(-size // TASK_BYTES))
     end = np.array([end_id], "<u4" if wide else "<u2").tobytes()
+    most = SHARD_BYTES
+
+    def run(batches):
+        splitter, memory, each = load(path), _memory(path), 4 if wide else 2
+        bundle, held = [], 0
+        for batch in batches:
+            at, keys = 0, batch.column(0).to_pylist()
+            for some in groups(as_bytes(batch.column(1))):
+                split = [splitter.words(t.decode("utf-8", "replace")) for t in some]
+                memory.learn(split)
+                for ws in split:
+                    ids = b"".join([*map(memory.__getitem__, ws), end])
+                    bundle.append(frame(struct.pack("<qI", NULL_KEY if keys[at] is None else keys[at], len(ids) // each) + ids))
+                    at += 1
+                    held += len(bundle[-1]) + 1
+                    if held >= most:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(bundle)], pa.binary())], names=["records"])
+                        bundle, held = [], 0
+        if bundle:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(bundle)], pa.binary())], names=["records"])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        splitter, memory, rows = load(path), _memory(path), []
-        for some in groups(as_bytes(batch.column(1))):
-            split = [splitter.words(t.decode("utf-8", "replace")) for t in some]
-            memory.learn(split)
-            rows += [b"".join([*map(memory.__getitem__, ws), end]) for ws in split]
-        each = 4 if wide else 2
-        keys = [NULL_KEY if k is None else k for k in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([frame(struct.pack("<qI", k, len(r) // each) + r) for k, r in zip(keys, rows, strict=True)], pa.binary())], names=["record"])
-
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(shards, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-    arrow_rows(rows, run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
+    small_batches(spark)
+    order = [F.col("key").asc_nulls_first(), F.col("place").asc()]
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("key", "text")
+    bundles = rows.mapInArrow(run, "records binary").select(F.col("records").cast("string").alias("value"))
+    bundles.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(out)
     spark.createDataFrame([(wide,)], "wide boolean").coalesce(1).write.json(f"{out}-format")
 
 
 def index(spark: SparkSession, out: str) -> DataFrame:
-    """Read and verify all shards; write and return the offset index (shard, key, offset, n_tokens, ids_crc32)."""
+    """Read and verify all shards; write and return the offset index (part, shard, key, offset, n_tokens, before, ids_crc32)."""
     wide = spark.read.schema("wide boolean").json(f"{out}-format").head()[0]
     small_batches(spark)
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, at, rows = data.as_buffer().to_pybytes(), 0, []
+                task, nth = map(int, file_name(name).groups())
+                data, at, keys, places, sizes, sums = data.as_buffer().to_pybytes(), 0, [], [], [], []
                 while at < len(data):
                     payload, after = unframe(data, at)
                     key, ids = ids_of(payload, wide)
-                    rows.append((name, None if key == NULL_KEY else key, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    keys.append(None if key == NULL_KEY else key)
+                    places.append(at)
+                    sizes.append(len(ids))
+                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
                     at = after
-                if rows:
-                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "key", "offset", "n_tokens", "ids_crc32"])
+                n = np.array(sizes, np.int64)
+                columns = [pa.array([task << 32 | nth] * len(n), pa.int64()), pa.array([name] * len(n), pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(n), pa.array(np.cumsum(n) - n), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "shard", "key", "offset", "n_tokens", "before", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content").mapInArrow(run, "shard string, key long, offset long, n_tokens long, ids_crc32 long")
-    found.write.parquet(f"{out}-index")
-    return spark.read.parquet(f"{out}-index")
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content").mapInArrow(run, "part long, shard string, key long, offset long, n_tokens long, before long, ids_crc32 long")
+    return written(found, f"{out}-index")
 
 
 def read_some(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
@@ -183,24 +212,16 @@ def read_some(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
 
 
 def starts(rows: DataFrame) -> DataFrame:
-    """Index rows with `start`, the ids of all rows before. Shards are in key order, so one sum a shard is enough to begin."""
-    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()  # a row a shard
-    before, total = {}, 0
-    for r in sums:
-        before[r["shard"]], total = total, total + r["n"]
-
-    def run(batches):
-        for batch in batches:
-            for shard, at, n, key, crc in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "n_tokens", "key", "ids_crc32")), strict=True):
-                order = np.argsort(at)
-                n, crc = np.array(n, np.int64)[order], np.array(crc, np.int64)[order]
-                keys = [key[i] for i in order]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(before[shard] + np.cumsum(n) - n), pa.array(n), pa.array(crc)], names=["key", "start", "n_tokens", "ids_crc32"])
-
-    # a shard's rows are bounded by its bytes, so they may meet in one task
-    packed = rows.groupBy("shard").agg(F.collect_list(F.struct("offset", "n_tokens", F.col("key"), "ids_crc32")).alias("r"))
-    packed = packed.select("shard", *(F.col(f"r.{c}").alias(c) for c in ("offset", "n_tokens", "key", "ids_crc32")))
-    return packed.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    """Index rows with `start`, the ids of all rows before, in the order of shards and of records in them."""
+    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    # shards in runs by their numbers: sums inside a run, and of all runs before it
+    run = F.shiftright("part", 32) - F.pmod(F.shiftright("part", 32), F.lit(SUMMED))
+    sums = sums.withColumn("run", run)
+    inside = sums.withColumn("inside", F.sum("n").over(Window.partitionBy("run").orderBy("part")) - F.col("n"))
+    runs = sums.groupBy("run").agg(F.sum("n").alias("n"))
+    runs = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("ahead"))
+    begin = inside.join(runs, "run").select("part", (F.col("inside") + F.col("ahead")).alias("begin"))
+    return rows.join(begin, "part").select("key", (F.col("begin") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def digests(df: DataFrame, path: str, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:

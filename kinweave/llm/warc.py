@@ -2,16 +2,23 @@
 
 Each page becomes one capture of three records: request, response (or revisit), metadata. Request and metadata name the
 response through WARC-Concurrent-To. Of pages with equal payloads (of at least `least` bytes) that with the largest key is
-the response, the others are revisits that hold its headers alone and name it in WARC-Refers-To. Archives are gzip files
-of WARC/1.1 records, written by Spark's own text writer (a record ends in CR LF CR LF, and the last CR LF is the writer's
-line separator), so its commit protocol covers lost executors and any store that Spark can write.
+the response, the others are revisits that hold its headers alone and name it in WARC-Refers-To. Which page is which is
+decided on (key, digest, number) alone; payloads then move once, by key and digest, and never by digest alone, as an empty
+or error page may be a third of all. A capture's identifiers hold its page's key and its number in the scan, so they are
+unique whatever the keys.
 
-Reading takes the archives as whole files of bounded size, parses records by their Content-Length, checks the digests of
-the payloads that are there, and joins the records of a capture by their concurrent-to identifiers into one nested row.
+A task makes bundles of records of about ARCHIVE_BYTES, and Spark's own text writer gives each a gzip file of its own, so its
+commit protocol covers lost executors and any store that Spark can write, and an archive is bounded by its bytes (a record
+ends in CR LF CR LF; the last CR LF of a file is the writer's line separator).
+
+Reading takes the archives as whole files, parses records by their Content-Length, checks the digests of the payloads that
+are there, and joins the records of a capture by their concurrent-to identifiers into one nested row.
 
 Defined cases: a null payload counts as empty; a null or unsafe URL is percent-encoded or replaced by the record's URN;
-rows that repeat the largest key of their payload are all responses; repeated keys give one row each; an empty table gives
-an empty result; other columns are not read.
+rows that repeat the largest key of their payload are all responses, and revisits name one of them; repeated and null keys
+give one row each; pages of null keys alone with equal payloads are all responses; a payload beyond ARCHIVE_BYTES is an
+archive of its own; an empty table gives an empty result; other columns are not read, whatever their names. Numbers come from
+the scan: a frame whose rows come in another order each time is to be written first.
 """
 
 from __future__ import annotations
@@ -24,16 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, as_bytes, scratch, small_batches
+from .common import scratch, small_batches
 
-#: Payload bytes of an archive, about; a reading task holds one archive.
-ARCHIVE_BYTES = 24_000_000
+#: Bytes of records in an archive, beyond which it ends; a reading task holds one archive.
+ARCHIVE_BYTES = 16_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 unsafe = re.compile(r"[\x00-\x20\x7f]")
 
 
-def urn(key: int | None, kind: str) -> str:
-    return f"<urn:capture:{'' if key is None else key}:{kind}>"
+def urn(key: int | None, number: int, kind: str) -> str:
+    return f"<urn:capture:{'' if key is None else key}:{number}:{kind}>"
 
 
 def record(kind: str, rid: str, uri: str, date: str, block: bytes, media: str, more: tuple[tuple[str, str], ...] = ()) -> bytes:
@@ -42,41 +49,49 @@ def record(kind: str, rid: str, uri: str, date: str, block: bytes, media: str, m
     return b"".join((b"WARC/1.1\r\n", "".join(f"{k}: {v}\r\n" for k, v in head).encode(), b"\r\n", block, b"\r\n\r\n"))
 
 
-def capture(key: int | None, url: str | None, payload: bytes, sha1: bytes, refers: int | None, date: str) -> bytes:
-    """The records of one page, without the last line end."""
-    uri = unsafe.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:capture:{'' if key is None else key}"
-    response = urn(key, "response")
+def capture(key: int | None, number: int, url: str | None, payload: bytes, sha1: bytes, refers: dict | None, date: str) -> bytes:
+    """The records of one page; refers: key and number of the page that holds the payload, of a revisit."""
+    uri = unsafe.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:capture:{'' if key is None else key}:{number}"
+    response = urn(key, number, "response")
     digest = "sha1:" + base64.b32encode(sha1).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if refers is None:
         main = record("response", response, uri, date, http + payload, "application/http;msgtype=response", (("WARC-Payload-Digest", digest),))
     else:
-        more = (("WARC-Payload-Digest", digest), ("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers, "response")))
+        more = (("WARC-Payload-Digest", digest), ("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers["key"], refers["number"], "response")))
         main = record("revisit", response, uri, date, http, "application/http;msgtype=response", more)
     to = (("WARC-Concurrent-To", response),)
-    request = record("request", urn(key, "request"), uri, date, f"GET {uri} HTTP/1.1\r\n\r\n".encode(), "application/http;msgtype=request", to)
+    request = record("request", urn(key, number, "request"), uri, date, f"GET {uri} HTTP/1.1\r\n\r\n".encode(), "application/http;msgtype=request", to)
     fields = f"page: {'' if key is None else key}\r\n".encode()
-    return (request + main + record("metadata", urn(key, "metadata"), uri, date, fields, "application/warc-fields", to))[:-2]
+    return request + main + record("metadata", urn(key, number, "metadata"), uri, date, fields, "application/warc-fields", to)
 
 
 def write(df: DataFrame, out: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write all rows of df as archives under `out`."""
     pages = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
-    pages = pages.withColumn("sha1", F.unhex(F.sha1("payload")))
-    same = pages.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.max("key").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pages = pages.join(same, "sha1", "left")
-    refers = F.when((F.octet_length("payload") >= least) & (F.col("main").isNotNull()) & (F.col("key").isNull() | (F.col("key") != F.col("main"))), F.col("main"))
-    rows = pages.select("key", "url", "payload", "sha1", refers.alias("refers"))
-    n, size = df.select(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(payload).cast("binary")) + 1000), F.lit(0))).head()
+    pages = pages.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("number", F.monotonically_increasing_id())
+    thin = pages.where(F.octet_length("payload") >= least).select("key", "sha1", "number")
+    main = thin.groupBy("sha1").agg(F.max(F.struct("key", "number")).alias("main"), F.count("*").alias("n")).where("n > 1 AND main.key IS NOT NULL").drop("n")
+    # one row for each (key, digest) that refers; joined to the payloads by both, so that neither an empty page nor a null key is hot alone
+    refers = thin.select("key", "sha1").distinct().join(main, "sha1").where(~F.col("key").eqNullSafe(F.col("main.key"))).select(F.col("key").alias("_key"), F.col("sha1").alias("_sha1"), "main")
+    rows = pages.join(refers, F.col("key").eqNullSafe(F.col("_key")) & (F.col("sha1") == F.col("_sha1")), "left").select("key", "number", "url", "payload", "sha1", "main")
+    most = ARCHIVE_BYTES
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, urls, payloads, sha1s, mains = (batch.column(i) for i in range(5))
-        out = [capture(*x, date) for x in zip(keys.to_pylist(), urls.to_pylist(), as_bytes(payloads), sha1s.to_pylist(), mains.to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+    def run(batches):
+        bundle, held = [], 0
+        for batch in batches:
+            for x in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                bundle.append(capture(*x, date))
+                held += len(bundle[-1])
+                if held >= most:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(bundle)[:-2]], pa.binary())], names=["records"])
+                    bundle, held = [], 0
+        if bundle:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(bundle)[:-2]], pa.binary())], names=["records"])
 
-    records = arrow_rows(rows, run, "record binary").select(F.col("record").cast("string").alias("value"))
-    most = max(1, int(ARCHIVE_BYTES * n / max(1, size)))
-    records.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(out)
+    small_batches(df.sparkSession)
+    bundles = rows.mapInArrow(run, "records binary").select(F.col("records").cast("string").alias("value"))
+    bundles.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(out)
 
 
 def parse(data: bytes):
@@ -133,17 +148,11 @@ def read(spark: SparkSession, out: str, payloads: bool = True) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: id, request, response (or revisit), metadata.
 
-    Records meet by the identifier of the response that they are concurrent to; a response meets itself. Rows that repeat
-    a key share its identifier: each response then is a row of its own, with the first request and metadata.
+    Records meet by the identifier of the response that they are concurrent to; a response meets itself.
     """
     each = F.struct(*(c for c in records.columns if c != "concurrent_to"))
-    main = F.col("type").isin("response", "revisit")
-    grouped = records.groupBy(F.coalesce("concurrent_to", "id").alias("id")).agg(
-        F.first(F.when(F.col("type") == "request", each), ignorenulls=True).alias("request"),
-        F.collect_list(F.when(main, each)).alias("responses"),
-        F.first(F.when(F.col("type") == "metadata", each), ignorenulls=True).alias("metadata"),
-    )
-    return grouped.select("id", "request", F.explode_outer("responses").alias("response"), "metadata")
+    of = lambda *kinds: F.first(F.when(F.col("type").isin(*kinds), each), ignorenulls=True)
+    return records.groupBy(F.coalesce("concurrent_to", "id").alias("id")).agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"))
 
 
 def digests(df: DataFrame, least: int = 0) -> DataFrame:
@@ -152,7 +161,7 @@ def digests(df: DataFrame, least: int = 0) -> DataFrame:
     out = scratch(spark)
     write(df, out, least=least)
     captures = assemble(read(spark, out, payloads=False))
-    refers = F.regexp_extract("response.refers_to", r":(-?\d+):", 1)
+    refers = F.regexp_extract("response.refers_to", r"^<urn:capture:(-?\d+):", 1)
     return captures.select(F.col("metadata.page").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"))
 
 
