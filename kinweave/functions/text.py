@@ -104,8 +104,10 @@ def block_key(domain: str, length: int = 4, label: str = "label", surname: str =
 
 def trigrams(x: Column | str) -> Column:
     """Trigrams in lower case, without padding."""
-    low = F.lower(_c(x))
-    return F.when(F.char_length(low) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(low) - 2), lambda i: F.substr(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    # bound by a lambda, the characters are made once; substr() would count them anew for each trigram
+    grams = lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    made = F.get(F.transform(F.array(F.split(F.lower(_c(x)), "")), grams), 0)
+    return F.coalesce(made, F.array().cast("array<string>"))
 
 
 def padded_trigrams(x: Column | str) -> Column:

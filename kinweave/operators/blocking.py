@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, text
+from ..session import durable
 from .components import stars
 
 # Words that never block.
@@ -19,15 +22,56 @@ def _ends(df: DataFrame, name: str, key: list[str]) -> DataFrame:
     return df.select(*key, F.struct(*(c for c in df.columns if c not in key)).alias(name))
 
 
-def pairs(df: DataFrame, key: str | list[str], accept: Column | None = None) -> DataFrame:
-    """src, dst, s, t, key: every two rows of a block once, the smaller id first, that `accept` lets through."""
+#: Rows of a block, or of one side of it, that meet in one task; larger blocks are cut into parts of about this size.
+BLOCK_ROWS = 1000
+
+
+def pairs(df: DataFrame, key: str | list[str], accept: Column | None = None, limit: int = BLOCK_ROWS) -> DataFrame:
+    """src, dst, s, t, key: every two rows of a block once, the smaller id first, that `accept` lets through.
+
+    Blocks of over `limit` rows are cut into parts, and every two parts are a group of their own: each row of a block of m
+    parts goes to its m groups, so the load of a task is bounded whatever a block's size. Rows alone in a block don't move.
+    """
     key = [key] if isinstance(key, str) else key
-    found = _ends(df, "s", key).join(_ends(df, "t", key), key).where("s.id < t.id")
+    names = [c for c in df.columns if c not in key]
+    sizes = df.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key, F.ceil(F.col("_n") / limit).cast("int").alias("_m"))
+    rows = df.join(sizes, key).withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
+    rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    rows = rows.withColumn("_i", F.least("_p", "_q")).withColumn("_j", F.greatest("_p", "_q")).drop("_m", "_q")
+    cell = [*key, "_i", "_j"]
+    found = _ends(rows, "s", cell).join(_ends(rows, "t", cell), cell)
+    # inside one part once, across parts once
+    found = found.where("s.id < t.id AND (_i = _j OR s._p <> t._p)")
+    plain = lambda x: F.struct(*(F.col(f"{x}.{c}") for c in names)).alias(x)
+    found = found.select(*key, plain("s"), plain("t"))
     if accept is not None:
         found = found.where(accept)
     return found.select(F.col("s.id").alias("src"), F.col("t.id").alias("dst"), "s", "t", *key)
 
 
+def split_pairs(df: DataFrame, key: str, accept: Column | None = None, limit: int = BLOCK_ROWS) -> DataFrame:
+    """pairs() under the name of the load-balanced strategy, which is what pairs() always does."""
+    return pairs(df, key, accept, limit)
+
+
+def cross_pairs(left: DataFrame, right: DataFrame, key: str, accept: Column | None = None, limit: int = BLOCK_ROWS) -> DataFrame:
+    """src, dst, s, t, key: every row of `left` with every row of `right` of its block, that `accept` lets through.
+
+    The two sides of a large block are cut into parts, and every part of one meets every part of the other in a group of its own.
+    """
+    count = lambda df, n: df.groupBy(key).agg(F.count("*").alias("_n")).select(key, F.ceil(F.col("_n") / limit).cast("int").alias(n))
+    sizes = count(left, "_a").join(count(right, "_b"), key)
+
+    def dealt(df: DataFrame, own: str, other: str, cell: tuple[str, str], name: str) -> DataFrame:
+        row = F.struct(*(c for c in df.columns if c != key)).alias(name)
+        return df.join(sizes, key).select(key, F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(cell[0]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(cell[1]), row)
+
+    found = dealt(left, "_a", "_b", ("_i", "_j"), "s").join(dealt(right, "_b", "_a", ("_j", "_i"), "t"), [key, "_i", "_j"])
+    if accept is not None:
+        found = found.where(accept)
+    return found.select(F.col("s.id").alias("src"), F.col("t.id").alias("dst"), "s", "t", key)
+
+
 def disjoint(most: int | None = None) -> Column:
     """The ends share no source and have at most `most` together."""
     a, b = F.col("s.sources_int"), F.col("t.sources_int")
@@ -41,25 +85,6 @@ def with_new_source(bit: int) -> Column:
     return ~bits.overlap(a, b) & ((a == bit) | (b == bit))
 
 
-def split_pairs(df: DataFrame, key: str, accept: Column | None = None, limit: int = 1000) -> DataFrame:
-    """As pairs(), with blocks of over `limit` rows cut into parts, and every two parts a task of their own.
-
-    Each row of a block of m parts goes to its m tasks, so the load of a task is bounded whatever a block's size.
-    """
-    sizes = df.groupBy(key).agg(F.ceil(F.count("*") / limit).cast("int").alias("_m"))
-    rows = df.join(sizes, key).withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
-    rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    rows = rows.withColumn("_i", F.least("_p", "_q")).withColumn("_j", F.greatest("_p", "_q")).drop("_m", "_q")
-    found = _ends(rows, "s", [key, "_i", "_j"]).join(_ends(rows, "t", [key, "_i", "_j"]), [key, "_i", "_j"])
-    # inside one part once, across parts once
-    found = found.where("s.id < t.id AND (_i = _j OR s._p <> t._p)")
-    plain = lambda x: F.struct(*(F.col(f"{x}.{c}") for c in df.columns if c != key)).alias(x)
-    found = found.select(key, plain("s"), plain("t"))
-    if accept is not None:
-        found = found.where(accept)
-    return found.select(F.col("s.id").alias("src"), F.col("t.id").alias("dst"), "s", "t", key)
-
-
 def with_lonely(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Pairs, and each row without one paired with itself."""
     met = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -81,8 +106,7 @@ def two_sided(df: DataFrame, key: str, bit: int) -> DataFrame:
     mixed = (F.col("sources_int").bitwiseAND(bit) != 0) & (F.col("sources_int") != bit)
     df = df.withColumn("sources_int", F.when(mixed, F.raise_error(F.lit("a cluster holds the new source already")).cast("long")).otherwise(F.col("sources_int")))
     new, old = df.where(F.col("sources_int") == bit), df.where(F.col("sources_int") != bit)
-    found = _ends(old, "s", [key]).join(_ends(new, "t", [key]), key).select(F.col("s.id").alias("src"), F.col("t.id").alias("dst"), "s", "t", key)
-    return with_lonely(df, found, key)
+    return with_lonely(df, cross_pairs(old, new, key), key)
 
 
 def all_edges(df: DataFrame, key: str) -> DataFrame:
@@ -141,9 +165,7 @@ def word_pairs(top: DataFrame, support: int = 2, most_rows: int | None = None) -
 
 def word_blocks(top: DataFrame, support: int = 2) -> DataFrame:
     """id, block: components of word_pairs, named by their smallest id."""
-    found = word_pairs(top, support)
-    merged = stars(found.select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    return merged.select(F.col("node").alias("id"), F.col("component").alias("block")).unionByName(merged.select(F.col("component").alias("id"), F.col("component").alias("block")).distinct())
+    return _components(word_pairs(top, support)).withColumnRenamed("component", "block")
 
 
 def common_words(idf: DataFrame, n: int = 20) -> DataFrame:
@@ -187,9 +209,9 @@ def sampled_positions(families: int = 15, hashes: int = 15, span: int = 3200, se
     """For each family of hash functions the distinct bit positions that it looks at."""
     out = []
     for f in range(families):
-        random, found = JavaRandom(seed + f), []
+        draw, found = JavaRandom(seed + f), []
         while len(found) < min(hashes, span):
-            p = random.below(span)
+            p = draw.below(span)
             if p not in found:
                 found.append(p)
         out.append(found)
@@ -247,3 +269,79 @@ def bloom_difference(a: Column, b: Column) -> Column:
 def may_hold(bits_: Column, x: Column, size: int = 1024, hashes: int = 4) -> Column:
     """Whether a value may be in a filter; never false for one that is."""
     return F.size(F.array_except(bloom_bits(x, size, hashes), bits_)) == 0
+
+
+# --- strategies by name
+
+#: no: one block for all rows, whose pairs grow with the square of the table; for small ones.
+STRATEGIES = ("standard", "block_split", "idf", "lsh", "no")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """id, component of both ends of links (src, dst)."""
+    merged = stars(links.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    heads = merged.select(F.col("component").alias("id"), "component").distinct()
+    return merged.select(F.col("node").alias("id"), "component").unionByName(heads)
+
+
+def blocked(df: DataFrame, strategy: str, key: Column, label: str = "label", support: int = 2) -> DataFrame:
+    """df (id, label, ...) with `block`: the domain's key, or the component of rows that share rare words (idf) or a key of
+    locality-sensitive hashing (lsh). Rows that these give no partner go by the domain's key, so none is left uncovered.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no blocking strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
+    if strategy in ("standard", "block_split"):
+        return df.withColumn("block", key)
+    if strategy == "no":
+        return df.withColumn("block", F.lit(""))
+    if strategy == "idf":
+        words = document_words(df.select("id", F.col(label).alias("label")))
+        found = word_pairs(top_words(words, inverse_frequencies(words)), support)
+    else:
+        sets, _ = trigram_ids(df, label)
+        found = lsh_pairs(sets, sampled_positions())
+    of = _components(found)
+    block = F.coalesce(F.concat(F.lit(f"{strategy}:"), F.col("_component").cast("string")), F.concat(F.lit("key:"), key))
+    return df.join(of.withColumnRenamed("component", "_component"), "id", "left").withColumn("block", block).drop("_component")
+
+
+# --- sizes and places
+
+
+def block_offsets(df: DataFrame, key: str) -> DataFrame:
+    """key, n, pairs, before: rows and pairs of each block, and the pairs of all blocks before it in the order of keys.
+
+    Keys are summed in ranges and the ranges' sums in one small window, so no task sees all blocks.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias("n")).withColumn("pairs", F.floor(F.col("n") * (F.col("n") - 1) / 2))
+    ranged = durable(sizes.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    ahead = ranged.groupBy("_part").agg(F.sum("pairs").alias("_sum"))  # a row a partition
+    ahead = ahead.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_ahead"))
+    inside = F.sum("pairs").over(Window.partitionBy("_part").orderBy(key)) - F.col("pairs")
+    return ranged.withColumn("_inside", inside).join(F.broadcast(ahead), "_part").select(key, "n", "pairs", (F.col("_inside") + F.col("_ahead")).alias("before"))
+
+
+def block_index(df: DataFrame, key: str) -> DataFrame:
+    """df with `index`, the place (from 0) of each row in its block, in the order of ids, and `part`, its part of BLOCK_ROWS rows."""
+    index = F.row_number().over(Window.partitionBy(key).orderBy("id")) - 1
+    return df.withColumn("index", index).withColumn("part", F.floor(F.col("index") / BLOCK_ROWS).cast("int"))
+
+
+# --- further hash functions
+
+
+def random_positions(families: int, hashes: int, span: int, seed: int | None = None) -> list[list[int]]:
+    """As sampled_positions(), drawn anew each time; a seed makes a draw that can be repeated."""
+    draw = random.Random(seed)
+    return [draw.sample(range(span), min(hashes, span)) for _ in range(families)]
+
+
+def keys_of(bits_: Column, positions: list[list[int]]) -> Column:
+    """The keys of one row: for each family the set positions that it looks at, as an array of arrays."""
+    return F.array(*(F.array_intersect(F.array_sort(F.array(*(F.lit(p) for p in ps))), bits_) for ps in positions))
+
+
+def shares_key(a: Column, b: Column) -> Column:
+    """Whether two arrays of keys agree in a family, and not on an empty key."""
+    same = F.zip_with(a, b, lambda x, y: (F.size(x) > 0) & (x == y))
+    return F.exists(same, lambda x: F.coalesce(x, F.lit(False)))

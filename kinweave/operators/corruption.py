@@ -40,3 +40,10 @@ def sub_graph(vertices: DataFrame, ids: DataFrame) -> DataFrame:
 def sample_components(vertices: DataFrame, n: int, key: str = "cc_id") -> DataFrame:
     """Vertices of the n components with the smallest ids: a sample, by definition."""
     return vertices.join(vertices.select(key).distinct().orderBy(key).limit(n), key, "left_semi")
+
+
+def components_with_source(vertices: DataFrame, source: str, n: int, least: int = 3, key: str = "cc_id") -> DataFrame:
+    """Vertices of all components that hold the source, and of the n first (by id) of at least `least` sources: a sample, by definition."""
+    sizes = vertices.groupBy(key).agg(F.count_distinct("data_source").alias("_n"), F.max((F.col("data_source") == source).cast("int")).alias("_has"))
+    first = sizes.where(F.col("_n") >= least).orderBy(key).limit(n).select(key)
+    return vertices.join(sizes.where("_has = 1").select(key).unionByName(first).distinct(), key, "left_semi")

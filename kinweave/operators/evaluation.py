@@ -80,3 +80,28 @@ def places_by_source(vertices: DataFrame) -> DataFrame:
 def component_masks(vertices: DataFrame, key: str = "cc_id") -> DataFrame:
     """key, sources_int, n_sources."""
     return vertices.groupBy(key).agg(F.bit_or("sources_int").alias("sources_int")).withColumn("n_sources", F.bit_count("sources_int"))
+
+
+#: What a report of a domain counts beside the pairs.
+REPORTED = {"music": ("label", "artist", "album", "number", "year", "length"), "nc": ("label", "artist", "album", "number"), "geo": ("label", "lat", "lon")}
+
+
+def report(clusters: DataFrame, gold: DataFrame, domain: str, sources: int) -> DataFrame:
+    """metric, value: quality of clusters (id, clustered, attributes of the domain) against classes (id, class), and what describes them.
+
+    Members that no class names count as classes of their own. Pairs are counted from sizes and never made.
+    """
+    if domain not in REPORTED:
+        raise ValueError(f"no report for {domain!r}")
+    members = clusters.select(F.col("id").alias("cluster"), F.explode("clustered").alias("id"))
+    named = members.join(gold.select("id", "class"), "id", "left").withColumn("class", F.struct(F.col("class"), F.when(F.col("class").isNull(), F.col("id"))))
+    size = F.size("clustered")
+    several = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("double")
+    there = {c: F.col(c).isNotNull() & ((F.col(c) != 0) if c in ("year", "length") else (F.col(c).cast("string") != "")) for c in REPORTED[domain] if c in clusters.columns}
+    counts = clusters.agg(
+        F.count("*").cast("double").alias("clusters"), F.coalesce(F.sum(size), F.lit(0)).cast("double").alias("members"), several(size == 1).alias("single"), several(size == sources).alias("complete"), several(size > sources).alias("overfull"),
+        *(several(c).alias(f"with_{name}") for name, c in there.items()),
+    )
+    rates = quality_of_clusters(named, "class", "cluster")
+    one = counts.join(F.broadcast(rates.select(*(F.col(c).cast("double").alias(c) for c in rates.columns))))  # a row each
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns))).alias("x")).select("x.*")

@@ -43,9 +43,15 @@ def with_room(df: DataFrame, most: int) -> DataFrame:
 
 
 def active(df: DataFrame) -> DataFrame:
+    """Rows that aren't marked as absorbed; a missing mark counts as active."""
     return df.where(F.coalesce(F.col("status"), F.lit(True)))
 
 
+def as_entity(row: Column, status: Column) -> Column:
+    """A cluster's struct, null where it is marked as absorbed."""
+    return F.when(F.coalesce(status, F.lit(True)), row)
+
+
 def split_off(df: DataFrame) -> DataFrame:
     """Rows that left a group."""
     return df.where("old_hash_cc IS NOT NULL")

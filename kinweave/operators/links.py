@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, similarity, types
-from ..session import durable, map_rows
+from ..session import Appended, durable, map_rows
+from . import blocking
 from .components import with_components
 
 
@@ -98,7 +99,7 @@ def _by_rounds(edges: DataFrame) -> DataFrame:
     """The same without collecting a component: an edge that is the first in order at both its clusters is decided at once."""
     nodes = edges.select(F.col("src").alias("id"), F.col("s_mask").alias("mask")).unionByName(edges.select(F.col("dst").alias("id"), F.col("t_mask").alias("mask"))).groupBy("id").agg(F.bit_or("mask").alias("mask"))
     clusters = durable(nodes.select("id", F.col("id").alias("c"), "mask"))
-    left, out = durable(edges.select("src", "dst", "agg_sim")), None
+    left, out = durable(edges.select("src", "dst", "agg_sim")), Appended(edges.sparkSession)
     while left.head() is not None:
         of = clusters.select("id", "c", "mask")
         ends = left.join(of.select(F.col("id").alias("src"), F.col("c").alias("a"), F.col("mask").alias("am")), "src").join(of.select(F.col("id").alias("dst"), F.col("c").alias("b"), F.col("mask").alias("bm")), "dst")
@@ -108,12 +109,11 @@ def _by_rounds(edges: DataFrame) -> DataFrame:
         best = at.groupBy("c").agg(F.min("e").alias("e"))
         twice = best.groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.src", "e.dst")
         chosen = durable(ends.join(twice, ["src", "dst"], "left_semi"))
-        kept = chosen.select("src", "dst", "agg_sim")
-        out = kept if out is None else out.unionByName(kept)
+        kept = out.add(chosen.select("src", "dst", "agg_sim"))
         joined = chosen.select(F.explode(F.array("a", "b")).alias("c"), F.least("a", "b").alias("n"), F.col("am").bitwiseOR(F.col("bm")).alias("m"))
         clusters = durable(clusters.join(joined, "c", "left").select("id", F.coalesce("n", "c").alias("c"), F.coalesce("m", "mask").alias("mask")))
         left = durable(ends.select("src", "dst", "agg_sim").join(kept.select("src", "dst"), ["src", "dst"], "left_anti"))
-    return out if out is not None else edges.select("src", "dst", "agg_sim").limit(0)
+    return out.all(edges.select("src", "dst", "agg_sim").schema)
 
 
 def filter_basic(edges: DataFrame, vertices: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -171,6 +171,49 @@ def overfull_components(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("cc_id").agg(F.count("*").alias("n"), F.count_distinct("data_source").alias("sources")).where("sources < n")
 
 
+#: Steps of clustering in which pairs with a common source are left out; in all others they may meet.
+EXCLUSIVE_STEPS = ("source_addition", "cluster_addition")
+
+
+def without_overlap(pairs: DataFrame, vertices: DataFrame, step: str) -> DataFrame:
+    """Pairs (s.data_sources, t.data_sources) that share no source and have together at most as many as occur at all, in the steps that ask for it."""
+    if step not in EXCLUSIVE_STEPS:
+        return pairs
+    total = vertices.select(F.explode("data_sources").alias("x")).agg(F.count_distinct("x").alias("_total"))  # one row
+    a, b = F.col("s.data_sources"), F.col("t.data_sources")
+    return pairs.join(F.broadcast(total)).where(source_overlap(a, b) & (F.size(a) + F.size(b) <= F.col("_total"))).drop("_total")
+
+
+def scored_pairs(pairs: DataFrame, domain: str, kind: str, metric: str = "ct", least: float | None = None) -> DataFrame:
+    """src, dst, similarities and their mean `sim` of pairs (src, dst, s, t); kind: edge, merge or addition. Only merge and addition keep to a threshold."""
+    s, t = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"t.{c}"))
+    if kind == "addition":
+        out = pairs.select("src", "dst", similarity.addition_sim(domain, s, t, metric).alias("sim"))
+    elif kind in ("edge", "merge"):
+        sims = similarity.edge_sims(domain, s, t, metric) if kind == "edge" else similarity.merge_sims(domain, s, t, metric)
+        parts = pairs.select("src", "dst", *(v.alias(k) for k, v in sims.items()))
+        out = parts.withColumn("sim", similarity.mean(*(F.col(k) for k in sims)))
+    else:
+        raise ValueError(f"no similarity of kind {kind!r}")
+    return out if least is None or kind == "edge" else out.where(F.col("sim") >= least)
+
+
+def side_by_side(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """src, dst: every row of one side linked to every row of the other with the same key."""
+    return blocking.cross_pairs(left.select("id", key), right.select("id", key), key).select("src", "dst")
+
+
+def disjoint_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """src, dst of every two rows at all with disjoint sources, at most `most` together: by definition the square of a small table."""
+    return blocking.pairs(rows.select("id", "sources_int", F.lit(0).alias("block")), "block", blocking.disjoint(most)).select("src", "dst")
+
+
+def component_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """cc_id, src, dst: links in both directions, each once, of the vertices (id, cc_id)."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return members.select(F.col("id").alias("src"), "cc_id").join(both, "src").select("cc_id", "src", "dst")
+
+
 def source_overlap(a: Column, b: Column, most: int | None = None) -> Column:
     """Whether two arrays of sources are disjoint and, if given, at most `most` together."""
     out = ~F.arrays_overlap(a, b)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, geo, scalar, similarity, text
 from ..functions.representative_order import PLACE_ORDER
-from ..session import durable, map_rows
+from ..session import Appended, durable, map_rows
 from . import blocking, links
 from .components import stars, with_components
 
@@ -112,16 +112,15 @@ def _disjoint(tied: DataFrame, first_only: bool) -> DataFrame:
     """Of pairs (cc_id, src, dst), in the order of ids, those that share no end with one before; or the first of each cc_id."""
     if first_only:
         return durable(tied.groupBy("cc_id").agg(F.min(F.struct("src", "dst")).alias("p")).select("cc_id", "p.src", "p.dst"))
-    left, out = tied, None
+    left, out = tied, Appended(tied.sparkSession)
     while left.head() is not None:
         # a pair that is the first at both its ends is taken whatever happens elsewhere
         at = left.select(F.explode(F.array("src", "dst")).alias("id"), F.struct("src", "dst").alias("p")).groupBy("id").agg(F.min("p").alias("p"))
         twice = at.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.src", "p.dst")
-        now = durable(left.join(twice, ["src", "dst"]).select("cc_id", "src", "dst"))
-        out = now if out is None else out.unionByName(now)
+        now = out.add(left.join(twice, ["src", "dst"]).select("cc_id", "src", "dst"))
         used = now.select(F.explode(F.array("src", "dst")).alias("u"))
         left = durable(left.join(used, F.col("src") == F.col("u"), "left_anti").join(used, F.col("dst") == F.col("u"), "left_anti"))
-    return out
+    return out.all(tied.select("cc_id", "src", "dst").schema)
 
 
 def merge_by_steps(rows: DataFrame, pairs: DataFrame, domain: str, least: float, most: int, reference_compat: bool = False) -> DataFrame:
@@ -167,15 +166,15 @@ def _columns(domain: str) -> list[str]:
     return ["id", "clustered", "sources_int", *ATTRIBUTES[domain], *(["types_int"] if domain == "geo" else []), "block"]
 
 
-def merge_clusters(clusters: DataFrame, domain: str, least: float, most: int, length: int = 4, reference_compat: bool = False, task_pairs: int = TASK_PAIRS) -> DataFrame:
+def merge_clusters(clusters: DataFrame, domain: str, least: float, most: int, length: int = 4, reference_compat: bool = False, task_pairs: int = TASK_PAIRS, strategy: str = "standard") -> DataFrame:
     """Clusters (id, clustered, sources_int, attributes) after merging all that may be one, block by block.
 
-    Blocks by the domain's key (geo: length 0 makes one block, as the published rule has it). Pairs that share no cluster
-    never affect each other, so each component of the candidate pairs is merged in a task of its own, but for those of more
-    than `task_pairs` pairs, which are merged step by step with the same result.
+    Blocks by the domain's key (geo: length 0 makes one block, as the published rule has it) or another strategy of
+    blocking.blocked(). Pairs that share no cluster never affect each other, so each component of the candidate pairs is
+    merged in a task of its own, but for those of more than `task_pairs` pairs, which are merged step by step with the same
+    result; there each component takes the pairs of its own highest similarity in each step.
     """
-    key = text.block_key(domain, length)
-    rows = durable(clusters.withColumn("block", key).select(*_columns(domain)))
+    rows = durable(blocking.blocked(clusters, strategy, text.block_key(domain, length)).select(*_columns(domain)))
     open_ = rows.where(bits.count(F.col("sources_int")) < most)
     accept = blocking.disjoint(most)
     if domain == "geo":
@@ -253,14 +252,26 @@ def assign(cost: np.ndarray) -> list[int]:
     return out
 
 
-def assign_pairs(pairs: DataFrame, key: str | None = None) -> DataFrame:
+#: Cells of the matrix of one component's sides that a task assigns; a larger component raises.
+TASK_CELLS = 16_000_000
+
+
+def assign_pairs(pairs: DataFrame, unmatched: bool = False, task_cells: int = TASK_CELLS) -> DataFrame:
     """src, dst, sim of a one-to-one assignment of highest total similarity in each component of pairs (src, dst, sim).
 
-    Ends may not be shared between the sides. An assignment never links what isn't a pair.
+    Ends may not be shared between the sides. An assignment never links what isn't a pair. With `unmatched`, ends that it
+    leaves out come back as pairs of themselves, of similarity 1. An optimal assignment needs a component at once, as a
+    matrix of its sides; a component of more than `task_cells` cells raises, before any is collected: it needs smaller blocks
+    or a higher threshold.
     """
-    rows = pairs.select("src", "dst", "sim")
+    rows = durable(pairs.select("src", "dst", "sim"))
     found = stars(rows.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     named = rows.join(found.withColumnRenamed("node", "src"), "src", "left").withColumn("cc", F.coalesce("component", "src")).drop("component")
+    named = durable(named)
+    sides = [named.select("cc", end).distinct().groupBy("cc").agg(F.count("*").alias(n)) for end, n in (("src", "a"), ("dst", "b"))]
+    worst = sides[0].join(sides[1], "cc").agg(F.max(F.col("a") * F.col("b"))).head()[0]
+    if worst and worst > task_cells:
+        raise ValueError(f"a component of {worst} cells is beyond the {task_cells} of a task: use smaller blocks or a higher threshold")
 
     def solve(row: dict) -> list[tuple]:
         some = [(p["src"], p["dst"], p["sim"]) for p in row["p"]]
@@ -269,23 +280,33 @@ def assign_pairs(pairs: DataFrame, key: str | None = None) -> DataFrame:
         sim = np.full((len(left), len(right)), -1.0)
         for s, t, x in some:
             sim[i[s], j[t]] = x
-        return [(left[r], right[c], float(sim[r, c])) for r, c in enumerate(assign(np.where(sim < 0, 2.0, 1 - sim))) if c >= 0 and sim[r, c] >= 0]
+        return [(left[r], right[c], float(sim[r, c])) for r, c in enumerate(assign(np.where(sim < 0, 1.0, 1 - sim))) if c >= 0 and sim[r, c] >= 0]
 
     whole = named.groupBy("cc").agg(F.collect_list(F.struct("src", "dst", "sim")).alias("p"))
-    return map_rows(whole, solve, "src long, dst long, sim double")
+    out = map_rows(whole, solve, "src long, dst long, sim double")
+    if not unmatched:
+        return out
+    out = durable(out)
+    ends = lambda df: df.select(F.explode(F.array("src", "dst")).alias("id"))
+    alone = ends(rows).distinct().join(ends(out), "id", "left_anti")
+    return out.unionByName(alone.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("sim")))
 
 
 # --- cliques
 
 
-def cliques(nodes: Iterable[int], edges: Iterable[tuple[int, int]]) -> list[list[int]]:
-    """Maximal cliques, by Bron and Kerbosch with a pivot of most neighbours."""
+def _near(nodes: Iterable[int], edges: Iterable[tuple[int, int]]) -> dict[int, set[int]]:
     near: dict[int, set[int]] = {n: set() for n in nodes}
     for a, b in edges:
         if a != b:
             near[a].add(b)
             near[b].add(a)
-    out, stack = [], [(set(), set(near), set())]
+    return near
+
+
+def _expand(near: dict[int, set[int]], inside: set[int], may: set[int], done: set[int]) -> list[list[int]]:
+    """Maximal cliques that hold `inside`, grow by nodes of `may` and could grow by none of `done`: Bron and Kerbosch with a pivot of most neighbours."""
+    out, stack = [], [(inside, may, done)]
     while stack:
         inside, may, done = stack.pop()
         if not may and not done:
@@ -302,16 +323,36 @@ def cliques(nodes: Iterable[int], edges: Iterable[tuple[int, int]]) -> list[list
     return sorted(out)
 
 
+def cliques(nodes: Iterable[int], edges: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """Maximal cliques of a graph."""
+    near = _near(nodes, edges)
+    return _expand(near, set(), set(near), set())
+
+
 def maximal_cliques(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """cc_id, clique array<long>: maximal cliques of each component with links."""
-    known = with_components(vertices.select("id"), edges)
-    named = edges.select("src", "dst").join(known.select(F.col("id").alias("src"), "cc_id"), "src")
+    """cc_id, clique array<long>: maximal cliques of each component with links.
+
+    A clique is found at its smallest node, from that node's neighbours and the links among them, so what a task holds is a
+    neighbourhood and not a component.
+    """
+    links_ = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).where("x <> y").distinct()
+    known = vertices.select("id")
+    for end in ("x", "y"):
+        links_ = links_.join(known.withColumnRenamed("id", end), end, "left_semi")
+    links_ = durable(links_.select("x", "y"))
+    of = with_components(known, links_.select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    both = links_.select(F.col("x").alias("v"), F.col("y").alias("n")).unionByName(links_.select(F.col("y").alias("v"), F.col("x").alias("n")))
+    # links among the neighbours of v: both ends are linked to it
+    among = links_.join(both.select("v", F.col("n").alias("x")), "x").join(both.select("v", F.col("n").alias("y")), ["v", "y"])
+    nodes = both.groupBy("v").agg(F.collect_list("n").alias("n"))
+    pairs = among.groupBy("v").agg(F.collect_list(F.struct("x", "y")).alias("p"))
 
     def solve(row: dict) -> list[tuple]:
-        pairs = [(p["src"], p["dst"]) for p in row["p"]]
-        return [(row["cc_id"], c) for c in cliques({x for p in pairs for x in p}, pairs)]
+        v, around = row["v"], set(row["n"])
+        near = _near(around, ((p["x"], p["y"]) for p in row["p"] or ()))
+        return [(row["cc_id"], c) for c in _expand(near, {v}, {n for n in around if n > v}, {n for n in around if n < v})]
 
-    whole = named.groupBy("cc_id").agg(F.collect_list(F.struct("src", "dst")).alias("p"))
+    whole = nodes.join(pairs, "v", "left").join(of.withColumnRenamed("id", "v"), "v")
     return map_rows(whole, solve, "cc_id long, clique array<long>")
 
 

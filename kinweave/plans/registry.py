@@ -305,44 +305,43 @@ def idf_lowest2(spark, sf_dir):
     return blocking.top_words(words, blocking.inverse_frequencies(words), 2).select("id", "word", F.round("idf", 9).alias("idf"))
 
 
-_BENCH_WORDS = _WORDS.replace("doc_id AS id", "item_id AS id").replace("FROM documents", "FROM benchmark")
-_BENCH_TOP = _top_sql("idf DESC", "greatest(2, ceil(count(*) OVER (PARTITION BY id) / 2))").replace(_WORDS, _BENCH_WORDS)
+_TOP = _top_sql("idf DESC", "greatest(2, ceil(count(*) OVER (PARTITION BY id) / 2))")
 
 
-@query(f"SELECT s.id AS src, t.id AS dst, count(*) AS n FROM {_BENCH_TOP} s JOIN {_BENCH_TOP} t ON s.word = t.word AND s.id < t.id GROUP BY ALL HAVING count(*) >= 2")
+@query(f"WITH t AS MATERIALIZED {_TOP} SELECT s.id AS src, t.id AS dst, count(*) AS n FROM t s JOIN t ON s.word = t.word AND s.id < t.id GROUP BY ALL HAVING count(*) >= 2")
 def idf_block_pairs(spark, sf_dir):
-    rows = adapters.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("label"))
-    words = durable(blocking.document_words(rows))
+    words = durable(blocking.document_words(adapters.documents(spark, sf_dir)))
     return blocking.word_pairs(blocking.top_words(words, blocking.inverse_frequencies(words)), 2)
 
 
-@query(f"""WITH c AS (SELECT list(word) AS c FROM (SELECT word FROM {_BENCH_WORDS} b JOIN (SELECT word, df, log10(sum(df) OVER () // df) AS idf FROM (SELECT word, count(*) AS df FROM {_BENCH_WORDS} GROUP BY word)) i USING (word) GROUP BY word, idf ORDER BY idf, word LIMIT 20)),
-r AS (SELECT item_id AS id, lower(text) AS low, array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda w: NOT list_contains(c, w)), ' ') AS l FROM benchmark, c)
-SELECT id, CASE WHEN length(l) >= 6 THEN l ELSE low END AS label FROM r""")
+@query(f"""WITH c AS (SELECT list(word) AS c FROM (SELECT word FROM {_IDF} ORDER BY idf, word LIMIT 20)),
+r AS (SELECT doc_id AS id, lower(text) AS low, array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda w: NOT list_contains(c, w)), ' ') AS l FROM documents, c)
+SELECT id, sha256(CASE WHEN length(l) >= 6 THEN l ELSE low END) AS digest FROM r""")
 def stopword_trim(spark, sf_dir):
-    rows = adapters.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("label"))
-    return blocking.without_common(rows, blocking.common_words(blocking.inverse_frequencies(blocking.document_words(rows))))
+    rows = adapters.documents(spark, sf_dir).select("id", "label")
+    trimmed = blocking.without_common(rows, blocking.common_words(blocking.inverse_frequencies(blocking.document_words(rows))))
+    return trimmed.select("id", F.sha2(F.col("label").cast("binary"), 256).alias("digest"))
 
 
-_TRIGRAMS = "(SELECT DISTINCT p_name, unnest(list_transform(range(1, length(p_name) - 1), lambda i: substr(lower(p_name), CAST(i AS BIGINT), 3))) AS g FROM part WHERE length(p_name) > 2)"
-_POSITIONS = blocking.sampled_positions(families=15, hashes=6, span=64)
+_TRIGRAMS = """(SELECT id, unnest(list_distinct(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS g
+  FROM (SELECT doc_id AS id, string_split(lower(text), '') AS c FROM documents WHERE length(text) > 2))"""
+_RANKED = f"(SELECT g, n, row_number() OVER (ORDER BY n DESC, g) - 1 AS bit FROM (SELECT g, count(*) AS n FROM {_TRIGRAMS} GROUP BY g))"
+_POSITIONS = blocking.sampled_positions()
 
 
-@query(f"""WITH b AS (SELECT g, row_number() OVER (ORDER BY n DESC, g) - 1 AS bit FROM (SELECT g, count(*) AS n FROM {_TRIGRAMS} GROUP BY g) ORDER BY bit LIMIT 3200),
-s AS (SELECT p_name, list(bit) AS bits FROM {_TRIGRAMS} JOIN b USING (g) GROUP BY p_name), f(family, places) AS (VALUES {", ".join(f"({i}, {sorted(ps)})" for i, ps in enumerate(_POSITIONS))}),
-k AS (SELECT i.id, family, list_filter(places, lambda x: list_contains(bits, x)) AS key FROM s JOIN (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name) i USING (p_name), f)
-SELECT DISTINCT x.id AS src, y.id AS dst FROM k x JOIN k y ON x.family = y.family AND x.key = y.key AND x.id < y.id WHERE len(x.key) > 0""")
+@query(f"""WITH x AS MATERIALIZED {_TRIGRAMS}, b AS MATERIALIZED (SELECT g, row_number() OVER (ORDER BY n DESC, g) - 1 AS bit FROM (SELECT g, count(*) AS n FROM x GROUP BY g) ORDER BY bit LIMIT 3200),
+p(family, bit) AS (VALUES {", ".join(f"({f}, {p})" for f, ps in enumerate(_POSITIONS) for p in ps)}),
+k AS MATERIALIZED (SELECT id, family, list_sort(list(bit)) AS key FROM x JOIN b USING (g) JOIN p USING (bit) GROUP BY ALL)
+SELECT DISTINCT s.id AS src, t.id AS dst FROM k s JOIN k t ON s.family = t.family AND s.key = t.key AND s.id < t.id""")
 def lsh_candidate_pairs(spark, sf_dir):
-    rows = adapters.parts(spark, sf_dir).groupBy("label").agg(F.min("id").alias("id"))
-    sets, _ = blocking.trigram_ids(rows)
-    # names have few trigrams, so positions are sampled among the frequent ones
+    sets, _ = blocking.trigram_ids(adapters.documents(spark, sf_dir))
     return blocking.lsh_pairs(durable(sets), _POSITIONS)
 
 
-@query(f"SELECT CAST(bit AS INTEGER) AS bit, n, place FROM (SELECT row_number() OVER (ORDER BY n DESC, g) - 1 AS bit, n FROM (SELECT g, count(*) AS n FROM {_TRIGRAMS} GROUP BY g)) JOIN (SELECT bit AS b2, row_number() OVER (ORDER BY n, bit) AS place FROM (SELECT row_number() OVER (ORDER BY n DESC, g) - 1 AS bit, n FROM (SELECT g, count(*) AS n FROM {_TRIGRAMS} GROUP BY g))) ON b2 = bit WHERE place > 10 AND place <= (SELECT count(DISTINCT g) FROM {_TRIGRAMS}) - 10")
+@query(f"""WITH r AS MATERIALIZED {_RANKED}, b AS (SELECT bit, n, row_number() OVER (ORDER BY n, bit) AS place, count(*) OVER () AS last FROM r WHERE bit < 3200)
+SELECT CAST(bit AS INTEGER) AS bit, n, place FROM b WHERE place > 10 AND place <= last - 10""")
 def bit_frequency(spark, sf_dir):
-    rows = adapters.parts(spark, sf_dir).groupBy("label").agg(F.min("id").alias("id"))
-    sets, _ = blocking.trigram_ids(rows)
+    sets, _ = blocking.trigram_ids(adapters.documents(spark, sf_dir))
     return blocking.frequent_bits(sets, 10, 10)
 
 
@@ -351,11 +350,55 @@ def _digest_int(x: str, kind: str) -> str:
     return f"(CASE WHEN CAST('0x' || {tail} AS BIGINT) >= 2147483648 THEN CAST('0x' || {tail} AS BIGINT) - 4294967296 ELSE CAST('0x' || {tail} AS BIGINT) END)"
 
 
-@query(f"""SELECT label, array_to_string(list_sort(list_distinct(list_transform([0, 1, 2, 3], lambda i: ((a + b * i) % 1024 + 1024) % 1024))), ',') AS bits
-  FROM (SELECT label, {_digest_int("label", "md5")} AS a, {_digest_int("label", "sha1")} AS b FROM (SELECT DISTINCT p_name AS label FROM part))""")
+@query(f"""SELECT id, array_to_string(list_sort(list_distinct(list_transform([0, 1, 2, 3], lambda i: ((a + b * i) % 1024 + 1024) % 1024))), ',') AS bits
+  FROM (SELECT doc_id AS id, {_digest_int("text", "md5")} AS a, {_digest_int("text", "sha1")} AS b FROM documents WHERE text IS NOT NULL)""")
 def bloom_ops(spark, sf_dir):
-    rows = adapters.parts(spark, sf_dir).select("label").distinct()
-    return rows.select("label", F.array_join(F.transform(blocking.bloom_bits(F.col("label")), lambda x: x.cast("string")), ",").alias("bits"))
+    rows = adapters.documents(spark, sf_dir).where("label IS NOT NULL")
+    return rows.select("id", F.array_join(F.transform(blocking.bloom_bits(F.col("label")), lambda x: x.cast("string")), ",").alias("bits"))
+
+
+@query(f"""WITH b AS (SELECT block, count(*) AS n, count(*) * (count(*) - 1) // 2 AS pairs FROM {_BLOCKED} GROUP BY block)
+SELECT block, n, CAST(pairs AS BIGINT) AS pairs, CAST(sum(pairs) OVER (ORDER BY block) - pairs AS BIGINT) AS before FROM b""")
+def block_pair_offsets(spark, sf_dir):
+    return blocking.block_offsets(_blocked(spark, sf_dir), "block")
+
+
+@query(f"SELECT id, CAST(i AS INTEGER) AS index, CAST(i // 1000 AS INTEGER) AS part FROM (SELECT id, row_number() OVER (PARTITION BY block ORDER BY id) - 1 AS i FROM {_BLOCKED})")
+def block_row_index(spark, sf_dir):
+    return blocking.block_index(_blocked(spark, sf_dir).select("id", "block"), "block").select("id", F.col("index").cast("int").alias("index"), "part")
+
+
+@query(f"SELECT s.id AS src, t.id AS dst FROM {PART_SQL} s JOIN {PART_SQL} t ON s.label = t.label WHERE s.data_source = '1' AND t.data_source = '2'")
+def linked_sides(spark, sf_dir):
+    rows = adapters.parts(spark, sf_dir)
+    return links.side_by_side(rows.where("data_source = '1'"), rows.where("data_source = '2'"), "label")
+
+
+@query(f"SELECT s.id AS src, t.id AS dst FROM {GEO_SQL} s JOIN {GEO_SQL} t ON s.id < t.id WHERE s.sources_int & t.sources_int = 0")
+def disjoint_place_pairs(spark, sf_dir):
+    """Every two places of different sources: the square of a small table, as the operator has it."""
+    return links.disjoint_pairs(adapters.places(spark, sf_dir), 5)
+
+
+@query(f"SELECT min(p) OVER (PARTITION BY label, artist) AS cc_id, src, dst FROM (SELECT id AS p, * FROM {PART_SQL}) v JOIN (SELECT src, dst FROM {PART_EDGES_SQL} UNION SELECT dst, src FROM {PART_EDGES_SQL}) e ON e.src = v.id")
+def component_edges(spark, sf_dir):
+    edges = adapters.part_edges(spark, sf_dir)
+    return links.component_edges(edges, with_components(adapters.parts(spark, sf_dir).select("id"), edges))
+
+
+@query(f"""WITH v AS (SELECT id, data_source, min(id) OVER (PARTITION BY label, artist) AS cc_id FROM {PART_SQL}), n AS (SELECT cc_id, count(DISTINCT data_source) AS n, bool_or(data_source = '1') AS has FROM v GROUP BY cc_id)
+SELECT id, cc_id FROM v WHERE cc_id IN (SELECT cc_id FROM n WHERE has) OR cc_id IN (SELECT cc_id FROM n WHERE n.n >= 3 ORDER BY cc_id LIMIT 20)""")
+def sampled_components(spark, sf_dir):
+    """All components with rows of source 1, and the first 20 of three sources or more: a sample by the operator's definition."""
+    rows = with_components(adapters.parts(spark, sf_dir).select("id", "data_source"), adapters.part_edges(spark, sf_dir))
+    return corruption.components_with_source(rows, "1", 20).select("id", "cc_id")
+
+
+@query(f"SELECT v.cc_id, v.id, e.dst FROM (SELECT id, min(id) OVER (PARTITION BY label, artist) AS cc_id FROM {PART_SQL}) v LEFT JOIN {PART_EDGES_SQL} e ON e.src = v.id")
+def component_fan_out(spark, sf_dir):
+    edges = adapters.part_edges(spark, sf_dir)
+    rows = with_components(adapters.parts(spark, sf_dir).select("id"), edges)
+    return graphs.fan_out(rows, rows.select("cc_id"), edges)
 
 
 # --- links and groups
@@ -566,6 +609,15 @@ def hungarian_assign(spark, sf_dir):
     return merging.assign_pairs(found.select(left.alias("src"), right.alias("dst"), sim.alias("sim")))
 
 
+@query()
+def hungarian_unmatched(spark, sf_dir):
+    """The assignment of hungarian_assign, and the rows that it leaves out as pairs of themselves."""
+    rows = adapters.parts(spark, sf_dir).select("id", "length", "data_source", F.concat(text.music_block_key("label"), F.col("artist")).alias("block"))
+    found = blocking.cross_pairs(rows.where("data_source = '1'"), rows.where("data_source = '2'"), "block")
+    sim = F.round(1 / (1 + F.abs(S("length") - T("length"))), 6)
+    return merging.assign_pairs(found.select("src", "dst", sim.alias("sim")), unmatched=True)
+
+
 @query()
 def maximal_cliques(spark, sf_dir):
     return _flat(merging.maximal_cliques(adapters.places(spark, sf_dir), adapters.place_edges(spark, sf_dir).join(adapters.places(spark, sf_dir).select(F.col("id").alias("dst")), "dst")))
@@ -574,6 +626,10 @@ def maximal_cliques(spark, sf_dir):
 # --- workflows
 
 
+_ATA = sql.simple("artist || ' - ' || label || ' - ' || album")
+_ATA_SIM = f"round({sql.dot('s.g', 't.g')} / sqrt(({sql.dot('s.g', 's.g')} * {sql.dot('t.g', 't.g')})::DOUBLE), 6)"
+
+
 def _music_config(**more) -> workflows.Config:
     return workflows.Config(**({"domain": "music", "block_length": 40, "incremental": False, "edge_least": 0.6} | more))
 
@@ -589,6 +645,16 @@ def default_preprocessing(spark, sf_dir):
     return rows.select("id", "cc_id", "hash_cc")
 
 
+@query(f"""WITH v AS (SELECT *, min(id) OVER (PARTITION BY label, artist) AS cc FROM {PART_SQL}), e AS (SELECT s.id AS src, t.id AS dst, {_ATA_SIM} AS agg_sim FROM (SELECT *, {sql.grams(_ATA)} AS g FROM v) s JOIN (SELECT *, {sql.grams(_ATA)} AS g FROM v) t ON s.cc = t.cc AND s.id < t.id),
+b AS (SELECT src AS id, dst AS n, agg_sim FROM e UNION ALL SELECT dst, src, agg_sim FROM e),
+x AS (SELECT b.id, v.cc, v.data_source, avg(agg_sim) AS m FROM b JOIN v ON v.id = b.id JOIN v n ON n.id = b.n GROUP BY ALL HAVING bool_or(v.data_source = n.data_source)),
+l AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY cc, data_source ORDER BY m DESC, id) AS p FROM x) WHERE p > 1)
+SELECT src, dst, round(agg_sim, 6) AS agg_sim FROM e WHERE src NOT IN (SELECT id FROM l) AND dst NOT IN (SELECT id FROM l)""")
+def closed_links(spark, sf_dir):
+    out = workflows.close_links(adapters.parts(spark, sf_dir), adapters.part_edges(spark, sf_dir), _music_config())
+    return out.select("src", "dst", F.round("agg_sim", 6).alias("agg_sim"))
+
+
 @query()
 def incremental_initial(spark, sf_dir):
     return _flat(workflows.initial(_named_parts(spark, sf_dir), _music_config())).select("id", "clustered", "sources_int")

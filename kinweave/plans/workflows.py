@@ -60,10 +60,9 @@ def preprocess(vertices: DataFrame, edges: DataFrame, config: Config) -> tuple[D
 
 
 def block_edges(vertices: DataFrame, config: Config) -> DataFrame:
-    """src, dst of all rows of a block that come from different sources."""
-    rows = vertices.select("id", "sources_int", config.key().alias("block"))
-    find = blocking.split_pairs if config.blocking == "block_split" else blocking.pairs
-    return find(rows, "block", blocking.disjoint()).select("src", "dst")
+    """src, dst of all rows of a block that come from different sources, by the strategy of the configuration."""
+    rows = blocking.blocked(vertices, config.blocking, config.key()).select("id", "sources_int", "block")
+    return blocking.pairs(rows, "block", blocking.disjoint()).select("src", "dst")
 
 
 def initial(vertices: DataFrame, config: Config) -> DataFrame:
@@ -92,7 +91,14 @@ def merge(clusters: DataFrame, config: Config) -> DataFrame:
             clusters = clusters.withColumn(c, F.lit(0 if kind == "int" else None).cast(kind))
     if config.domain == "geo" and "types_int" not in clusters.columns:
         clusters = clusters.withColumn("types_int", types.mask(F.col("types")))
-    return merging.merge_clusters(clusters, config.domain, config.merge_least, config.most, config.block_length, config.reference_compat)
+    return merging.merge_clusters(clusters, config.domain, config.merge_least, config.most, config.block_length, config.reference_compat, strategy=config.blocking)
+
+
+def close_links(vertices: DataFrame, edges: DataFrame, config: Config) -> DataFrame:
+    """src, dst, agg_sim: the links that all rows of a component would have with each other, scored, without the weaker rows of a source."""
+    rows = durable(with_components(vertices, edges))
+    inside = links.with_similarity(blocking.all_edges(rows, "cc_id"), rows, config.domain, config.metric, None)
+    return links.filter_clustering(durable(inside).select("src", "dst", "agg_sim"), vertices, config.reference_compat)
 
 
 def add_rows(clusters: DataFrame, new: DataFrame, config: Config) -> DataFrame:
@@ -110,8 +116,7 @@ def add_source(clusters: DataFrame, new: DataFrame, config: Config, bit: int) ->
     names = list(dict.fromkeys(["id", "clustered", "data_sources", "sources_int", *merging.ATTRIBUTES[config.domain], *(["ata"] if config.domain != "geo" else [])]))
     rows = durable(clusters.select(*names).unionByName(new.select(*names)).withColumn("block", config.key()))
     old, fresh = rows.where(F.col("sources_int") != bit), rows.where(F.col("sources_int") == bit)
-    ends = lambda df, x: df.select("block", F.struct(*names).alias(x))
-    found = ends(old.where(F.col("sources_int").bitwiseAND(bit) == 0), "s").join(ends(fresh, "t"), "block")
+    found = blocking.cross_pairs(old.where(F.col("sources_int").bitwiseAND(bit) == 0), fresh, "block")
     sim = similarity.addition_sim(config.domain, lambda c: F.col(f"s.{c}"), lambda c: F.col(f"t.{c}"), config.metric)
     scored = durable(found.select(F.col("s.id").alias("src"), F.col("t.id").alias("dst"), sim.alias("sim")).where(F.col("sim") >= config.merge_least))
     chosen = durable(links.max_both(scored) if config.match == "max_both" else merging.assign_pairs(scored))
@@ -134,12 +139,17 @@ def add_main_sources(rows: DataFrame, config: Config) -> DataFrame:
     return add_single_source(sides[0], sides[1], config, dict(config.sources)[second])
 
 
-#: Which function a step runs.
-STEPS = {"initial": initial, "vertex_addition": add_rows, "source_addition": add_source, "single_source": add_single_source}
+#: Which function a step of a strategy runs: several sources, one source of places, the two large ones of places.
+STEPS = {
+    "multi": {"initial": initial, "vertex_addition": add_rows, "source_addition": add_source},
+    "single": {"source_addition": add_single_source},
+    "big": {"initial": add_main_sources},
+}
 
 
-def run_step(step: str, config: Config, *args) -> DataFrame:
-    """A step by its name; cluster addition has no defined result."""
-    if step not in STEPS:
-        raise ValueError(f"no step {step}")
-    return STEPS[step](*args[:-1], config, args[-1]) if step in ("source_addition", "single_source") else STEPS[step](*args, config)
+def run_step(step: str, config: Config, *args, strategy: str = "multi") -> DataFrame:
+    """A step of a strategy by their names; what has no defined result (cluster addition, other strategies) raises."""
+    if strategy not in STEPS or step not in STEPS[strategy]:
+        raise ValueError(f"no step {step!r} of a strategy {strategy!r}")
+    run = STEPS[strategy][step]
+    return run(*args[:-1], config, args[-1]) if step == "source_addition" else run(*args, config)

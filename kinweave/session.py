@@ -116,6 +116,24 @@ class Tables:
         self.paths = [p for p in self.paths if p not in paths]
 
 
+class Appended:
+    """One table that rounds add rows to, in place of a union that grows by a branch a round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.some = spark, scratch(spark), False
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write these rows down, add them to the table and give them back."""
+        df = durable(df)
+        df.write.mode("append").parquet(self.path)
+        self.some = True
+        return df
+
+    def all(self, schema) -> DataFrame:
+        """All rows that were added."""
+        return self.spark.read.schema(schema).parquet(self.path) if self.some else self.spark.createDataFrame([], schema)
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
     """fn over rows as dictionaries, in Arrow batches; gives tuples of the schema's columns."""
     ship(df.sparkSession)

@@ -109,13 +109,40 @@ def read_properties(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id BIGINT, key STRING, value STRING, kind STRING").option("sep", ";").csv(path)
 
 
-def with_properties(vertices: DataFrame, properties: DataFrame) -> DataFrame:
-    """Vertices with label, lat, lon, types from EAV rows; those without a label go."""
-    first = lambda k, kind="string": F.min(F.when(F.col("key") == k, F.col("value").try_cast(kind))).alias(k)
-    wide = properties.groupBy("id").agg(first("label"), first("lat", "double"), first("lon", "double"), F.array_sort(F.collect_set(F.when(F.col("key") == "type", F.col("value")))).alias("types"))
+def with_properties(vertices: DataFrame, properties: DataFrame, order: str | None = None) -> DataFrame:
+    """Vertices with label, lat, lon, types from EAV rows; those without a label go.
+
+    Of several values the smallest counts, or with `order`, a column of the rows, the first: there a vertex takes nothing
+    from rows behind the one that completes its first pair of lat and lon.
+    """
+    kinds = {"label": "string", "lat": "double", "lon": "double"}
+    value = lambda k: F.when(F.col("key") == k, F.col("value").try_cast(kinds[k]))
+    types_ = F.array_sort(F.collect_set(F.when(F.col("key") == "type", F.col("value")))).alias("types")
+    if order is None:
+        wide = properties.groupBy("id").agg(*(F.min(value(k)).alias(k) for k in kinds), types_)
+    else:
+        first = lambda k: F.min(F.when(value(k).isNotNull(), F.col(order)))
+        ends = properties.groupBy("id").agg(first("lat").alias("_a"), first("lon").alias("_b"))
+        ends = ends.select("id", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest("_a", "_b")).alias("_end"))
+        some = properties.join(ends, "id").where(F.col("_end").isNull() | (F.col(order) <= F.col("_end")))
+        wide = some.groupBy("id").agg(*(F.min(F.when(value(k).isNotNull(), F.struct(F.col(order), value(k).alias("v"))))["v"].alias(k) for k in kinds), types_)
     return vertices.join(wide, "id").where("label IS NOT NULL")
 
 
+def local_rows(df: DataFrame, most: int = 100_000) -> list:
+    """The rows on the driver; raises if they are more than `most`."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write them to a table")
+    return rows
+
+
+def fan_out(vertices: DataFrame, components: DataFrame, edges: DataFrame) -> DataFrame:
+    """cc_id, id, dst of every listed component (cc_id): its vertices (id, cc_id), none as null, and their links, none as null."""
+    inside = vertices.select("id", "cc_id").join(components.select("cc_id").distinct(), "cc_id", "right")
+    return inside.join(edges.select(F.col("src").alias("id"), "dst"), "id", "left").select("cc_id", "id", "dst")
+
+
 def read_pairs(spark: SparkSession, path: str, sep: str = ";", a: str = "src", b: str = "dst") -> DataFrame:
     """Two columns of ids: links, or vertices and their components."""
     return spark.read.schema(f"{a} BIGINT, {b} BIGINT").option("sep", sep).csv(path)
