@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 GEO_SOURCES = {"http://data.nytimes.com/": 1, "http://dbpedia.org/": 2, "http://linkedgeodata.org/": 4, "http://rdf.freebase.com/": 8, "http://sws.geonames.org/": 16}
 MUSIC_SOURCES = {"1": 1, "2": 2, "3": 4, "4": 8, "5": 16}
 NC_SOURCES = {f"geco{i + 1}": 1 << i for i in range(10)}
+#: Whose coordinates go first.
+PLACE_ORDER = ("http://sws.geonames.org/", "http://dbpedia.org/")
 
 
 def dictionary(names) -> dict[str, int]:

@@ -217,3 +217,9 @@ def output_suffix(threshold: float) -> int:
 def job_name(domain: str, strategy: str, *parts: object) -> str:
     """Domain, strategy in short, and further parts, joined by dashes."""
     return "-".join(map(str, (domain, SHORT_NAMES.get(strategy, strategy), *parts)))
+
+
+def described(*columns: str) -> Column:
+    """A row as one line: name=value pairs, without what is missing."""
+    parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns]
+    return F.concat_ws(", ", *parts)

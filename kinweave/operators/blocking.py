@@ -133,6 +133,13 @@ def document_words(df: DataFrame, label: str = "label") -> DataFrame:
     return df.select("id", F.explode(words).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
 
 
+def term_counts(df: DataFrame, label: str = "label") -> DataFrame:
+    """id, word, n: how often each word of document_words() occurs in a row."""
+    words = F.filter(F.split(F.lower(F.col(label)), r"\s+"), lambda w: w.rlike("^[a-z]+$"))
+    rows = df.select("id", F.explode(words).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
+    return rows.groupBy("id", "word").agg(F.count("*").alias("n"))
+
+
 def inverse_frequencies(words: DataFrame) -> DataFrame:
     """word, df, idf: logarithm of the sum of all frequencies divided (in integers) by the word's."""
     counts = words.groupBy("word").agg(F.count("*").alias("df"))

@@ -18,6 +18,11 @@ def with_ends(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return both.select(*edges.columns, "s", "t")
 
 
+def with_value(edges: DataFrame, vertices: DataFrame, end: str, column: str, name: str) -> DataFrame:
+    """Edges with a column of the vertex at one end (src or dst), under a name; edges without that vertex go."""
+    return edges.join(vertices.select(F.col("id").alias(end), F.col(column).alias(name)), end).select(*edges.columns, name)
+
+
 def between_sources(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Distinct edges whose ends come from different sources."""
     narrow = vertices.select("id", "data_source")

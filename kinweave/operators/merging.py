@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits, geo, scalar, similarity, text
-from ..functions.representative_order import PLACE_ORDER
+from ..functions.bits import PLACE_ORDER
 from ..session import Appended, durable, map_rows
 from . import blocking, links
 from .components import stars, with_components

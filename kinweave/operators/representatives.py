@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..functions.representative_order import PLACE_ORDER
+from ..functions.bits import PLACE_ORDER
 
 
 

@@ -357,6 +357,18 @@ def bloom_ops(spark, sf_dir):
     return rows.select("id", F.array_join(F.transform(blocking.bloom_bits(F.col("label")), lambda x: x.cast("string")), ",").alias("bits"))
 
 
+def _bloom_sql(x: str) -> str:
+    return f"list_transform([0, 1, 2, 3], lambda i: (({_digest_int(x, 'md5')} + {_digest_int(x, 'sha1')} * i) % 1024 + 1024) % 1024)"
+
+
+@query(f"SELECT doc_id AS id, list_has_all(list_concat({_bloom_sql('lang')}, {_bloom_sql('source')}), {_bloom_sql('lang')}) AS own, list_has_all({_bloom_sql('source')}, {_bloom_sql('lang')}) AS other FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def bloom_membership(spark, sf_dir):
+    """Whether a filter of a row's language and source holds its language, and whether one of its source alone does."""
+    rows = adapters.documents(spark, sf_dir).where("language IS NOT NULL AND data_source IS NOT NULL")
+    one, two = blocking.bloom_bits(F.col("language")), blocking.bloom_bits(F.col("data_source"))
+    return rows.select("id", blocking.may_hold(blocking.bloom_union(one, two), F.col("language")).alias("own"), blocking.may_hold(two, F.col("language")).alias("other"))
+
+
 @query(f"""WITH b AS (SELECT block, count(*) AS n, count(*) * (count(*) - 1) // 2 AS pairs FROM {_BLOCKED} GROUP BY block)
 SELECT block, n, CAST(pairs AS BIGINT) AS pairs, CAST(sum(pairs) OVER (ORDER BY block) - pairs AS BIGINT) AS before FROM b""")
 def block_pair_offsets(spark, sf_dir):
@@ -723,6 +735,51 @@ def unmatched_rows(spark, sf_dir):
     return filters.without(adapters.parts(spark, sf_dir).select("id"), adapters.part_edges(spark, sf_dir).select(F.col("src").alias("id")), "id")
 
 
+@query(f"SELECT id, unnest(types) AS type FROM {GEO_SQL}")
+def type_rows(spark, sf_dir):
+    return filters.id_types(adapters.places(spark, sf_dir))
+
+
+@query(f"""WITH e AS {_PART_SIM}, b AS (SELECT src AS id, dst AS n, agg_sim FROM e UNION ALL SELECT dst, src, agg_sim FROM e),
+m AS (SELECT id, round(avg(agg_sim), 6) AS m FROM b GROUP BY id), l AS (SELECT b.id, min(m.m) AS nm FROM b JOIN m ON m.id = b.n GROUP BY b.id)
+SELECT p.id, {sql.md5_little("label")} AS old_hash_cc FROM {PART_SQL} p JOIN m ON m.id = p.id JOIN l ON l.id = p.id WHERE m.m < 0.4 AND l.nm >= m.m""")
+def split_off_rows(spark, sf_dir):
+    """Rows that left their group for being unlike it, with the group's hash; they are not active in it."""
+    rows = adapters.parts(spark, sf_dir).select("id", text.md5_little("label").alias("hash_cc"))
+    found = groups.sim_sort(rows, _part_links(spark, sf_dir), 0.4)
+    return filters.split_off(found).select("id", "old_hash_cc")
+
+
+@query(f"SELECT id, label FROM {PART_SQL} WHERE id IN (SELECT s_suppkey FROM supplier)")
+def listed_rows(spark, sf_dir):
+    ids = adapters.places(spark, sf_dir).select("id")
+    return corruption.sub_graph(adapters.parts(spark, sf_dir), ids).select("id", "label")
+
+
+@query(f"WITH v AS (SELECT id, min(id) OVER (PARTITION BY label, artist) AS cc_id FROM {PART_SQL}) SELECT id, cc_id FROM v WHERE cc_id IN (SELECT DISTINCT cc_id FROM v ORDER BY cc_id LIMIT 20)")
+def first_components(spark, sf_dir):
+    """The first 20 components: a sample by the operator's definition."""
+    rows = with_components(adapters.parts(spark, sf_dir).select("id"), adapters.part_edges(spark, sf_dir))
+    return corruption.sample_components(rows, 20).select("id", "cc_id")
+
+
+@query(f"SELECT doc_id AS id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) WHERE regexp_full_match(word, '[a-z]+') AND word NOT IN ({', '.join(repr(w) for w in blocking.STOP_WORDS)}) GROUP BY ALL")
+def term_counts(spark, sf_dir):
+    return blocking.term_counts(adapters.documents(spark, sf_dir))
+
+
+@query(f"SELECT e.src, e.dst, s.label AS src_label, t.album AS dst_album FROM {PART_EDGES_SQL} e {_by_source('e')}")
+def attached_values(spark, sf_dir):
+    rows = adapters.parts(spark, sf_dir)
+    return links.with_value(links.with_value(adapters.part_edges(spark, sf_dir), rows, "src", "label", "src_label"), rows, "dst", "album", "dst_album")
+
+
+@query(f"SELECT id, 'id=' || id || ', label=' || label || ', lat=' || lat AS line FROM (SELECT id, label, CAST(round(lat, 2) AS DECIMAL(9,2)) AS lat FROM {GEO_SQL})")
+def described_places(spark, sf_dir):
+    rows = adapters.places(spark, sf_dir).withColumn("lat", F.round("lat", 2).cast("decimal(9,2)"))
+    return rows.select("id", text.described("id", "label", "lat").alias("line"))
+
+
 # --- damage, quality, counts
 
 

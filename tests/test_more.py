@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinweave import programs
 from kinweave.operators import blocking, corruption, evaluation, filters, links
 from kinweave.plans import workflows
-from kinweave.sources import graphs
+from kinweave.sources import endpoints, graphs
 
 
 def test_report(spark):
@@ -179,3 +179,58 @@ def test_closed_links(spark, rows):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
     # of 3 and 4, which share a source, the weaker loses its links
     assert rows(workflows.close_links(v, e, workflows.Config()), "src", "dst") == [(1, 2), (1, 4), (2, 4)]
+
+
+def test_answers_of_services(spark, rows):
+    label, lat, kind = "http://www.w3.org/2000/01/rdf-schema#label", "http://www.w3.org/2003/01/geo/wgs84_pos#lat", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    df = spark.createDataFrame([(1, "http://x/a"), (2, "http://x/b"), (3, "http://x/a")], "id long, uri string")
+    asked = df.select("id", endpoints.sparql_query(F.col("uri")).alias("request"))
+    with pytest.raises(Exception, match="no address"):
+        df.select(endpoints.sparql_query(F.lit("http://x/> ?p ?o } #"))).collect()
+    body = json.dumps({"results": {"bindings": [{"p": {"type": "uri", "value": label}, "o": {"type": "literal", "value": "A"}}, {"p": {"value": "other"}, "o": {"value": "B"}}]}})
+
+    def ask(query):
+        return body if "<http://x/a>" in query else None
+
+    got = endpoints.answers(asked, ask, parallel=2)
+    assert rows(endpoints.from_sparql(got)) == [(1, "label", "A"), (3, "label", "A")]
+    assert rows(endpoints.log_entries(asked, got), "id", "error") == [(2, "no answer")]
+    assert endpoints.log_entries(asked, got).schema.names == endpoints.LOG.names
+    triples = f'<http://x/a> <{label}> "Say \\"A\\""@en .\n<http://x/a> <{kind}> <http://t/City> .\nnonsense'
+    assert rows(endpoints.from_triples(spark.createDataFrame([(1, triples)], "id long, answer string"))) == [(1, "label", 'Say "A"'), (1, "type", "http://t/City")]
+    topics = json.dumps({"property": {lat: {"values": [{"value": "1.5"}, {"value": "2"}]}, "x": {"values": [{"value": "y"}]}}})
+    assert rows(endpoints.from_topics(spark.createDataFrame([(1, topics), (2, "no json")], "id long, answer string"))) == [(1, "lat", "1.5"), (1, "lat", "2")]
+    xml = spark.createDataFrame([(1, "<g><fcl>P</fcl><fcode>PPL</fcode></g>"), (2, "<g><fcl>P</fcl></g>")], "id long, x string")
+    assert rows(xml.select("id", endpoints.feature_code(F.col("x")).alias("c"))) == [(1, "P.PPL"), (2, None)]
+
+
+def test_tables_of_properties(spark, rows):
+    p = spark.createDataFrame([(1, "label", "A"), (1, "lat", "1"), (2, "label", "B")], "id long, key string, value string")
+    changed = endpoints.upserted(p, spark.createDataFrame([(1, "lat", "2"), (3, "label", "C")], p.schema))
+    assert rows(changed) == [(1, "label", "A"), (1, "lat", "2"), (2, "label", "B"), (3, "label", "C")]
+    assert rows(endpoints.deleted(p, spark.createDataFrame([(1, "lat")], "id long, key string"))) == [(1, "label", "A"), (2, "label", "B")]
+    assert rows(endpoints.deleted(p, spark.createDataFrame([(1,)], "id long"))) == [(2, "label", "B")]
+    assert rows(endpoints.ids_without(spark.range(1, 4), p, "lat")) == [(2,), (3,)]
+    assert rows(endpoints.component_ids(spark.createDataFrame([(1, 7), (2, 7), (3, None)], "id long, cc_id long"))) == [(7,)]
+
+
+def test_databases(spark, rows):
+    """Derby, which comes with Spark, in memory."""
+    url = "jdbc:derby:memory:kinweave;create=true"
+    p = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "id long, v string")
+    endpoints.write_jdbc(p, url, "props", mode="overwrite")
+    endpoints.write_jdbc(spark.createDataFrame([(99, "z")], p.schema), url, "props")
+    got = graphs.read_jdbc(spark, url, 'SELECT * FROM props')
+    assert len(rows(got)) == 21
+    split = graphs.read_jdbc(spark, url, 'SELECT "id", "v" FROM props', key='"id"', bounds=(0, 100), parts=3)
+    assert split.rdd.getNumPartitions() == 3 and rows(split) == rows(got)
+
+
+def test_values_and_lines(spark, rows):
+    from kinweave.functions import text
+
+    v = spark.createDataFrame([(1, "a"), (2, None)], "id long, label string")
+    e = spark.createDataFrame([(1, 2), (2, 9)], "src long, dst long")
+    assert rows(links.with_value(e, v, "src", "label", "l")) == [(1, 2, "a"), (2, 9, None)]
+    assert rows(v.select(text.described("id", "label").alias("x"))) == [("id=1, label=a",), ("id=2",)]
+    assert rows(blocking.term_counts(spark.createDataFrame([(1, "Cat the cat x1")], "id long, label string"))) == [(1, "cat", 2)]
