@@ -129,11 +129,14 @@ class Forest:
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 stack.append((np.repeat(who, n), self.child[at]))
 
-    def labels(self, radius: int) -> np.ndarray:
-        """For each node the smallest node of its component in its shard."""
+    def labels(self, radius: int, accept=None) -> np.ndarray:
+        """For each node the smallest node of its component in its shard; `accept` may leave out pairs."""
         label = np.arange(len(self.fp))
-        for lo in range(0, len(self.fp), 65_536):
-            for a, b in self.search(np.arange(lo, min(lo + 65_536, len(self.fp))), radius):
+        for lo in range(0, len(self.fp), 16_384):
+            for a, b in self.search(np.arange(lo, min(lo + 16_384, len(self.fp))), radius):
+                if accept is not None:
+                    real = accept(a, b)
+                    a, b = a[real], b[real]
                 while True:
                     la, lb = label[a], label[b]
                     low, high = np.minimum(la, lb), np.maximum(la, lb)

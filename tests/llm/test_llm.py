@@ -765,11 +765,12 @@ def jaccard_components(texts, words=5, least=0.8):
     return label
 
 
-@pytest.mark.parametrize("limit", [1024, 3])
-def test_near_copies_by_jaccard(spark, limit):
+@pytest.mark.parametrize(("limit", "part"), [(1024, 1024), (3, 1024), (1024, 2)])
+def test_near_copies_by_jaccard(spark, limit, part, monkeypatch):
     """Copies at similarities about 0.8, with a hot passage in many texts, against brute force; SimHash radius 4 misses most."""
     from kinweave.llm import near_copies
 
+    monkeypatch.setattr(near_copies, "PART_TEXTS", part)
     rng = random.Random(11)
     word = lambda: rng.choice("abcdefgh") + str(rng.randrange(400))
     hot, texts = " ".join(word() for _ in range(30)), []
@@ -792,6 +793,32 @@ def test_near_copies_by_jaccard(spark, limit):
     assert near_copies.keep_one(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("limit", "part"), [(1024, 1024), (20, 15)])
+def test_one_large_family(spark, limit, part, monkeypatch):
+    """120 variants of one text, of which some are alike only through others and some not at all; cut into parts or whole."""
+    from kinweave.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "PART_TEXTS", part)
+    rng = random.Random(15)
+    base, texts = [f"w{rng.randrange(300)}" for _ in range(100)], []
+    for _ in range(120):
+        copy = list(base)
+        for i in rng.sample(range(100), rng.choice((0, 1, 2, 3, 6, 9))):
+            copy[i] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(copy))
+    want = jaccard_components(texts)
+    assert 10 < len(set(want)) < 110
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(df, limit=limit).collect()) == sorted(set(want))
+    sets = [near_copies.distinct_hashes(t.encode(), 5) for t in texts]
+    u, v = near_copies.forest(np.arange(len(sets)), sets, 80)
+    label = list(range(len(sets)))
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    assert label == want and len(u) == len(sets) - len(set(want))
+
+
 def test_one_row_of_each_group_of_copies(spark):
     """Repeated and null doc_ids: exactly one row of each group stays, whatever its id, and none of another group goes."""
     from kinweave.llm import near_copies
