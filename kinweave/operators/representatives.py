@@ -9,7 +9,6 @@ from ..functions import geo, text
 from ..functions.bits import PLACE_ORDER
 
 
-
 def majority(df: DataFrame, key: str, value: Column, out: str) -> DataFrame:
     """key, out: the most frequent value of a key; ties go to the longer, then the smaller string."""
     counts = df.select(key, value.alias("v")).where("v IS NOT NULL").groupBy(key, "v").agg(F.count("*").alias("n"))

@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against plain implementations on random small graphs, and their queries on small tables."""
 
+import hashlib
 import itertools
 import random
 
@@ -241,3 +242,88 @@ def test_words_and_hashing_in_workflows(spark):
         workflows.block_edges(df, workflows.Config(blocking="other"))
     with pytest.raises(ValueError, match="no step"):
         workflows.run_step("cluster_addition", workflows.Config(), df)
+
+
+def plain_components(nodes, links_):
+    label = {n: n for n in nodes}
+    for a, b in links_:
+        low, high = sorted((label[a], label[b]))
+        label = {n: low if x == high else x for n, x in label.items()}
+    return label
+
+
+def plain_links(rows, edges):
+    """Links between sources of a similarity over 0.6, best first, without two rows of a source in a group."""
+    by = {r["id"]: r for r in rows}
+    scored = [(a, b, scalar.string_sim(by[a]["ata"], by[b]["ata"])) for a, b in edges if by[a]["sources_int"] != by[b]["sources_int"]]
+    return plain_filter([e for e in scored if e[2] > 0.6], {r["id"]: r["sources_int"] for r in rows})
+
+
+@pytest.mark.parametrize("name", ["incremental_initial", "incremental_vertex"])
+def test_initial_clustering_queries(spark, tiny, name):
+    """Whole queries: all pairs of a block, scored, filtered, their components as clusters."""
+    from kinweave.functions import text
+
+    rows = [r.asDict() for r in registry._named_parts(spark, tiny).withColumn("block", text.block_key("music", 40)).collect()]
+    edges = [(r["id"], s["id"]) for r, s in itertools.combinations(sorted(rows, key=lambda r: r["id"]), 2) if r["block"] == s["block"]]
+    label = plain_components([r["id"] for r in rows], plain_links(rows, edges))
+    want = {}
+    for r in rows:
+        want.setdefault(label[r["id"]], []).append(r)
+    want = sorted((cc, ",".join(str(r["id"]) for r in sorted(some, key=lambda r: r["id"])), sum(r["sources_int"] for r in some)) for cc, some in want.items())
+    assert sorted((r["id"], r["clustered"], r["sources_int"]) for r in registry.QUERIES[name](spark, tiny).collect()) == want
+
+
+def test_preprocessing_query(spark, tiny):
+    from kinweave.sources import adapters
+
+    rows = [r.asDict() for r in registry._named_parts(spark, tiny).collect()]
+    edges = [(r["src"], r["dst"]) for r in adapters.part_edges(spark, tiny).collect()]
+    label = plain_components([r["id"] for r in rows], plain_links(rows, edges))
+    digest = lambda x: int.from_bytes(hashlib.md5(str(x).encode()).digest()[:8], "little", signed=True)
+    got = registry.QUERIES["default_preprocessing"](spark, tiny).collect()
+    assert sorted((r["id"], r["cc_id"], r["hash_cc"]) for r in got) == sorted((i, cc, digest(cc)) for i, cc in label.items())
+
+
+def test_merge_init_query(spark, tiny):
+    """Rows that left the same group, alike by two of label, place and type, come together under the smallest id."""
+    from kinweave.sources import adapters
+
+    alike = [{"ArchitecturalStructure", "School"}, {"Mountain", "Island"}, {"Country", "Settlement"}, {"Settlement", "AdministrativeRegion"}, {"AdministrativeRegion", "Country"}]
+    rows = [r.asDict() for r in adapters.places(spark, tiny).collect()]
+    found = []
+    for r, s in itertools.combinations(sorted((r for r in rows if r["id"] % 2 == 0), key=lambda r: r["id"]), 2):
+        if r["nation"] != s["nation"]:
+            continue
+        kinds = {r["types"][0], s["types"][0]}
+        kind = None if "no_type" in kinds else float(len(kinds) == 1 or kinds in alike)
+        name, place = scalar.string_sim(r["label"], s["label"]), scalar.place_sim(r, s)
+        there = [x for x in (name, place, kind) if x is not None]
+        mean = 0.0 if name is not None and name < 0.5 else round(sum(there) / len(there), 10)
+        fine = lambda x: x is None or x > 0.7
+        if mean > 0.5 and len(there) >= 2 or name is not None and name > 0.8 and fine(place) and fine(kind):
+            found.append((r["id"], s["id"]))
+    want = plain_components([r["id"] for r in rows], found)
+    got = registry.QUERIES["merge_init"](spark, tiny).collect()
+    assert sorted((r["id"], r["hash_cc"]) for r in got) == sorted(want.items())
+
+
+def test_main_sources_query(spark, tiny):
+    """Every cluster of two is a pair of a block that may be linked, and no one-to-one choice of such pairs is better in total."""
+    from kinweave.functions import text
+    from kinweave.sources import adapters
+
+    rows = [r.asDict() for r in adapters.places(spark, tiny).withColumn("block", text.block_key("geo", 16)).collect()]
+    sides = [[r for r in rows if r["data_source"] == s] for s in ("http://sws.geonames.org/", "http://dbpedia.org/")]
+    pairs = {}
+    for r, s in itertools.product(*sides):
+        name, place = scalar.geo_string_sim(r["label"], s["label"]), scalar.place_sim(r, s)
+        sim = name if place is None or name is None else round((place + name) / 2, 10)
+        if r["block"] == s["block"] and sim is not None and sim >= 0.7:
+            pairs[r["id"], s["id"]] = sim
+    got = registry.QUERIES["main_source_places"](spark, tiny).collect()
+    members = [tuple(map(int, r["clustered"].split(","))) for r in got]
+    assert sorted(x for m in members for x in m) == sorted(r["id"] for side in sides for r in side)
+    linked = [pairs.get(m, pairs.get(m[::-1])) for m in members if len(m) == 2]
+    assert all(x is not None for x in linked) and all(len(m) < 3 for m in members)
+    assert abs(sum(linked) - plain_assignment([(a, b, s) for (a, b), s in pairs.items()])) < 1e-9
