@@ -37,6 +37,8 @@ from .common import arrow_rows, as_bytes
 
 SAMPLE_ROWS, SAMPLE_BYTES = 64, 16_000
 BLOCK = 1024
+#: Buckets of a language's rows, of which each gives its first rows to the choice.
+BUCKETS = 64
 UND = "und"
 #: Classes of bytes: padding changes nothing, an unknown byte ends a phrase.
 PAD, UNKNOWN, SEPARATOR = 0, 1, 2
@@ -198,7 +200,10 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     labelled = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
     by = Window.partitionBy("l").orderBy("h")
     # rows that repeat key and text are one; of each task's rest only `rows` rows a language are sorted
-    chosen = labelled.select("l", "h").distinct().withColumn("n", F.row_number().over(by)).where(F.col("n") <= rows).select("l", "h")
+    # and then of each bucket, so that one task sees as many for a language as there are buckets, however many tasks there were
+    bucket = Window.partitionBy("l", F.pmod(F.xxhash64("h"), F.lit(BUCKETS))).orderBy("h")
+    few = labelled.select("l", "h").distinct().withColumn("n", F.row_number().over(bucket)).where(F.col("n") <= rows).select("l", "h")
+    chosen = few.withColumn("n", F.row_number().over(by)).where(F.col("n") <= rows).select("l", "h")
     part = F.expr(f"substring(t, greatest(1, cast(length(t) / 2 as int) - {size // 2}), {size})")
     # at most `rows` rows a language are broadcast; a middle part of each chosen row, as labelled text for learning only
     got = labelled.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.min(part).alias("part")).collect()
