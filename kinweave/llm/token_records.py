@@ -48,8 +48,8 @@ SHARD_BYTES = 8_000_000
 TASK_BYTES = 16_000_000
 #: Shards whose sums one window adds up.
 SUMMED = 10_000
-#: Fixed by Spark's writers: number of the task and of the file in it.
-file_name = re.compile(r"part-(\d+)-.*?-c(\d+)").search
+#: Fixed by Spark's writers: number of the task and, at the end, of the file in it; a group of the UUID between them may begin like the latter.
+file_name = re.compile(r"part-(\d+)-.*-c(\d+)(?:\.[^-]*)?$").search
 
 
 def masked(crc: int) -> int:

@@ -145,6 +145,11 @@ def test_records_round_trip(spark, docs, monkeypatch):
     assert token_records.digests(empty(spark), WORDS).count() == 0
 
 
+def test_shard_numbers_are_not_read_from_the_uuid():
+    for name in ("part-00002-1b9d6bcd-c123-4b2d-9b5d-ab8dfbbd4bed-c007.txt", "part-00002-1b9d6bcd-bbfd-c1d4-c5b5-ab8dfbbd4bed-c007"):
+        assert tuple(map(int, token_records.file_name(name).groups())) == (2, 7)
+
+
 def test_records_with_repeated_and_null_keys(spark):
     df = spark.createDataFrame([(None, "b"), (3, "x"), (3, "x"), (3, "a b")], "doc_id long, text string")
     got = [tuple(r) for r in token_records.digests(df, WORDS).orderBy("start").collect()]
