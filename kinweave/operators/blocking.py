@@ -24,26 +24,48 @@ def _ends(df: DataFrame, name: str, key: list[str]) -> DataFrame:
 
 #: Rows of a block, or of one side of it, that meet in one task; larger blocks are cut into parts of about this size.
 BLOCK_ROWS = 1000
+#: Parts that a smaller limit may cut a block into; beyond, parts grow up to BLOCK_ROWS, as every row is sent to each part of its block.
+SMALL_PARTS = 8
+
+
+def _parts(n: Column, limit: int) -> Column:
+    """The number of parts of a block of n rows."""
+    wanted = F.ceil(n / limit)
+    if limit < BLOCK_ROWS:
+        wanted = F.least(wanted, F.greatest(F.lit(SMALL_PARTS), F.ceil(n / BLOCK_ROWS)))
+    return wanted.cast("int")
+
+
+def _spread(df: DataFrame, cell: list[str]) -> DataFrame:
+    """Rows by cell, in a fixed number of partitions: adaptive execution would put small ones together by their bytes, which say nothing of the pairs they make."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *cell)
 
 
 def pairs(df: DataFrame, key: str | list[str], accept: Column | None = None, limit: int = BLOCK_ROWS) -> DataFrame:
     """src, dst, s, t, key: every two rows of a block once, the smaller id first, that `accept` lets through.
 
-    Blocks of over `limit` rows are cut into parts, and every two parts are a group of their own: each row of a block of m
-    parts goes to its m groups, so the load of a task is bounded whatever a block's size. Rows alone in a block don't move.
+    Blocks of over `limit` rows are cut into parts, and every two parts are a group of their own, where the rows of one meet
+    those of the other and nothing else is compared: each row of a block of m parts goes to its m groups, so the load of a
+    task is bounded whatever a block's size. Rows alone in a block don't move. A limit under BLOCK_ROWS makes SMALL_PARTS
+    parts at most, or parts of BLOCK_ROWS rows where these are more.
     """
     key = [key] if isinstance(key, str) else key
     names = [c for c in df.columns if c not in key]
-    sizes = df.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key, F.ceil(F.col("_n") / limit).cast("int").alias("_m"))
+    sizes = df.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key, _parts(F.col("_n"), limit).alias("_m"))
     rows = df.join(sizes, key).withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
-    rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    rows = rows.withColumn("_i", F.least("_p", "_q")).withColumn("_j", F.greatest("_p", "_q")).drop("_m", "_q")
     cell = [*key, "_i", "_j"]
-    found = _ends(rows, "s", cell).join(_ends(rows, "t", cell), cell)
-    # inside one part once, across parts once
-    found = found.where("s.id < t.id AND (_i = _j OR s._p <> t._p)")
-    plain = lambda x: F.struct(*(F.col(f"{x}.{c}") for c in names)).alias(x)
-    found = found.select(*key, plain("s"), plain("t"))
+
+    def side(name: str, i: Column, j: Column, others: Column) -> DataFrame:
+        return _spread(rows.withColumn("_q", F.explode(others)).select(*key, i.alias("_i"), j.alias("_j"), F.struct(*names).alias(name)), cell)
+
+    # part i on the one side, part j >= i on the other
+    one = side("a", F.col("_p"), F.col("_q"), F.sequence(F.col("_p"), F.col("_m") - 1))
+    two = side("b", F.col("_q"), F.col("_p"), F.sequence(F.lit(0), F.col("_p")))
+    found = one.join(two, cell).where("_i < _j AND a.id <> b.id OR a.id < b.id")
+    first = F.col("a.id") < F.col("b.id")
+    end = lambda x, y, name: F.struct(*(F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(c) for c in names)).alias(name)
+    found = found.select(*key, end("a", "b", "s"), end("b", "a", "t"))
     if accept is not None:
         found = found.where(accept)
     return found.select(F.col("s.id").alias("src"), F.col("t.id").alias("dst"), "s", "t", *key)
@@ -64,7 +86,8 @@ def cross_pairs(left: DataFrame, right: DataFrame, key: str, accept: Column | No
 
     def dealt(df: DataFrame, own: str, other: str, cell: tuple[str, str], name: str) -> DataFrame:
         row = F.struct(*(c for c in df.columns if c != key)).alias(name)
-        return df.join(sizes, key).select(key, F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(cell[0]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(cell[1]), row)
+        rows = df.join(sizes, key).select(key, F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(cell[0]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(cell[1]), row)
+        return _spread(rows, [key, "_i", "_j"])
 
     found = dealt(left, "_a", "_b", ("_i", "_j"), "s").join(dealt(right, "_b", "_a", ("_j", "_i"), "t"), [key, "_i", "_j"])
     if accept is not None:
@@ -85,6 +108,15 @@ def with_new_source(bit: int) -> Column:
     return ~bits.overlap(a, b) & ((a == bit) | (b == bit))
 
 
+def new_source_pairs(df: DataFrame, key: str, bit: int) -> DataFrame:
+    """pairs() with with_new_source(bit): the rows of the new source meet those that lack it, and no others are compared."""
+    mask = F.col("sources_int")
+    found = cross_pairs(df.where((mask != 0) & (mask.bitwiseAND(bit) == 0)), df.where(mask == bit), key)
+    first = F.col("src") < F.col("dst")
+    end = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), end("s", "t").alias("s"), end("t", "s").alias("t"), key)
+
+
 def with_lonely(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Pairs, and each row without one paired with itself."""
     met = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()

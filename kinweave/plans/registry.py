@@ -242,7 +242,7 @@ def block_split_pairs(spark, sf_dir):
 
 @query(f"SELECT s.id AS src, t.id AS dst FROM {_BLOCKED} s JOIN {_BLOCKED} t ON s.block = t.block AND s.id < t.id WHERE s.sources_int & t.sources_int = 0 AND (s.sources_int = 16 OR t.sources_int = 16)")
 def new_source_pairs(spark, sf_dir):
-    return blocking.pairs(_blocked(spark, sf_dir).select("id", "sources_int", "block"), "block", blocking.with_new_source(16)).select("src", "dst")
+    return blocking.new_source_pairs(_blocked(spark, sf_dir).select("id", "sources_int", "block"), "block", 16).select("src", "dst")
 
 
 def _geo_blocked(spark, sf_dir):
@@ -720,7 +720,7 @@ def cluster_filters(spark, sf_dir):
 @query(f"""WITH p AS (SELECT s.id AS a, t.id AS b, s.sources_int AS m, t.sources_int AS n FROM {_BLOCKED} s JOIN {_BLOCKED} t ON s.block = t.block AND s.id < t.id WHERE s.sources_int & t.sources_int = 0)
 SELECT CASE WHEN m = 16 THEN b ELSE a END AS src, CASE WHEN m = 16 THEN a ELSE b END AS dst FROM p WHERE m = 16 OR n = 16""")
 def new_source_last(spark, sf_dir):
-    found = blocking.pairs(_blocked(spark, sf_dir).select("id", "sources_int", "block"), "block", blocking.with_new_source(16))
+    found = blocking.new_source_pairs(_blocked(spark, sf_dir).select("id", "sources_int", "block"), "block", 16)
     return filters.new_source_last(filters.smaller_first(found), 16).select("src", "dst")
 
 

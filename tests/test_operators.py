@@ -44,6 +44,21 @@ def test_split_pairs_are_all_pairs(spark, rows):
     assert rows(blocking.split_pairs(df, "k", blocking.disjoint(5), 4), "src", "dst") == rows(blocking.pairs(df, "k", blocking.disjoint(5)), "src", "dst")
 
 
+def test_small_limits_cut_a_block_into_few_parts(spark, rows):
+    sizes = spark.createDataFrame([(6000,), (100,), (30_000,)], "n long")
+    assert rows(sizes.select("n", blocking._parts(F.col("n"), 20).alias("m"))) == [(100, 5), (30_000, 30), (6000, 8)]
+    assert rows(sizes.select("n", blocking._parts(F.col("n"), 1000).alias("m"))) == [(100, 1), (30_000, 30), (6000, 6)]
+    df = spark.range(300).withColumn("k", F.lit("a"))
+    assert rows(blocking.split_pairs(df, "k", None, 20), "src", "dst") == sorted(((a, b) for a in range(300) for b in range(a + 1, 300)), key=repr)
+
+
+def test_new_source_pairs_are_the_accepted_pairs(spark, rows):
+    random.seed(5)
+    df = spark.createDataFrame([(i, random.choice("aab"), random.choice([0, 1, 2, 3, 16, 16, 17])) for i in range(90)], "id long, k string, sources_int long").cache()
+    columns = ["src", "dst", "s", "t", "k"]
+    assert rows(blocking.new_source_pairs(df, "k", 16), *columns) == rows(blocking.pairs(df, "k", blocking.with_new_source(16)), *columns)
+
+
 def test_lonely_rows_meet_themselves(spark, rows):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 1)], "id long, k string, sources_int long")
     assert rows(blocking.with_lonely(df, blocking.pairs(df, "k"), "k"), "src", "dst") == [(1, 2), (3, 3)]
