@@ -117,6 +117,29 @@ def new_source_pairs(df: DataFrame, key: str, bit: int) -> DataFrame:
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), end("s", "t").alias("s"), end("t", "s").alias("t"), key)
 
 
+def nearest_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
+    """src, dst, s, t (with `value`): of the pairs of a block, the smaller id first, those that links.max_both() can choose by near_sim of a whole number.
+
+    For each row that is the next larger id (as src) and the smallest id (as dst) among the rows of its value, of each value one
+    apart, of any value, and of all: whatever its best partner is, it is one of them, as ties go to the smaller partner. So
+    rows are sorted inside their blocks, and no more than ten pairs a row are made.
+    """
+    v = text.sane_int(F.col(value))
+    slot = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
+    none, any_ = slot(2, F.lit(0)), slot(1, F.lit(0))
+    rows = df.select("id", F.col(key).alias("_k"), value).where("_k IS NOT NULL")
+    slots = lambda *of: F.explode(F.when(v.isNull(), F.array(none)).otherwise(F.array(*(slot(0, n) for n in of), any_, none))).alias("_s")
+    row = F.struct("id", value)
+    held = rows.select("id", value, "_k", slots(v)).withColumn("_own", F.lit(1))
+    asked = rows.select("id", value, "_k", slots(v, v - 1, v + 1)).withColumn("_own", F.lit(0))
+    # ids fall, and of one id the question comes first: the row held last is the next larger one
+    falling = Window.partitionBy("_k", "_s").orderBy(F.desc("id"), "_own")
+    after = held.unionByName(asked).withColumn("t", F.last(F.when(F.col("_own") == 1, row), ignorenulls=True).over(falling)).where("_own = 0 AND t IS NOT NULL").select(row.alias("s"), "t")
+    least = held.groupBy("_k", "_s").agg(F.min(row).alias("s"))
+    before = asked.join(least, ["_k", "_s"]).where("s.id < id").select("s", row.alias("t"))
+    return after.unionByName(before).distinct().select(F.col("s.id").alias("src"), F.col("t.id").alias("dst"), "s", "t")
+
+
 def with_lonely(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Pairs, and each row without one paired with itself."""
     met = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave.functions import similarity
 from kinweave.operators import blocking, components, corruption, evaluation, filters, groups, links, merging, representatives
 
 
@@ -76,6 +77,16 @@ def test_group_edges(spark, rows):
 
 
 def test_basic_link_filter(spark, rows):
+def test_nearest_pairs_hold_all_that_max_both_chooses(spark, rows):
+    random.seed(6)
+    df = spark.createDataFrame([(i, random.choice(["a", "a", "b", None]), random.choice([None, 0, 1, 2, 3, 4, 7, 9])) for i in range(150)], "id long, k string, length int").cache()
+    sim = similarity.near_sim(F.col("s.length"), F.col("t.length")).alias("sim")
+    every = blocking.pairs(df, "k").select("src", "dst", sim)
+    some = blocking.nearest_pairs(df, "k", "length").select("src", "dst", sim)
+    assert rows(links.max_both(some)) == rows(links.max_both(every))
+    assert some.count() <= 10 * 150 < every.count()
+
+
     v = vertices(spark, (4, "a", 3), (7, "b", 6), (10, "c", 4))
     e = spark.createDataFrame([(4, 10, 0.8), (4, 7, 0.9), (7, 10, 0.7)], "src long, dst long, agg_sim double")
     assert rows(links.filter_basic(e, v), "src", "dst") == [(4, 10)]
