@@ -160,8 +160,13 @@ def two_sided(df: DataFrame, key: str, bit: int) -> DataFrame:
     """
     mixed = (F.col("sources_int").bitwiseAND(bit) != 0) & (F.col("sources_int") != bit)
     df = df.withColumn("sources_int", F.when(mixed, F.raise_error(F.lit("a cluster holds the new source already")).cast("long")).otherwise(F.col("sources_int")))
-    new, old = df.where(F.col("sources_int") == bit), df.where(F.col("sources_int") != bit)
-    return with_lonely(df, cross_pairs(old, new, key), key)
+    is_new = F.col("sources_int") == bit
+    found = cross_pairs(df.where(~is_new), df.where(is_new), key)
+    # a row is lonely if its block lacks a side, which the blocks tell without the pairs
+    whole = df.groupBy(key).agg(F.bool_or(is_new).alias("_new"), F.bool_or(~is_new).alias("_old")).where("_new AND _old").select(key)
+    row = F.struct(*(c for c in df.columns if c != key))
+    alone = df.join(whole, key, "left_anti")
+    return found.unionByName(alone.select(F.col("id").alias("src"), F.col("id").alias("dst"), row.alias("s"), row.alias("t"), key))
 
 
 def all_edges(df: DataFrame, key: str) -> DataFrame:

@@ -809,9 +809,8 @@ def quality_of_clusters(spark, sf_dir):
 
 @query(_rates_sql(f"SELECT (SELECT count(*) FROM {PART_EDGES_SQL}) AS tp, (SELECT count(*) FROM {PART_EDGES_SQL}) AS n_found, {_cells('p_name', 'p_brand')} AS n_gold"))
 def quality_prf(spark, sf_dir):
-    rows = adapters.parts(spark, sf_dir)
-    gold = evaluation.gold_pairs(rows.withColumn("k", F.struct("label", "artist")), "k")
-    return evaluation.quality(gold, evaluation.sorted_pairs(adapters.part_edges(spark, sf_dir), "src", "dst"))
+    rows = adapters.parts(spark, sf_dir).select("id", F.struct("label", "artist").alias("k"))
+    return evaluation.quality_of_links(rows, "k", evaluation.sorted_pairs(adapters.part_edges(spark, sf_dir), "src", "dst"))
 
 
 @query(f"SELECT data_source, count(*) AS n FROM {PART_SQL} GROUP BY data_source")

@@ -53,6 +53,23 @@ def test_small_limits_cut_a_block_into_few_parts(spark, rows):
     assert rows(blocking.split_pairs(df, "k", None, 20), "src", "dst") == sorted(((a, b) for a in range(300) for b in range(a + 1, 300)), key=repr)
 
 
+def test_lonely_rows_of_two_sides_come_from_the_blocks(spark, rows):
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 1), (4, None, 2), (5, "c", 2), (6, "a", 2), (7, None, 1)], "id long, k string, sources_int long")
+    found = blocking.two_sided(df, "k", 2)
+    assert rows(found, "src", "dst") == [(1, 2), (1, 6), (3, 3), (4, 4), (5, 5), (7, 7)]
+    # the pairs are made once
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
+
+
+def test_quality_of_links_is_that_of_the_pairs(spark, rows):
+    random.seed(7)
+    df = spark.createDataFrame([(i, random.choice(["a", "b", "c", None])) for i in range(40)], "id long, k string").cache()
+    for n in (0, 60):
+        made = spark.createDataFrame([(random.randrange(44), random.randrange(44)) for _ in range(n)], "a long, b long").cache()
+        found = evaluation.sorted_pairs(made, "a", "b")
+        assert rows(evaluation.quality_of_links(df, "k", found)) == rows(evaluation.quality(evaluation.gold_pairs(df, "k"), found))
+
+
 def test_new_source_pairs_are_the_accepted_pairs(spark, rows):
     random.seed(5)
     df = spark.createDataFrame([(i, random.choice("aab"), random.choice([0, 1, 2, 3, 16, 16, 17])) for i in range(90)], "id long, k string, sources_int long").cache()
