@@ -611,23 +611,21 @@ def merge_init(spark, sf_dir):
     return merging.rejoin(rows, 0.5).select("id", "hash_cc")
 
 
+def _assigned(spark, sf_dir, unmatched: bool) -> DataFrame:
+    rows = adapters.parts(spark, sf_dir).select("id", "length", "data_source", F.concat(text.music_block_key("label"), F.col("artist")).alias("block"))
+    sides = (rows.where(F.col("data_source") == x).select("id", "block", "length") for x in ("1", "2"))
+    return merging.assign_blocks(*sides, "block", "length", F.round(1 / (1 + F.abs(S("length") - T("length"))), 6), unmatched)
+
+
 @query()
 def hungarian_assign(spark, sf_dir):
-    rows = adapters.parts(spark, sf_dir).select("id", "length", "data_source", F.concat(text.music_block_key("label"), F.col("artist")).alias("block"))
-    found = blocking.pairs(rows, "block").where("s.data_source <> t.data_source AND (s.data_source = '1' AND t.data_source = '2' OR s.data_source = '2' AND t.data_source = '1')")
-    left = F.when(S("data_source") == "1", F.col("src")).otherwise(F.col("dst"))
-    right = F.when(S("data_source") == "1", F.col("dst")).otherwise(F.col("src"))
-    sim = F.round(1 / (1 + F.abs(S("length") - T("length"))), 6)
-    return merging.assign_pairs(found.select(left.alias("src"), right.alias("dst"), sim.alias("sim")))
+    return _assigned(spark, sf_dir, False)
 
 
 @query()
 def hungarian_unmatched(spark, sf_dir):
     """The assignment of hungarian_assign, and the rows that it leaves out as pairs of themselves."""
-    rows = adapters.parts(spark, sf_dir).select("id", "length", "data_source", F.concat(text.music_block_key("label"), F.col("artist")).alias("block"))
-    found = blocking.cross_pairs(rows.where("data_source = '1'"), rows.where("data_source = '2'"), "block")
-    sim = F.round(1 / (1 + F.abs(S("length") - T("length"))), 6)
-    return merging.assign_pairs(found.select("src", "dst", sim.alias("sim")), unmatched=True)
+    return _assigned(spark, sf_dir, True)
 
 
 @query()

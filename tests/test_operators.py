@@ -70,6 +70,28 @@ def test_quality_of_links_is_that_of_the_pairs(spark, rows):
         assert rows(evaluation.quality_of_links(df, "k", found)) == rows(evaluation.quality(evaluation.gold_pairs(df, "k"), found))
 
 
+def test_blocks_are_assigned_by_values(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        x, y = rng.integers(0, 6, rng.integers(1, 9)), rng.integers(0, 6, rng.integers(1, 9))
+        cost = 1 - np.round(1 / (1 + abs(x[:, None] - y[None, :])), 6)
+        of = merging.assign(cost)
+        (u, n), (v, m) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+        flow = merging.transport(1 - np.round(1 / (1 + abs(u[:, None] - v[None, :])), 6), n, m)
+        assert flow.min() >= 0 and flow.sum() == min(len(x), len(y)) and (flow.sum(1) <= n).all() and (flow.sum(0) <= m).all()
+        assert abs((flow * (1 - np.round(1 / (1 + abs(u[:, None] - v[None, :])), 6))).sum() - sum(cost[i, j] for i, j in enumerate(of) if j >= 0)) < 1e-9
+    left = spark.createDataFrame([(i, "ab"[i % 2], i % 7) for i in range(40)] + [(90, "z", 1)], "id long, k string, v int").cache()
+    right = spark.createDataFrame([(100 + i, "ab"[i % 2], i % 5 + 3) for i in range(30)] + [(190, None, 1)], "id long, k string, v int").cache()
+    sim = F.round(1 / (1 + F.abs(F.col("s.v") - F.col("t.v"))), 6)
+    want = merging.assign_pairs(blocking.cross_pairs(left, right, "k").select("src", "dst", sim.alias("sim")), unmatched=True).collect()
+    got = merging.assign_blocks(left, right, "k", "v", sim, unmatched=True).collect()
+    ends = lambda found: sorted(x for r in found for x in {r["src"], r["dst"]})
+    assert len(got) == len(want) and ends(got) == ends(want) == sorted([*range(40), *range(100, 130)])
+    assert abs(sum(r["sim"] for r in got) - sum(r["sim"] for r in want)) < 1e-9
+    with pytest.raises(ValueError, match="beyond"):
+        merging.assign_blocks(left, right, "k", "v", sim, task_cells=3)
+
+
 def test_new_source_pairs_are_the_accepted_pairs(spark, rows):
     random.seed(5)
     df = spark.createDataFrame([(i, random.choice("aab"), random.choice([0, 1, 2, 3, 16, 16, 17])) for i in range(90)], "id long, k string, sources_int long").cache()
