@@ -138,14 +138,14 @@ def filter_basic(edges: DataFrame, vertices: DataFrame, task_edges: int = TASK_E
     return small.unionByName(_by_rounds(ends.join(large, "cc_id", "left_semi")))
 
 
-def filter_clustering(edges: DataFrame, vertices: DataFrame, reference_compat: bool = False) -> DataFrame:
+def filter_clustering(edges: DataFrame, vertices: DataFrame, reference_compat: bool = False, known: DataFrame | None = None) -> DataFrame:
     """src, dst, agg_sim without the weaker rows of a source in a component.
 
     A vertex with a neighbour of its own source is a candidate; of the candidates of a component and source the one with the
     highest mean similarity (then the smallest id) stays, the others lose their links. With reference_compat all
-    candidates lose them, wherever they are.
+    candidates lose them, wherever they are. known: (id, data_source, cc_id), where the components of these edges are known.
     """
-    rows = with_components(vertices.select("id", "data_source"), edges)
+    rows = with_components(vertices.select("id", "data_source"), edges) if known is None else known
     ends = with_ends(edges.select("src", "dst", "agg_sim"), rows)
     both = ends.select(F.col("s").alias("v"), F.col("t").alias("n"), "agg_sim").unionByName(ends.select(F.col("t").alias("v"), F.col("s").alias("n"), "agg_sim"))
     each = both.groupBy(F.col("v.id").alias("id")).agg(F.first("v.cc_id").alias("cc_id"), F.first("v.data_source").alias("data_source"), F.avg("agg_sim").alias("m"), F.bool_or(F.col("v.data_source") == F.col("n.data_source")).alias("twice")).where("twice")

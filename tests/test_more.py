@@ -252,3 +252,20 @@ def test_add_source_compares_rows_that_look_the_same_once(spark, rows, monkeypat
     pairs = [(r["id"], sorted(r["clustered"])) for r in got.where("size(clustered) > 1").collect()]
     assert sorted(pairs) == [(0, [0, 4]), (1, [1, 9]), (2, [2, 6]), (3, [3, 7])]
     assert got.count() == 116 and seen == [16]
+
+
+def test_closed_links_are_scored_once_a_look(spark, rows, monkeypatch):
+    made = [(i, str(1 + i % 5), 1 << i % 5, None if i % 11 == 0 else ("abc", "xyz", "mnop")[i % 3]) for i in range(60)]  # similarities of 0 and 1, whose means are exact
+    df = spark.createDataFrame(made, "id long, data_source string, sources_int long, ata string").cache()
+    edges = spark.createDataFrame([(i, i + 2) for i in range(0, 57)], "src long, dst long").cache()
+    config, scored, score = workflows.Config(), [], links.with_similarity
+    whole = score(blocking.all_edges(df.withColumn("c", F.col("id") % 2).where("id < 59"), "c"), df, "music", "ct", None).select("src", "dst", "agg_sim")
+    want = rows(links.filter_clustering(whole, df))
+
+    def watched(pairs, *args):
+        scored.append(pairs.count())
+        return score(pairs, *args)
+
+    monkeypatch.setattr(links, "with_similarity", watched)
+    assert rows(workflows.close_links(df, edges, config)) == want and want
+    assert scored == [33]  # four looks in each of two components, and a row alone
