@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,9 @@ def acceptable(least: float) -> Column:
     return F.coalesce((mean > least) & (there >= 2), F.lit(False)) | F.coalesce((label > 0.8) & fine(place) & fine(kind), F.lit(False))
 
 
+#: How many times fewer the pairs of values must be than those of rows, for values to be compared in their place.
+FEW_VALUES = 4
+
 #: Edges of a component that one task filters; larger components are filtered by rounds of joins.
 TASK_EDGES = 50_000
 
@@ -225,6 +230,29 @@ def source_overlap(a: Column, b: Column, most: int | None = None) -> Column:
     return out & (F.size(a) + F.size(b) <= most) if most else out
 
 
+def with_value_sims(pairs: DataFrame, rows: DataFrame, key: str, sims: dict[str, Callable[[Column, Column], Column]]) -> tuple[DataFrame, dict[str, Column]]:
+    """pairs (key, s, t) of rows of a block, with the similarities of columns that have few values in a block; and these, by name of column.
+
+    sims: the similarity of two values, by column. Two values of a block are compared once, whatever rows have them. A column
+    whose values make nearly as many pairs as the rows stays out, for the caller to compare pair by pair.
+    """
+    cells = lambda n: F.sum(n.cast("double") * n)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), *(F.count_distinct(c).alias(c) for c in sims))
+    size = counts.agg(cells(F.col("_n")).alias("_n"), *(cells(F.col(c)).alias(c) for c in sims)).head()
+    known = {}
+    for c, sim in sims.items():
+        if (size[c] or 0) * FEW_VALUES > (size["_n"] or 0):
+            continue
+        values = rows.select(key, F.col(c).alias("id")).where(F.col(key).isNotNull() & F.col("id").isNotNull()).distinct()
+        found = durable(blocking.pairs(values, key).select(F.col(key).alias("_k"), F.col("src").alias("_a"), F.col("dst").alias("_b"), sim(F.col("src"), F.col("dst")).alias(f"_sim_{c}")))
+        same = values.select(F.col(key).alias("_k"), F.col("id").alias("_a"), F.col("id").alias("_b"), sim(F.col("id"), F.col("id")).alias(f"_sim_{c}"))
+        table = durable(found.unionByName(found.select("_k", F.col("_b").alias("_a"), F.col("_a").alias("_b"), f"_sim_{c}")).unionByName(same))
+        # a row without a value has no similarity, as there is none in the table
+        pairs = pairs.join(table, (F.col(key) == F.col("_k")) & (F.col(f"s.{c}") == F.col("_a")) & (F.col(f"t.{c}") == F.col("_b")), "left").drop("_k", "_a", "_b")
+        known[c] = F.col(f"_sim_{c}")
+    return pairs, known
+
+
 def support(edges: DataFrame, least: int) -> DataFrame:
     """src, dst, n of the pairs that occur at least so often."""
     return edges.groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= least)
