@@ -7,10 +7,16 @@ neighbours is neither collected nor numbered in one task. Rounds are written to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Tables
+from ..session import Tables, ship
+
+#: Nodes that a task of spanning() remembers at most; beyond, it starts anew, which costs edges and changes no component.
+HELD_NODES = 1_000_000
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -42,6 +48,34 @@ def stars(edges: DataFrame, most: int = 100) -> DataFrame:
     raise RuntimeError(f"components have not settled in {most} rounds")
 
 
+def spanning(edges: DataFrame) -> DataFrame:
+    """u, v of the edges (u, v, linked) with `linked` that join two trees of their partition: the same components, with fewer edges than nodes in each task."""
+    ship(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        for batch in batches:
+            kept = pa.Table.from_batches([batch]).filter(batch.column(2))
+            out = []
+            for u, v in zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((u, v))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+            if len(parent) > HELD_NODES:
+                parent.clear()
+
+    return edges.select("u", "v", "linked").mapInArrow(run, "u long, v long")
+
+
 def with_components(vertices: DataFrame, edges: DataFrame, out: str = "cc_id") -> DataFrame:
     """Vertices (id, ...) with the smallest id of their component; edges (src, dst). A vertex without links is its own."""
     found = stars(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
