@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +144,71 @@ def filter_basic(edges: DataFrame, vertices: DataFrame, task_edges: int = TASK_E
     return small.unionByName(_by_rounds(ends.join(large, "cc_id", "left_semi")))
 
 
+#: Rows of a block that one task of filter_blocks() takes, with at most TASK_EDGES pairs of looks.
+TASK_ROWS = 100_000
+
+
+def greedy_looks(rows: list[tuple], sims: list[tuple]) -> list[tuple]:
+    """greedy_disjoint() of all links between rows (id, mask, source, look) in the order of similarities, then ids, that looks (a, b, sim) give, without a list of links.
+
+    Rows of equal source make no link. A row that fails a partner fails it for good, as masks only grow.
+    """
+    rows = sorted(rows)
+    ids, looks, members = [r[0] for r in rows], np.array([r[3] for r in rows]), [[i] for i in range(len(rows))]
+    mask = np.array([r[1] for r in rows], np.int64)  # of the cluster that a row is in
+    source = np.unique([str(r[2]) for r in rows], return_inverse=True)[1]
+    full, out = np.bitwise_or.reduce(mask), []
+    levels: dict[float, dict[int, list[int]]] = {}
+    for a, b, sim in sims:
+        of = levels.setdefault(sim, {})
+        of.setdefault(a, []).append(b)
+        if a != b:
+            of.setdefault(b, []).append(a)
+    for sim in sorted(levels, reverse=True):
+        left = np.flatnonzero(mask != full)
+        if not len(left):
+            break
+        here, partners = looks[left], levels[sim]
+        near = {a: left[np.isin(here, others)] for a, others in partners.items()}
+        for i in left[np.isin(here, list(partners))].tolist():
+            all_ = near[looks[i]]
+            others = all_[np.searchsorted(all_, i, "right") :]
+            while len(others) and mask[i] != full:
+                others = others[((mask[others] & mask[i]) == 0) & (source[others] != source[i])]
+                if not len(others):
+                    break
+                j = int(others[0])
+                out.append((ids[i], ids[j], sim))
+                both = members[i] + members[j]
+                mask[both] = mask[i] | mask[j]
+                for k in both:
+                    members[k] = both
+                others = others[1:]
+    return out
+
+
+def filter_blocks(vertices: DataFrame, key: str, looks: tuple[str, ...], domain: str, metric: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """filter_basic() of the links above `least` between all rows of a block from different sources, without these links; and the blocks that are too large for it.
+
+    vertices: id, sources_int, data_source, key and `looks`, all that the similarity sees: rows of a block that look the same are scored once.
+    """
+    of = vertices.where(F.col(key).isNotNull() & F.col("data_source").isNotNull() & (F.col("sources_int") != 0))
+    rows = durable(of.withColumn("look", F.min("id").over(Window.partitionBy(key, *looks))))
+    heads = rows.where("id = look")
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("id") == F.col("look"), 1).otherwise(0)).alias("h"))
+    large = durable(counts.where((F.col("n") > TASK_ROWS) | (F.col("h") * (F.col("h") + 1) / 2 > TASK_EDGES)).select(key))
+    small = heads.join(large, key, "left_anti")
+    each = blocking.pairs(small.select("id", key), key).select("src", "dst").unionByName(small.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    scored = with_similarity(each, heads, domain, metric, least).join(heads.select(F.col("id").alias("src"), key), "src")
+    sims = scored.groupBy(key).agg(F.collect_list(F.struct("src", "dst", "agg_sim")).alias("sims"))
+    members = rows.join(large, key, "left_anti").groupBy(key).agg(F.collect_list(F.struct("id", "sources_int", "data_source", "look")).alias("rows"))
+
+    def solve(row: dict) -> list[tuple]:
+        return greedy_looks([tuple(r.values()) for r in row["rows"]], [tuple(p.values()) for p in row["sims"]])
+
+    return map_rows(blocking._spread(members.join(sims, key), [key]), solve, "src long, dst long, agg_sim double"), large
+
+
 def filter_clustering(edges: DataFrame, vertices: DataFrame, reference_compat: bool = False, known: DataFrame | None = None) -> DataFrame:
     """src, dst, agg_sim without the weaker rows of a source in a component.
 
