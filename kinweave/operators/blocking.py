@@ -5,11 +5,14 @@ from __future__ import annotations
 import random
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, text
-from ..session import durable
+from ..session import Tables, durable, ship
+from . import overlap
 from .components import stars
 
 # Words that never block.
@@ -219,16 +222,66 @@ def top_words(words: DataFrame, idf: DataFrame, lowest: int | None = None) -> Da
     return rows.withColumn("_w", wanted).withColumn("_r", F.rank().over(order)).where("_r <= _w").select("id", "word", "idf")
 
 
+#: Words of the rows of a group of word_pairs(), about; every two groups meet in one task.
+GROUP_WORDS = 6_000_000
+
+
+def _word_lists(top: DataFrame, most_rows: int | None) -> DataFrame:
+    """id, words: the sorted numbers of a row's words, of those that several rows have."""
+    with Tables(top.sparkSession) as tables:
+        rows = tables.keep(top.where("id IS NOT NULL AND word IS NOT NULL").select("id", "word"))
+        counts = rows.groupBy("word").agg(F.count("*").alias("_n")).where("_n > 1")
+        if most_rows:
+            counts = counts.where(F.col("_n") <= most_rows)
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        numbers = tables.keep(counts.select("word", F.spark_partition_id().alias("_part"), place.alias("_place")))
+        sizes = numbers.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+        before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+        numbers = numbers.join(F.broadcast(before), "_part").select("word", (F.col("_before") + F.col("_place")).cast("int").alias("_word"))
+        return durable(rows.join(numbers, "word").groupBy("id").agg(F.sort_array(F.collect_list("_word")).alias("words")))
+
+
 def word_pairs(top: DataFrame, support: int = 2, most_rows: int | None = None) -> DataFrame:
     """src, dst, n: rows that share at least `support` of their words.
 
+    Rows are dealt to groups of about GROUP_WORDS words by their ids, and every two groups meet in a task that counts the shared
+    words of all their rows: a row is sent once a group, and pairs are not sent between tasks. Equal lists are counted once.
+
     most_rows leaves out words of more rows than that, for callers who want that cap; none is set by default.
     """
-    if most_rows:
-        few = top.groupBy("word").agg(F.count("*").alias("_n")).where(F.col("_n") <= most_rows).select("word")
-        top = top.join(few, "word")
-    found = pairs(top.select("id", "word"), "word")
-    return found.groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    spark = top.sparkSession
+    ship(spark)
+    rows = _word_lists(top, most_rows)
+    n = -(-(rows.agg(F.sum(F.size("words"))).head()[0] or 0) // GROUP_WORDS)
+    while n * (n + 1) < 4 * spark.sparkContext.defaultParallelism:  # two tasks a core at least
+        n += 1
+    own, other = F.col("_own"), F.col("_other")
+    dealt = rows.select("id", "words", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("_own")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    high = F.greatest(own, other)
+    cell = (F.floor(high * (high + 1) / 2) + F.least(own, other)).cast("int")
+    cells = dealt.repartitionById(n * (n + 1) // 2, cell).sortWithinPartitions("id").select("id", "words", "_own", (own == other).alias("_same"))
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        ids, lists, group = (table.column(i).combine_chunks() for i in range(3))
+        same = table.column(3)[0].as_py()
+        held = table = None
+        words, lengths, group = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), group.to_numpy()
+        lists = None
+        sides = []
+        for g in np.unique(group):
+            mine = group == g
+            cuts = np.concatenate([[0], np.cumsum(lengths[mine])])
+            sides.append(overlap.Side(np.flatnonzero(mine), words[np.repeat(mine, lengths)], cuts))
+        if same or len(sides) == 2:  # rows are numbered in the order of ids
+            for x, y, k in overlap.row_pairs(sides[0], sides[-1], support):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(k)], names=["src", "dst", "n"])
+
+    kind = dict(rows.dtypes)["id"]
+    return cells.mapInArrow(run, f"src {kind}, dst {kind}, n long")
 
 
 def word_blocks(top: DataFrame, support: int = 2) -> DataFrame:

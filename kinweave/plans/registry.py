@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, geo, similarity, text, types
 from ..operators import blocking, corruption, evaluation, filters, groups, links, merging, representatives
 from ..operators.components import with_components
-from ..session import durable, scratch
+from ..session import Tables, durable, scratch
 from ..sources import adapters, graphs
 from ..sources.adapters import GEO_EDGES_SQL, GEO_SQL, PART_EDGES_SQL, PART_SQL
 from . import sql, workflows
@@ -310,8 +310,9 @@ _TOP = _top_sql("idf DESC", "greatest(2, ceil(count(*) OVER (PARTITION BY id) /
 
 @query(f"WITH t AS MATERIALIZED {_TOP} SELECT s.id AS src, t.id AS dst, count(*) AS n FROM t s JOIN t ON s.word = t.word AND s.id < t.id GROUP BY ALL HAVING count(*) >= 2")
 def idf_block_pairs(spark, sf_dir):
-    words = durable(blocking.document_words(adapters.documents(spark, sf_dir)))
-    return blocking.word_pairs(blocking.top_words(words, blocking.inverse_frequencies(words)), 2)
+    with Tables(spark) as tables:
+        words = tables.keep(blocking.document_words(adapters.documents(spark, sf_dir)))
+        return blocking.word_pairs(blocking.top_words(words, blocking.inverse_frequencies(words)), 2)
 
 
 @query(f"""WITH c AS (SELECT list(word) AS c FROM (SELECT word FROM {_IDF} ORDER BY idf, word LIMIT 20)),
