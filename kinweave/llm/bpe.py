@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import arrow_rows, as_bytes, spread
+from .common import KEPT, arrow_rows, as_bytes, spread
 from .merging import PairMerger
 
 #: Entries of a generation of a worker's memory of words.
@@ -155,6 +155,9 @@ def _ids(path: str) -> Memory:
     return Memory(with_special(load(path), lambda many: [array("i", ids).tobytes() for ids in many]))
 
 
+KEPT.extend(f.cache_clear for f in (load, _digests, _ids))
+
+
 def groups(texts: list[bytes], most: int = 4_000_000):
     """Texts in runs of about `most` bytes, so that what one step holds is bounded by that or by one text."""
     at, size = 0, 0

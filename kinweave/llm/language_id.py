@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import groups
-from .common import arrow_rows, as_bytes
+from .common import KEPT, arrow_rows, as_bytes
 
 SAMPLE_ROWS, SAMPLE_BYTES = 64, 16_000
 BLOCK = 1024
@@ -173,6 +173,7 @@ class Model:
 
 
 _models: dict[tuple, Model] = {}
+KEPT.append(_models.clear)
 
 
 def _model(samples: tuple[tuple[str, bytes], ...]) -> Model:

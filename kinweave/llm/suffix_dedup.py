@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .bpe import groups
-from .common import Tables, arrow_rows, as_bytes, durable, small_batches, spread
+from .common import Tables, arrow_rows, as_bytes, durable, lean, small_batches, spread
 from .suffix_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 24
-#: Bytes of one suffix array, and distinct regions of one anchor before it is divided.
-ARRAY_BYTES = 1_000_000
+#: Bytes of texts whose runs are found at once (some 40 bytes of memory a byte, and the hashes), of one suffix array, and distinct
+#: regions of one anchor before it is divided.
+RUN_BYTES, ARRAY_BYTES = 500_000, 1_000_000
 HOT, STEPS = 2048, (64, 16, 4, 1)
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -112,7 +113,7 @@ def _anchors(rows: DataFrame, length: int, bits: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             done = 0
-            for some in groups(as_bytes(batch.column(1)), 2_000_000):
+            for some in groups(as_bytes(batch.column(1)), RUN_BYTES):
                 joined = b"".join(some)
                 sizes = np.fromiter(map(len, some), np.int64, len(some))
                 starts = np.cumsum(sizes) - sizes
@@ -125,7 +126,7 @@ def _anchors(rows: DataFrame, length: int, bits: int) -> DataFrame:
                 done += len(some)
 
     small_batches(rows.sparkSession)
-    return spread(rows.select("row", "text")).mapInArrow(run, "h long, rhash long, occ long, size int")
+    return spread(rows.select("row", "text")).mapInArrow(lean(run), "h long, rhash long, occ long, size int")
 
 
 REGION = "g long, rhash long, n long, hot boolean, bytes binary"
@@ -197,7 +198,7 @@ def _sorted_shards(regions: DataFrame, parts: int, length: int) -> DataFrame:
         if rows:
             yield from solve(rows)
 
-    return regions.select("g", "rhash", "n", "bytes").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(run, SPANS)
+    return regions.select("g", "rhash", "n", "bytes").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(lean(run), SPANS)
 
 
 def narrow(region: bytes, step: int, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, bytes]]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Memory, groups
-from .common import arrow_rows, as_bytes, spread
+from .common import KEPT, arrow_rows, as_bytes, spread
 from .merging import PairMerger
 
 #: Bytes of a chunk of a long text.
@@ -218,6 +218,9 @@ def load(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
+KEPT.append(load.cache_clear)
+
+
 def count_tokens(df: DataFrame, path: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, n_bytes, n_tokens, over_limit (more than `limit` tokens)."""
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Memory, groups, load
-from .common import as_bytes, scratch, small_batches, written
+from .common import KEPT, as_bytes, scratch, small_batches, written
 
 #: Fixed values of the masked checksum, as in common record formats.
 MASK_ROTATE, MASK_ADD = 15, 0xA282EAD8
@@ -114,6 +114,9 @@ def _memory(path: str) -> Memory:
     return Memory(make)
 
 
+KEPT.append(_memory.cache_clear)
+
+
 def is_wide(path: str) -> bool:
     from tokenizers import Tokenizer
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kinweave.llm import bpe, decontaminate, language_id, queries, sharding, simhash, suffix_dedup, suffix_sort, token_counts, token_records, topk_search, warc
-from kinweave.llm.common import Tables, durable, scratch
+from kinweave.llm.common import Tables, durable, lean, scratch, small_batches
 
 WORDS, PIECES = tokenizer_path("word_bpe_49k.json"), tokenizer_path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
@@ -835,3 +836,35 @@ def test_one_row_of_each_group_of_copies(spark):
     kept = near_copies.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, a), (None, b), (7, c), (8, d)], key=repr)
+
+
+def test_runs_do_not_depend_on_what_is_found_at_once(monkeypatch):
+    """Runs of a few texts at a time are those of all at once, so a small RUN_BYTES changes no result."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b"ab c", k=rng.choice([0, 150, 200, 700, 3000]))) for _ in range(40)]
+
+    def found(most):
+        out, done = [], 0
+        for some in bpe.groups(texts, most):
+            sizes = np.array([len(t) for t in some])
+            text, place, size, h = suffix_dedup.runs(np.frombuffer(b"".join(some), np.uint8), np.cumsum(sizes) - sizes, sizes)
+            out += zip((text + done).tolist(), place.tolist(), size.tolist(), h.tolist(), strict=True)
+            done += len(some)
+        return out
+
+    assert found(1) == found(2500) == found(10**9) and len(found(1)) > 100
+
+
+def test_tasks_begin_without_what_others_left_in_a_worker(spark):
+    """The pipeline: a worker that is used again loses the tables of the language stage and the words of the tokens stage."""
+    task = lean(lambda batches: iter(batches))
+
+    def run(batches):
+        language_id._model((("de", b"der und die"), ("en", b"the and of")))
+        bpe._ids(WORDS)
+        held = len(language_id._models) + bpe._ids.cache_info().currsize
+        for _ in task(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([len(language_id._models) + bpe._ids.cache_info().currsize])], names=["held", "left"])
+
+    small_batches(spark)
+    assert [tuple(r) for r in spark.range(1).mapInArrow(run, "held long, left long").collect()] == [(2, 0)]
