@@ -799,6 +799,52 @@ def test_near_copies_by_jaccard(spark, limit, part, monkeypatch):
     assert near_copies.keep_one(df.limit(0)).count() == 0
 
 
+def test_lists_of_shingles_keep_the_order():
+    """What a text is dealt by, from its list alone, is the start of all its shingles with hot ones last; else the list has run out."""
+    from kinweave.llm import near_copies
+
+    rng = np.random.default_rng(4)
+    for least in (50, 80, 100):
+        every = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (0, 1, 2, 3, 9, 30, 80, 200) for _ in range(20)]
+        hot = np.unique(rng.integers(0, 400, 120).astype(np.uint64))
+        for some in (hot, hot[:0]):
+            n = np.array([len(x) for x in every])
+            most = near_copies.wanted(n, least)
+            lists = [x if i % 3 == 0 else x[: k + k // 4] for i, (x, k) in enumerate(zip(every, most.tolist(), strict=True))]
+            sizes = np.array([len(x) for x in lists])
+            used, spare, out = near_copies.dealt_by(n, sizes, np.concatenate(lists), some, least)
+            assert not (used & spare & np.isin(np.concatenate(lists), some)).any() and (not out.any() if not len(some) else out.any())
+            for x, part, k, at, ran_out in zip(every, lists, most.tolist(), np.cumsum(sizes) - sizes, out, strict=True):
+                late = np.isin(x, some)
+                assert ran_out == (len(part) < len(x) and (~np.isin(part, some)).sum() < k)
+                if not ran_out:
+                    assert sorted(part[used[at : at + len(part)]]) == sorted(np.concatenate([x[~late], x[late]])[:k])
+
+
+def test_texts_are_read_again_only_where_lists_run_out(spark):
+    """A hot line moves to the end without the texts; texts of it mostly are read again, and no others."""
+    from kinweave.llm import near_copies
+
+    line = "one very common line that stands in nearly all of these texts"
+    lines = lambda n, i: " ".join(f"w{i}x{j}" for j in range(n))
+    df = spark.createDataFrame([(i, f"{lines(60, i // 2)} {line}") for i in range(40)], "node long, text string")
+
+    class Unread:
+        sparkSession = spark
+
+    with Tables(spark) as tables:
+        listed = tables.keep(near_copies.signatures(df, 5, 80).withColumnRenamed("row", "node"))
+        got = near_copies.shards(Unread, listed, 5, 80, 10, tables).groupBy("shard").agg(F.collect_set("node").alias("of")).collect()
+        assert {tuple(sorted(r["of"])) for r in got} == {(i, i + 1) for i in range(0, 40, 2)}
+        few = spark.createDataFrame([(i,) for i in (3, 17, 38)], "node long")
+        passed = {r["node"] for r in near_copies.only(df, few).collect()}
+        assert {3, 17, 38} <= passed and len(passed) < 20
+        assert near_copies.only(df, few.limit(0)).count() == 0
+    texts = [f"{lines(4, i // 2)} {line * 3}" if i < 30 else f"{lines(60, i // 2)} {line}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(df, limit=10).collect()) == sorted(set(jaccard_components(texts)))
+
+
 @pytest.mark.parametrize(("limit", "part"), [(1024, 1024), (20, 15)])
 def test_one_large_family(spark, limit, part, monkeypatch):
     """120 variants of one text, of which some are alike only through others and some not at all; cut into parts or whole."""
