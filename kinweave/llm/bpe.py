@@ -34,6 +34,8 @@ beyond = re.compile("[^\\x00-\\u024f]").search
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTERS, DIGITS = "a-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 latin_words = re.compile(rf"[{LETTERS}]+|[{DIGITS}]|'s|'t|'re|'ve|'m|'ll|'d|[^{LETTERS}{DIGITS}\t-\r \x85\xa0]+").findall
+#: The same for ASCII.
+ascii_words = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9\t-\r ]+").findall
 
 
 def byte_alphabet() -> list[str]:
@@ -76,7 +78,7 @@ class WordBPE:
         if self.special_start in text and self.may_be_special(text):
             return [w for part in self.specials(text) for w in ((self.special[part],) if part in self.special else self.words(part))]
         if text.isascii():
-            return latin_words(text.lower())
+            return ascii_words(text.lower())
         if beyond(text):
             return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.cut(self.normalise(text))]
         # case goes one character at a time, as no sigma is here; composed forms may lie beyond Latin

@@ -88,11 +88,14 @@ def ids_of(payload: memoryview, wide: bool) -> tuple[int, np.ndarray]:
 def _memory(path: str) -> Memory:
     """Ids of words as bytes, by the tokenizers library."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
+    # words are normalised and split already, so only the spaces between them part them
+    model.normalizer = None
+    model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     kind = "I" if model.get_vocab_size() > 65_536 else "H"
 
     final = np.zeros(model.get_vocab_size(), bool)
@@ -106,7 +109,7 @@ def _memory(path: str) -> Memory:
         coded = {k: array(kind, (k,)).tobytes() for k in keys if type(k) is int}
         for lo in range(0, len(words), 500):
             some = words[lo : lo + 500]
-            ids = np.array(model.encode(" ".join(some), add_special_tokens=False).ids, kind)
+            ids = np.array(model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, kind)
             data, ends = ids.tobytes(), ((np.flatnonzero(final[ids]) + 1) * ids.itemsize).tolist()
             coded |= zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
         return [coded[k] for k in keys]

@@ -146,6 +146,26 @@ def test_records_round_trip(spark, docs, monkeypatch):
     assert token_records.digests(empty(spark), WORDS).count() == 0
 
 
+def test_words_of_records_are_not_split_again():
+    """Words come normalised and split: what a worker remembers is made without the tokenizer's normaliser and pattern, with the same ids."""
+    rng = random.Random(21)
+    texts = [t for t in ODD if t] + ["".join(rng.choices([*map(chr, range(128)), "é", "ſ", "ß", "İ", "漢", "'s", "'LL", " "], k=300)) for _ in range(200)]
+    library, splitter, memory = Tokenizer.from_file(WORDS), bpe.load(WORDS), token_records._memory(WORDS)
+    split = [splitter.words(t) for t in texts]
+    memory.learn(split)
+    for t, ws in zip(texts, split, strict=True):
+        assert np.frombuffer(b"".join(memory[w] for w in ws), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    make = dict(zip(memory.make.__code__.co_freevars, (c.cell_contents for c in memory.make.__closure__), strict=True))
+    assert make["model"].normalizer is None
+
+
+def test_ascii_words_are_the_latin_ones():
+    rng = random.Random(22)
+    for _ in range(2000):
+        text = "".join(rng.choices([*map(chr, range(128)), "'s", "'re", "'ll", "'v", "''", "the"], k=40)).lower()
+        assert bpe.ascii_words(text) == bpe.latin_words(text)
+
+
 def test_shard_numbers_are_not_read_from_the_uuid():
     for name in ("part-00002-1b9d6bcd-c123-4b2d-9b5d-ab8dfbbd4bed-c007.txt", "part-00002-1b9d6bcd-bbfd-c1d4-c5b5-ab8dfbbd4bed-c007"):
         assert tuple(map(int, token_records.file_name(name).groups())) == (2, 7)
