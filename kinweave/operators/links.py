@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from ..functions import bits, similarity, types
-from ..session import Appended, durable, map_rows
+from ..functions import bits, scalar, similarity, text, types
+from ..session import Appended, durable, map_rows, ship
 from . import blocking
 from .components import with_components
 
@@ -144,8 +149,113 @@ def filter_basic(edges: DataFrame, vertices: DataFrame, task_edges: int = TASK_E
     return small.unionByName(_by_rounds(ends.join(large, "cc_id", "left_semi")))
 
 
-#: Rows of a block that one task of filter_blocks() takes, with at most TASK_EDGES pairs of looks.
-TASK_ROWS = 100_000
+#: Rows of a block that filter_blocks() takes, with at most so many pairs of looks.
+TASK_ROWS, TASK_LOOKS = 1_000_000, 2_000_000
+
+
+def greedy_same(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """greedy_disjoint() of the links between rows (id, mask, source) that all look the same: its links (src, dst), and id, mask of the row's cluster, cluster.
+
+    A row takes the next larger ones that it may have. Then no larger one may be had by its cluster, so it's done. Where rows
+    of one source have masks that don't meet, this doesn't hold, and all rows come back as they were.
+    """
+    rows = sorted(rows)
+    queues: dict[tuple, deque] = {}
+    for i, mask, source in rows:
+        queues.setdefault((mask, source), deque()).append(i)
+    if any(k[1] == n[1] and k[0] & n[0] == 0 for k in queues for n in queues):
+        return [], [(i, mask, i) for i, mask, _ in rows]
+    out, done = [], []
+    for i, mask, source in rows:
+        own = queues[mask, source]
+        if not own or own[0] != i:
+            continue  # it went to a smaller one
+        own.popleft()
+        members = [i]
+        while True:
+            kind = min((k for k, q in queues.items() if q and k[0] & mask == 0 and k[1] != source), key=lambda k: queues[k][0], default=None)
+            if kind is None:
+                break
+            mask |= kind[0]
+            members.append(queues[kind].popleft())
+        out += [(i, j) for j in members[1:]]
+        done += [(j, mask, i) for j in members]
+    return out, done
+
+
+def _greedy_levels(ids: np.ndarray, mask: np.ndarray, source: np.ndarray, look: np.ndarray, cluster: np.ndarray, a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> list[tuple]:
+    """greedy_looks() over arrays: rows that may be in clusters already, whose masks are those of the clusters."""
+    order = np.argsort(ids, kind="stable")
+    ids, mask, source, look, cluster = (x[order] for x in (ids, mask.astype(np.int64), source, look, cluster))
+    names, look = np.unique(look, return_inverse=True)
+    there = np.isin(a, names) & np.isin(b, names)
+    a, b, sim = np.searchsorted(names, a[there]), np.searchsorted(names, b[there]), sim[there]
+    members: dict[int, list[int]] = {}
+    for i, c in enumerate(cluster.tolist()):
+        members.setdefault(c, []).append(i)
+    members = [members[c] for c in cluster.tolist()]
+    alive = np.split(np.argsort(look, kind="stable"), np.cumsum(np.bincount(look, minlength=len(names)))[:-1])
+    full, out = np.bitwise_or.reduce(mask) if len(mask) else 0, []
+    # rows of each look by mask: two looks are gone through only where two of their masks may join
+    number = {m: k for k, m in enumerate(np.unique(mask).tolist())}
+    of = np.searchsorted(np.array(sorted(number), np.int64), mask)
+    held = np.zeros((len(names), max(8, 2 * len(number))), np.int32)
+    np.add.at(held, (look, of), 1)
+
+    def joins() -> np.ndarray:
+        masks = np.full(held.shape[1], -1, np.int64)
+        masks[: len(number)] = list(number)
+        return ((masks[:, None] & masks[None, :]) == 0).astype(np.float32)
+
+    fits = joins()
+
+    def join(i: int, j: int) -> None:
+        nonlocal held, fits
+        both, new = members[i] + members[j], int(mask[i] | mask[j])
+        if new not in number:
+            number[new] = len(number)
+            if len(number) > held.shape[1]:
+                held = np.concatenate([held, np.zeros_like(held)], axis=1)
+            fits = joins()
+        k = number[new]
+        for r in both:
+            held[look[r], of[r]] -= 1
+            held[look[r], k] += 1
+            mask[r], of[r], members[r] = new, k, both
+
+    order = np.argsort(-sim, kind="stable")
+    a, b, sim = a[order], b[order], sim[order]
+    cuts = np.flatnonzero(np.diff(sim)) + 1
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sim)], strict=True):
+        if begin == end:
+            continue
+        x, y = a[begin:end], b[begin:end]
+        x, y = np.concatenate([x, y[x != y]]), np.concatenate([y, x[x != y]])
+        may = np.concatenate([(((held[y[c : c + 50_000]] > 0).astype(np.float32) @ fits > 0) & (held[x[c : c + 50_000]] > 0)).any(axis=1) for c in range(0, len(x), 50_000)])
+        x, y = x[may], y[may]
+        if not len(x):
+            continue
+        near, rows, level = {}, [], float(sim[begin])
+        for v in np.unique(x).tolist():
+            others = np.unique(y[x == v]).tolist()
+            for w in {v, *others}:
+                alive[w] = alive[w][mask[alive[w]] != full]
+            near[v] = np.sort(np.concatenate([alive[w] for w in others]))
+            rows.append(alive[v][((held[others] > 0).any(axis=0).astype(np.float32) @ fits > 0)[of[alive[v]]]])
+        for i in np.sort(np.concatenate(rows)).tolist():
+            all_, step = near[look[i]], 256
+            at = int(np.searchsorted(all_, i, "right"))
+            while at < len(all_) and mask[i] != full:
+                some = all_[at : at + step]
+                hit = np.flatnonzero(((mask[some] & mask[i]) == 0) & (source[some] != source[i]))
+                if not len(hit):
+                    at, step = at + step, 2 * step
+                    continue
+                j = int(some[hit[0]])
+                out.append((int(ids[i]), int(ids[j]), level))
+                join(i, j)
+                at += int(hit[0]) + 1
+    return out
 
 
 def greedy_looks(rows: list[tuple], sims: list[tuple]) -> list[tuple]:
@@ -153,60 +263,128 @@ def greedy_looks(rows: list[tuple], sims: list[tuple]) -> list[tuple]:
 
     Rows of equal source make no link. A row that fails a partner fails it for good, as masks only grow.
     """
-    rows = sorted(rows)
-    ids, looks, members = [r[0] for r in rows], np.array([r[3] for r in rows]), [[i] for i in range(len(rows))]
-    mask = np.array([r[1] for r in rows], np.int64)  # of the cluster that a row is in
-    source = np.unique([str(r[2]) for r in rows], return_inverse=True)[1]
-    full, out = np.bitwise_or.reduce(mask), []
-    levels: dict[float, dict[int, list[int]]] = {}
-    for a, b, sim in sims:
-        of = levels.setdefault(sim, {})
-        of.setdefault(a, []).append(b)
-        if a != b:
-            of.setdefault(b, []).append(a)
-    for sim in sorted(levels, reverse=True):
-        left = np.flatnonzero(mask != full)
-        if not len(left):
-            break
-        here, partners = looks[left], levels[sim]
-        near = {a: left[np.isin(here, others)] for a, others in partners.items()}
-        for i in left[np.isin(here, list(partners))].tolist():
-            all_ = near[looks[i]]
-            others = all_[np.searchsorted(all_, i, "right") :]
-            while len(others) and mask[i] != full:
-                others = others[((mask[others] & mask[i]) == 0) & (source[others] != source[i])]
-                if not len(others):
-                    break
-                j = int(others[0])
-                out.append((ids[i], ids[j], sim))
-                both = members[i] + members[j]
-                mask[both] = mask[i] | mask[j]
-                for k in both:
-                    members[k] = both
-                others = others[1:]
-    return out
+    ids, mask, source, look = (np.array(c) for c in zip(*rows, strict=True))
+    a, b, sim = (np.array(c) for c in zip(*sims, strict=True)) if sims else (np.array([], k) for k in (np.int64, np.int64, float))
+    return _greedy_levels(ids, mask, np.unique(source.astype(str), return_inverse=True)[1], look, ids, a, b, sim)
+
+
+def _links_of_looks(rows: DataFrame, key: str) -> DataFrame:
+    """Links (src, dst) of rows (key, id, sources_int, data_source, look, full) that look the same, and the rows that they leave in clusters with room, with cluster and its mask."""
+    kind = dict(rows.dtypes)[key]
+    names = ["src", "dst", key, "id", "sources_int", "data_source", "look", "cluster"]
+    schema = f"src long, dst long, `{key}` {kind}, id long, sources_int long, data_source string, look long, cluster long"
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    ship(rows.sparkSession)
+
+    def run(batches):
+        def solved(some: list[tuple]) -> list[tuple]:
+            of, full, look = {r[1]: r[3] for r in some}, some[0][5], some[0][4]
+            out, done = greedy_same([(i, m, s) for _, i, m, s, _, _ in some])
+            block = some[0][0]
+            return [(a, b, *[None] * 6) for a, b in out] + [(None, None, block, i, m, of[i], look, c) for i, m, c in done if m != full]
+
+        def arrow(some: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], schema=kinds)
+
+        some, out = [], []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if some and row[4] != some[0][4]:
+                    out += solved(some)
+                    some = []
+                    if len(out) > 20_000:
+                        yield arrow(out)
+                        out = []
+                some.append(row)
+        if some:
+            out += solved(some)
+        if out:
+            yield arrow(out)
+
+    dealt = blocking._spread(rows, ["look"]).sortWithinPartitions("look", "id").select(key, "id", F.col("sources_int").cast("long"), "data_source", "look", "full")
+    return durable(dealt.mapInArrow(run, schema).select(*names))
+
+
+def gram_sims(strings: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, sim: similarity.string_sim() of simplified strings with each other and themselves, i <= j, above `least`: counts of a trigram meet those of the strings that have it."""
+    grams: dict[str, list[tuple[int, int]]] = {}
+    for i, x in enumerate(strings):
+        for g, n in scalar._grams(x).items():
+            grams.setdefault(g, []).append((i, n))
+    dot = np.zeros((len(strings), len(strings)))
+    for held in grams.values():
+        at, n = np.array(held).T
+        dot[np.ix_(at, at)] += np.outer(n, n)
+    norm = dot.diagonal()
+    norm = np.where(norm == 0, 1.0, norm)
+    sim = dot / np.sqrt(norm[:, None] * norm[None, :])
+    names = np.unique(np.array(strings, object), return_inverse=True)[1]
+    i, j = np.nonzero(np.triu((sim > least - 1e-5) | (names[:, None] == names[None, :])))
+    sim, same = sim[i, j], names[i] == names[j]
+    out = np.round(sim, 6)
+    for k in np.flatnonzero(np.abs(sim * 1e6 % 1 - 0.5) < 1e-4).tolist():  # halves go up, as in Spark
+        out[k] = float(Decimal(repr(float(sim[k]))).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    out[same] = 1.0
+    kept = out > least
+    return i[kept], j[kept], out[kept]
+
+
+def _gram_links(heads: DataFrame, key: str, least: float) -> DataFrame:
+    """src, dst, agg_sim, key: the pairs of rows (key, id, x) of a block, each with itself too, whose strings are more similar than `least`, src <= dst."""
+    ship(heads.sparkSession)
+    schema = f"src long, dst long, agg_sim double, `{key}` {dict(heads.dtypes)[key]}"
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+
+    def score(some: pa.Table) -> pa.Table:
+        some = some.sort_by("id")
+        ids = some.column("id").to_numpy()
+        i, j, sim = gram_sims(some.column("x").to_pylist(), least)
+        block = pa.repeat(some.column(key)[0], len(i))
+        return pa.Table.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(sim), block], schema=kinds)
+
+    return heads.where("x IS NOT NULL").select(key, F.col("id").cast("long"), "x").groupBy(key).applyInArrow(score, schema)
 
 
 def filter_blocks(vertices: DataFrame, key: str, looks: tuple[str, ...], domain: str, metric: str, least: float) -> tuple[DataFrame, DataFrame]:
     """filter_basic() of the links above `least` between all rows of a block from different sources, without these links; and the blocks that are too large for it.
 
     vertices: id, sources_int, data_source, key and `looks`, all that the similarity sees: rows of a block that look the same are scored once.
+    Rows that look the same and like no other row have similarity 1, the highest, only with each other. So these come first, each look by
+    itself, and only rows in clusters with room are left for their block's task.
     """
     of = vertices.where(F.col(key).isNotNull() & F.col("data_source").isNotNull() & (F.col("sources_int") != 0))
     rows = durable(of.withColumn("look", F.min("id").over(Window.partitionBy(key, *looks))))
     heads = rows.where("id = look")
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("id") == F.col("look"), 1).otherwise(0)).alias("h"))
-    large = durable(counts.where((F.col("n") > TASK_ROWS) | (F.col("h") * (F.col("h") + 1) / 2 > TASK_EDGES)).select(key))
+    counts = durable(rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("id") == F.col("look"), 1).otherwise(0)).alias("h"), F.bit_or("sources_int").cast("long").alias("full")))
+    large = durable(counts.where((F.col("n") > TASK_ROWS) | (F.col("h") * (F.col("h") + 1) / 2 > TASK_LOOKS)).select(key))
     small = heads.join(large, key, "left_anti")
-    each = blocking.pairs(small.select("id", key), key).select("src", "dst").unionByName(small.select(F.col("id").alias("src"), F.col("id").alias("dst")))
-    scored = with_similarity(each, heads, domain, metric, least).join(heads.select(F.col("id").alias("src"), key), "src")
-    sims = scored.groupBy(key).agg(F.collect_list(F.struct("src", "dst", "agg_sim")).alias("sims"))
-    members = rows.join(large, key, "left_anti").groupBy(key).agg(F.collect_list(F.struct("id", "sources_int", "data_source", "look")).alias("rows"))
-
-    def solve(row: dict) -> list[tuple]:
-        return greedy_looks([tuple(r.values()) for r in row["rows"]], [tuple(p.values()) for p in row["sims"]])
-
-    return map_rows(blocking._spread(members.join(sims, key), [key]), solve, "src long, dst long, agg_sim double"), large
+    if domain == "music" and metric == "ct" and least >= 0:
+        scored = durable(_gram_links(small.select(key, "id", text.simplify(text.sane("ata")).alias("x")), key, least))
+    else:
+        each = blocking.pairs(small.select("id", key), key).select("src", "dst").unionByName(small.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+        seen = heads.select("id", *looks)
+        scored = durable(with_similarity(each, seen, domain, metric, least).select("src", "dst", "agg_sim").join(heads.select(F.col("id").alias("src"), key), "src"))
+    equal = scored.where("agg_sim = 1")
+    others = equal.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("look"))
+    alone = equal.where("src = dst").select(F.col("src").alias("look")).join(others, "look", "left_anti").withColumn("alone", F.lit(True))
+    narrow = rows.join(large, key, "left_anti").select(key, "id", "sources_int", "data_source", "look").join(alone, "look", "left")
+    same = _links_of_looks(narrow.where("alone").join(counts.select(key, "full"), key), key)
+    members = same.where("id IS NOT NULL").drop("src", "dst")
+    members = members.unionByName(narrow.where("alone IS NULL").select(key, "id", F.col("sources_int").cast("long"), "data_source", "look", F.col("id").alias("cluster")))
+    kinds = to_arrow_schema(_parse_datatype_string("src long, dst long, agg_sim double"))
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = lambda t, c: t.column(c).to_numpy()
+        if not left.num_rows or not right.num_rows:
+            return kinds.empty_table()
+        source = left.column("data_source").combine_chunks().dictionary_encode().indices.to_numpy()
+        found = _greedy_levels(*(n(left, c) for c in ("id", "sources_int")), source, *(n(left, c) for c in ("look", "cluster")), *(n(right, c) for c in ("src", "dst", "agg_sim")))
+        return pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds) if found else kinds.empty_table()
+
+    ship(vertices.sparkSession)
+    sims = scored.select(key, "src", "dst", "agg_sim")
+    more = members.groupBy(key).cogroup(sims.groupBy(key)).applyInArrow(solve, "src long, dst long, agg_sim double")
+    return same.where("src IS NOT NULL").select("src", "dst", F.lit(1.0).alias("agg_sim")).unionByName(more), large
 
 
 def filter_clustering(edges: DataFrame, vertices: DataFrame, reference_compat: bool = False, known: DataFrame | None = None) -> DataFrame:

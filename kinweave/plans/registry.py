@@ -642,12 +642,11 @@ _ATA_SIM = f"round({sql.dot('s.g', 't.g')} / sqrt(({sql.dot('s.g', 's.g')} * {sq
 
 
 def _music_config(**more) -> workflows.Config:
-    return workflows.Config(**({"domain": "music", "block_length": 40, "incremental": False, "edge_least": 0.6} | more))
+    return workflows.Config(**({"domain": "music", "incremental": False, "edge_least": 0.6} | more))
 
 
 def _named_parts(spark, sf_dir):
-    # the brand is part of the name, so that blocks stay small
-    return adapters.parts(spark, sf_dir).withColumn("label", F.concat_ws(" ", "label", "artist")).withColumn("data_sources", F.array("data_source"))
+    return adapters.parts(spark, sf_dir).withColumn("data_sources", F.array("data_source"))
 
 
 @query()
@@ -677,7 +676,7 @@ def incremental_vertex(spark, sf_dir):
     return _flat(workflows.add_rows(rows.where("sources_int <> 16"), rows.where("sources_int = 16"), _music_config())).select("id", "clustered", "sources_int")
 
 
-@query(f"""WITH r AS (SELECT id, sources_int, label || ' ' || artist AS block, {sql.simple("artist || ' - ' || label || ' - ' || album")} AS x FROM {PART_SQL}),
+@query(f"""WITH r AS (SELECT id, sources_int, {sql.music_key("label")} AS block, {sql.simple("artist || ' - ' || label || ' - ' || album")} AS x FROM {PART_SQL}),
 g AS (SELECT *, {sql.grams("x")} AS g FROM r),
 p AS (SELECT s.id AS src, t.id AS dst, s.sources_int AS m, t.sources_int AS n, round({sql.dot("s.g", "t.g")} / sqrt(({sql.dot("s.g", "s.g")} * {sql.dot("t.g", "t.g")})::DOUBLE), 6) AS sim FROM g s JOIN g t ON s.block = t.block WHERE s.sources_int <> 16 AND t.sources_int = 16),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS a, row_number() OVER (PARTITION BY dst ORDER BY sim DESC, src) AS b FROM p WHERE sim >= 0.9) WHERE a = 1 AND b = 1)

@@ -264,7 +264,7 @@ def test_initial_clustering_queries(spark, tiny, name):
     """Whole queries: all pairs of a block, scored, filtered, their components as clusters."""
     from kinweave.functions import text
 
-    rows = [r.asDict() for r in registry._named_parts(spark, tiny).withColumn("block", text.block_key("music", 40)).collect()]
+    rows = [r.asDict() for r in registry._named_parts(spark, tiny).withColumn("block", text.block_key("music")).collect()]
     edges = [(r["id"], s["id"]) for r, s in itertools.combinations(sorted(rows, key=lambda r: r["id"]), 2) if r["block"] == s["block"]]
     label = plain_components([r["id"] for r in rows], plain_links(rows, edges))
     want = {}
